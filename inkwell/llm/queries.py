@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secrets, wavelet
+from . import jaccard, mixing, packing, quality, secrets, suffix, wavelet
 
 QUERIES = {
     "op1_cube_mix": mixing.op1,
     "op3_line_crf": quality.op3,
+    "op4_prefix_doubling": suffix.op4,
     "op5_sum_of_squares": packing.op5,
     "op6_secret_lexer": secrets.op6,
     "op8_wavelet_shards": wavelet.op8,
+    "op9_banded_tiles": jaccard.op9,
 }
 
 #: DuckDB SQL of those that SQL can express.
