@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, secrets, suffix, wavelet
+from . import jaccard, language, mixing, packing, quality, secrets, suffix, wavelet
 
 QUERIES = {
     "op1_cube_mix": mixing.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_secret_lexer": secrets.op6,
     "op8_wavelet_shards": wavelet.op8,
     "op9_banded_tiles": jaccard.op9,
+    "op10_attention_scores": language.op10,
 }
 
 #: DuckDB SQL of those that SQL can express.
