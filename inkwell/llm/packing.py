@@ -125,7 +125,8 @@ def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer=None, w
             cols = list(zip(*[(k, s, len(i), zlib.crc32(i.astype("<u4").tobytes()), n, base + q, o) for k, s, i, n, q, o in rows]))
             arrays = [pa.array(c, pa.int64()) for c in cols]
             if with_ids:
-                arrays.append(pa.array([i.astype(np.int32) for _, _, i, *_ in rows], pa.list_(pa.int32())))
+                offsets = np.cumsum([0] + [len(i) for _, _, i, *_ in rows])
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([i for _, _, i, *_ in rows]).astype(np.int32))))
             return pa.RecordBatch.from_arrays(arrays, [*names, "ids"][: len(arrays)])
 
         for row in pack_stream(source(), window):

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, secrets, suffix, wavelet
+from . import jaccard, language, mixing, neighbours, packing, quality, secrets, suffix, urls, wavelet
 
 QUERIES = {
     "op1_cube_mix": mixing.op1,
+    "op2_learned_partitions": neighbours.op2,
     "op3_line_crf": quality.op3,
     "op4_prefix_doubling": suffix.op4,
     "op5_sum_of_squares": packing.op5,
     "op6_secret_lexer": secrets.op6,
+    "op7_temporal_urls": urls.op7,
     "op8_wavelet_shards": wavelet.op8,
     "op9_banded_tiles": jaccard.op9,
     "op10_attention_scores": language.op10,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_temporal_urls": urls.OP7_SQL}
