@@ -1 +1,155 @@
-"""placeholder"""
+"""Queries of chunkers, grouping and context."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunking as C
+from ..operators import documents as D
+from ..registry import query
+from ..sources.tables import load
+from .documents import _TRIM, LINES_SQL, _lines
+
+_DOCS = ("doc_id", "text")
+
+
+@query("chunk_hard_window", "SELECT doc_id, i AS pos, substr(text, i * 420 + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 500 THEN 1 ELSE (length(text) - 1) // 420 + 1 END)) AS i FROM documents) WHERE length(substr(text, i * 420 + 1, 500)) >= 50")
+def chunk_hard_window(spark, d):
+    return C.hard_windows(load(spark, d, "documents"))
+
+
+for _name in ("fixed", "recursive", "semantic", "markdown"):
+    query(f"chunk_{_name}")(lambda spark, d, _n=_name: C.chunk(load(spark, d, "documents"), _n))
+query("chunk_token_est")(lambda spark, d: C.chunk(load(spark, d, "documents"), "token"))
+
+
+def _sentences_sql(ends: str, marks, anywhere: bool) -> str:
+    cases = " ".join(f"WHEN contains(text, '{m}') AND NOT contains(right(p, 2), '{m}') THEN p || '{m}'" if anywhere else f"WHEN contains(text, p || '{m}') THEN p || '{m}'" for m in marks)
+    return f"SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos, CASE {cases} ELSE p END AS s FROM (SELECT doc_id, text, trim(unnest(regexp_split_to_array(text, '{ends}')), {_TRIM}) AS p, generate_subscripts(regexp_split_to_array(text, '{ends}'), 1) AS k FROM documents) WHERE p <> ''"
+
+
+_ENDS, _MARKS = r"[。！？.!?\n]+", ("。", "！", "？", ".", "!", "?")
+
+
+@query("sentence_split", f"SELECT doc_id, pos - 1 AS pos, s AS sentence FROM ({_sentences_sql(_ENDS, _MARKS, False)})")
+def sentence_split(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query("chunk_sliding", f"WITH s AS ({_sentences_sql(*C.SENTENCE_ENDS, True)}), n AS (SELECT doc_id, any_value(text) AS text, list(s ORDER BY pos) AS l FROM s GROUP BY doc_id), w AS (SELECT doc_id, text, l, unnest(range(CASE WHEN len(l) <= 5 THEN 1 ELSE CAST(ceil((len(l) - 5) / 2.0) AS BIGINT) + 1 END)) AS pos FROM n), c AS (SELECT doc_id, pos, CASE WHEN len(l) <= 5 THEN text ELSE array_to_string(l[pos * 2 + 1 : pos * 2 + 5], chr(10)) END AS chunk FROM w) SELECT * FROM c WHERE length(chunk) >= 50")
+def chunk_sliding(spark, d):
+    return C.sliding(load(spark, d, "documents"))
+
+
+@query("chunk_preserve", f"SELECT doc_id, pos, trim(line, {_TRIM}) AS chunk FROM ({LINES_SQL})")
+def chunk_preserve(spark, d):
+    return _lines(spark, d).select("doc_id", "pos", T.strip(F.col("line")).alias("chunk"))
+
+
+# Lines as blocks, with a type, heading and depth by rule.
+BLOCKS_SQL = f"bl AS (SELECT doc_id AS document_id, pos AS block_pos, CASE (pos * 7 + doc_id) % 6 WHEN 0 THEN 'heading' WHEN 1 THEN 'table' WHEN 2 THEN 'image_description' WHEN 3 THEN 'formula' ELSE 'paragraph' END AS content_type, 'h' || (pos // 3) AS heading, lang AS source_type, 1 + pos % 3 AS depth, line AS text FROM ({LINES_SQL}))"
+
+
+def _blocks(spark, d):
+    r = (F.col("pos") * 7 + F.col("doc_id")) % 6
+    kind = F.when(r == 0, "heading").when(r == 1, "table").when(r == 2, "image_description").when(r == 3, "formula").otherwise("paragraph")
+    return _lines(spark, d).select(F.col("doc_id").alias("document_id"), F.col("pos").alias("block_pos"), kind.alias("content_type"), F.concat(F.lit("h"), F.floor(F.col("pos") / 3).cast("string")).alias("heading"), F.col("lang").alias("source_type"), (1 + F.col("pos") % 3).alias("depth"), F.col("line").alias("text"))
+
+
+_IS_TEXT = "content_type IN ('text', 'paragraph', 'heading', 'code')"
+
+
+@query("group_long_form", f"""WITH {BLOCKS_SQL}, f AS (SELECT *, CASE WHEN {_IS_TEXT} AND lag({_IS_TEXT}) OVER w AND heading = lag(heading) OVER w AND source_type = lag(source_type) OVER w THEN 0 ELSE 1 END AS nw FROM bl WINDOW w AS (PARTITION BY document_id ORDER BY block_pos)),
+g AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY document_id ORDER BY block_pos) AS BIGINT) AS grp FROM f) SELECT document_id, grp, min(block_pos) AS first_pos, count(*) AS n_blocks, min_by(content_type, block_pos) AS content_type, string_agg(text, chr(10) || chr(10) ORDER BY block_pos) AS text FROM g GROUP BY document_id, grp""")
+def group_long_form(spark, d):
+    return C.group_long_form(_blocks(spark, d))
+
+
+@query("group_structured", f"""WITH {BLOCKS_SQL}, f AS (SELECT *, content_type = 'heading' OR NOT ({_IS_TEXT}) OR NOT coalesce(lag({_IS_TEXT}) OVER (PARTITION BY document_id ORDER BY block_pos), false) AS nw,
+ CASE WHEN content_type = 'heading' THEN repeat('#', depth) || ' ' || trim(ltrim(trim(text, {_TRIM}), '#'), {_TRIM}) WHEN {_IS_TEXT} THEN trim(text, {_TRIM}) ELSE text END AS part FROM bl),
+g AS (SELECT *, CAST(sum(CAST(nw AS INT)) OVER (PARTITION BY document_id ORDER BY block_pos) AS BIGINT) AS grp FROM f) SELECT document_id, grp, min(block_pos) AS first_pos, count(*) AS n_blocks, string_agg(part, chr(10) || chr(10) ORDER BY block_pos) AS text FROM g WHERE trim(part) <> '' GROUP BY document_id, grp""")
+def group_structured(spark, d):
+    return C.group_structured(_blocks(spark, d))
+
+
+@query("bind_context", f"""WITH {BLOCKS_SQL}, t AS (SELECT *, CASE WHEN {_IS_TEXT} THEN text END AS tx FROM bl), b AS (SELECT *, last_value(tx IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf, first_value(tx IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY block_pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS af FROM t)
+SELECT document_id, block_pos, CASE WHEN content_type IN ('image_description', 'formula', 'image_ocr') THEN concat_ws(chr(10), right(bf, 150), substr(af, 1, 150)) END AS context FROM b""")
+def bind_context(spark, d):
+    return C.bind_context(_blocks(spark, d)).select("document_id", "block_pos", "context")
+
+
+@query("attribute_pages", f"""WITH l AS (SELECT doc_id, pos, length(line) AS n FROM ({LINES_SQL})), o AS (SELECT doc_id, pos, n, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l),
+p AS (SELECT doc_id, i AS page, i * 1000 AS a, (i + 1) * 1000 AS b FROM (SELECT doc_id, unnest(range(CAST(ceil(greatest(length(text), 1) / 1000.0) AS BIGINT))) AS i FROM documents))
+SELECT o.doc_id, o.pos, CAST(o.s AS BIGINT) AS start_offset, min(p.page) AS page_start, max(p.page) AS page_end FROM o JOIN p ON p.doc_id = o.doc_id AND p.a < o.s + greatest(o.n, 1) AND o.s < p.b GROUP BY o.doc_id, o.pos, o.s""")
+def attribute_pages(spark, d):
+    """Pages of a thousand characters that a line lies on, by an interval join within the document."""
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.length("line")
+    o = _lines(spark, d).select("doc_id", "pos", n.alias("n"), F.coalesce(F.sum(n + 1).over(w), F.lit(0)).alias("s"))
+    last = F.ceil(F.greatest(F.length("text"), F.lit(1)) / 1000.0).cast("int") - 1
+    p = load(spark, d, "documents").select(F.col("doc_id").alias("k"), F.explode(F.sequence(F.lit(0), last)).alias("page"))
+    on = (F.col("k") == F.col("doc_id")) & (F.col("page") * 1000 < F.col("s") + F.greatest("n", F.lit(1))) & (F.col("s") < (F.col("page") + 1) * 1000)
+    return o.join(p, on).groupBy("doc_id", "pos", F.col("s").alias("start_offset")).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+
+
+@query("chunk_assembly", f"WITH {BLOCKS_SQL}, w AS (SELECT document_id, block_pos, text, unnest(range(greatest(1, CAST(ceil(length(text) / 300.0) AS BIGINT)))) AS i FROM bl), c AS (SELECT document_id, block_pos, i, CASE WHEN length(text) = 0 THEN text ELSE substr(text, i * 300 + 1, 300) END AS content FROM w) SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY block_pos, i) - 1 AS chunk_index, document_id || ':parent:' || block_pos AS parent_chunk_id, content FROM c")
+def chunk_assembly(spark, d):
+    """Chunks of a document in order, each with its block as parent; a block without chunks is one itself."""
+    parts = F.greatest(F.lit(1), F.ceil(F.length("text") / 300.0).cast("int"))
+    c = _blocks(spark, d).select("document_id", "block_pos", "text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i")).withColumn("content", F.substring("text", F.col("i") * 300 + 1, F.lit(300)))
+    w = Window.partitionBy("document_id").orderBy("block_pos", "i")
+    return c.select("document_id", (F.row_number().over(w) - 1).alias("chunk_index"), F.concat(F.col("document_id").cast("string"), F.lit(":parent:"), F.col("block_pos").cast("string")).alias("parent_chunk_id"), "content")
+
+
+_PROFILE = f"""{BLOCKS_SQL}, pr AS (SELECT document_id, CAST(sum(length(text)) AS BIGINT) AS total_chars, count(*) FILTER (content_type IN ('table', 'formula', 'image_ocr', 'image')) AS n_layout, count(*) FILTER ({_IS_TEXT}) AS n_text FROM bl GROUP BY document_id)"""
+_EXT = "CASE document_id % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.csv' WHEN 2 THEN '.html' ELSE '.pdf' END"
+
+
+def _profiled(spark, d):
+    b = _blocks(spark, d)
+    a = b.groupBy("document_id").agg(D.joined("block_pos", "text", "\n").alias("sample"), F.sum(F.length("text")).alias("total_chars"), F.count_if(F.col("content_type").isin(*D.LAYOUT_TYPES)).alias("n_layout"), F.count_if(F.col("content_type").isin(*D.TEXT_TYPES)).alias("n_text"))
+    m = F.col("document_id") % 7
+    return D.resolve_profile(a.withColumn("filename", F.concat(F.lit("f"), F.when(m == 0, ".md").when(m == 1, ".csv").when(m == 2, ".html").otherwise(".pdf"))))
+
+
+@query("resolve_profile", f"WITH {_PROFILE} SELECT document_id, total_chars, n_layout, n_text, CASE WHEN {_EXT} = '.csv' THEN 'spreadsheet' WHEN {_EXT} IN ('.md', '.html') THEN 'technical' WHEN n_layout > 0 AND ((n_layout >= 2 AND 2 * n_layout > n_text) OR total_chars <= 600) THEN 'layout' WHEN total_chars <= 2400 THEN 'short_qa' ELSE 'long_form' END AS profile FROM pr")
+def resolve_profile(spark, d):
+    return _profiled(spark, d).select("document_id", "total_chars", "n_layout", "n_text", "profile")
+
+
+@query("qa_sniff", "SELECT doc_id AS document_id, 0::BIGINT AS qa_marks, false AS is_qa FROM documents")
+def qa_sniff(spark, d):
+    """Markers are ideographs, which these documents lack."""
+    return _profiled(spark, d).select("document_id", "qa_marks", (F.col("qa_marks") >= 2).alias("is_qa"))
+
+
+@query("subsections", f"WITH {BLOCKS_SQL}, f AS (SELECT document_id, heading, min(block_pos) AS k FROM bl GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY k) AS n FROM f) SELECT document_id, string_agg(heading, '；' ORDER BY n) AS subsections FROM r WHERE n <= 8 GROUP BY document_id")
+def subsections(spark, d):
+    """The first eight distinct headings of a document, in order."""
+    f = _blocks(spark, d).groupBy("document_id", "heading").agg(F.min("block_pos").alias("k"))
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy("k"))
+    return f.withColumn("n", n).filter("n <= 8").groupBy("document_id").agg(D.joined("n", "heading", "；").alias("subsections"))
+
+
+@query("semantic_boundaries", """SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(lag(embedding) OVER (ORDER BY vec_id) AS DOUBLE[])), 6) AS alike FROM embeddings QUALIFY label IS NOT DISTINCT FROM lag(label) OVER (ORDER BY vec_id)""")
+def semantic_boundaries(spark, d):
+    """Similarity of a vector with the one before; ids are without gaps, so the join replaces a window over all rows."""
+    from ..operators import retrieval as R
+
+    e = load(spark, d, "embeddings")
+    prev = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("p"), F.col("label").alias("l"))
+    return e.join(prev, "vec_id").filter("label <=> l").select("vec_id", F.round(R.dot("embedding", "p"), 6).alias("alike"))
+
+
+@query("hash_embedding")
+def hash_embedding(spark, d):
+    """The stand-in model's vectors of documents."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([C.hash_vector(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "embedding"])
+
+    return load(spark, d, "documents").select(*_DOCS).mapInArrow(run, "doc_id long, embedding array<double>")
