@@ -100,7 +100,7 @@ def relevance(hits: DataFrame, w_vector: float = 0.65, w_term: float = 0.25, w_r
     v = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce("v_score", F.lit(-1.0)) + 1) / 2))
     place = 1 - (F.col("rank") - 1) / F.greatest(F.lit(1), total - 1)
     plain = w_vector * v + w_term * t + w_rank * place + F.when(p > 0, 0.06 * F.least(F.lit(1.0), v * p)).otherwise(0.0)
-    plain = F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.95), plain)), 4)
+    plain = F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.95), plain)), 9), 4)  # the last bits depend on the order of sums
     entity = F.round(F.least(F.lit(0.99), 0.82 + 0.10 * t + 0.06 * p), 4)
     return hits.withColumn("relevance", F.when((F.size(anchors) > 0) & (e > 0), entity).otherwise(plain))
 

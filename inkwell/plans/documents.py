@@ -239,10 +239,10 @@ def search_text(spark, d):
     return load(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.nullif("source", F.lit("")), F.nullif("lang", F.lit("")), context, F.nullif("text", F.lit(""))).alias("search_text"))
 
 
-@query("serialize_source", "SELECT d.doc_id, coalesce(l.quality, -1)::BIGINT AS quality, nullif(d.doc_id % 5, 0) AS page, d.source AS topic, length(d.text) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query("serialize_source", "SELECT d.doc_id, coalesce(l.quality, -1)::BIGINT AS quality, CAST(nullif(d.doc_id % 5, 0) AS VARCHAR) AS page, d.source AS topic, length(d.text) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def serialize_source(spark, d):
     j = load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id", "left")
-    return j.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.nullif(F.col("doc_id") % 5, F.lit(0)).alias("page"), F.col("source").alias("topic"), F.length("text").alias("n"))
+    return j.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.nullif(F.col("doc_id") % 5, F.lit(0)).cast("string").alias("page"), F.col("source").alias("topic"), F.length("text").alias("n"))
 
 
 @query("chunk_page", "SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 50 OFFSET 20")

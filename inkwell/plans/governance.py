@@ -64,10 +64,10 @@ def weak_point_union(spark, d):
     return first.groupBy("user_id").agg(D.joined("k", "event_type", ",").alias("weak_points"), F.count(F.lit(1)).alias("n"))
 
 
-@query("needs_onboarding", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query("needs_onboarding", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 90)")
 def needs_onboarding(spark, d):
     e = load(spark, d, "events")
-    return e.select("user_id").distinct().join(e.filter("event_type = 'signup'").select("user_id").distinct(), "user_id", "left_anti")
+    return e.select("user_id").distinct().join(e.filter("event_type = 'signup' and value > 90").select("user_id").distinct(), "user_id", "left_anti")
 
 
 @query("style_consensus", "WITH r AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events), a AS (SELECT user_id, max(event_type) FILTER (k <= 2) AS style, count(DISTINCT event_type) FILTER (k <= 2) AS n_styles, count(*) FILTER (k <= 2) AS n, max(event_type) FILTER (k = 3) AS current FROM r GROUP BY user_id) SELECT user_id, CASE WHEN n = 2 AND n_styles = 1 AND style IS DISTINCT FROM current THEN style END AS new_style FROM a")
@@ -87,8 +87,8 @@ def cascade_delete(spark, d):
     return load(spark, d, "conversations").join(gone, "conv_id", "left_anti").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
 
 
-@query("document_tasks", "SELECT d.doc_id, t.event_id, t.event_type AS status FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) t ON t.user_id = d.doc_id AND t.k = 1")
+@query("document_tasks", "SELECT d.doc_id, CAST(t.event_id AS VARCHAR) AS event_id, t.event_type AS status FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) t ON t.user_id = d.doc_id AND t.k = 1")
 def document_tasks(spark, d):
     """Documents with their last task, if they have one."""
-    last = D.latest(load(spark, d, "events"), ["user_id"], [F.col("event_id").desc()]).select(F.col("user_id").alias("doc_id"), "event_id", F.col("event_type").alias("status"))
+    last = D.latest(load(spark, d, "events"), ["user_id"], [F.col("event_id").desc()]).select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("status"))
     return load(spark, d, "documents").select("doc_id").join(last, "doc_id", "left")

@@ -110,7 +110,7 @@ def lexical_hits(spark, d):
 _REL_SQL = f"""{HYBRID_SQL},
 tot AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM fr),
 ft AS (SELECT tot.*, b.text AS question, c.text AS content, c.source AS document_id, list_filter(list_distinct({tok('b.text')}), lambda t: length(t) >= 2) AS terms FROM tot JOIN benchmark b ON item_id = query_id JOIN documents c ON c.doc_id = chunk_id),
-rl AS (SELECT *, round(greatest(0.0, least(0.95, 0.65 * greatest(0.0, least(1.0, (coalesce(v_score, -1.0) + 1) / 2)) + 0.25 * least(1.0, len(list_filter(terms, lambda t: contains(content, t)))::DOUBLE / greatest(1, len(terms))) + 0.10 * (1 - (rank - 1)::DOUBLE / greatest(1, total - 1)))), 4) AS relevance FROM ft)
+rl AS (SELECT *, round(round(greatest(0.0, least(0.95, 0.65 * greatest(0.0, least(1.0, (coalesce(v_score, -1.0) + 1) / 2)) + 0.25 * least(1.0, len(list_filter(terms, lambda t: contains(content, t)))::DOUBLE / greatest(1, len(terms))) + 0.10 * (1 - (rank - 1)::DOUBLE / greatest(1, total - 1)))), 9), 4) AS relevance FROM ft)
 """
 
 
