@@ -8,10 +8,11 @@ a tile of the band. Tiles of one set, almost all, end there. In the others, a se
 least as many elements as their bitmaps in bits. What passes is settled by intersecting the
 sorted arrays of element hashes.
 
-Equal sets are one class from the start. Tiles are first tested as stars, each set against the
-tile's first; sets which that connects need no further test, and only tiles that still hold
-several components have their remaining pairs tested, in blocks. So no pairs are listed within
-a group of copies, and no link between components is missed.
+Equal sets are one class from the start. Each set is first tested against one hub, the first set of
+the most of its tiles; what that connects needs no further test. Tiles that still hold several
+components are tested in blocks: first a forest of the pairs that may link, then, of the tiles that hold
+several components even so, all pairs across them. So no pairs are listed within a group of copies,
+and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -209,25 +210,37 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * inter >= num * (len(a) + len(b) - inter)
 
 
-def _verify(num, den):
+def _bounded(num, den):
+    """Pairs that their sizes and bitmaps let pass."""
+
     def run(batches):
         for b in batches:
-            u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
             ok = []
             for x, y, p, q in zip(*[b.column(k).to_pylist() for k in (2, 3, 4, 5)]):
                 p, q = np.frombuffer(p, U), np.frombuffer(q, U)
                 words = min(len(p), len(q))
-                differ = int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum())
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                most = (len(x) + len(y) - differ) // 2
-                ok.append(den * most >= num * (len(x) + len(y) - most) and linked(x, y, num, den))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, k in zip(u, ok) if k], pa.int64()), pa.array([a for a, k in zip(v, ok) if k], pa.int64())], ["u", "v"])
+                most = (x + y - int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum())) // 2
+                ok.append(den * most >= num * (x + y - most))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
+
+    return run
+
+
+def _exact(num, den):
+    def run(batches):
+        for b in batches:
+            ok = pa.array([linked(np.frombuffer(x, U), np.frombuffer(y, U), num, den) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
 
     return run
 
 
-def _block_pairs(num, den):
-    """Rows (key, p, q, blk, c, comp, size, bits) sorted by tile block pair: pairs across components that the bitmaps let pass."""
+def _block_pairs(num, den, forest):
+    """Rows (key, p, q, blk, c, comp, size, bits) sorted by tile block pair: pairs across components that the bitmaps let pass.
+
+    forest: only pairs that join what the pairs before have not joined in the block pair, at most one a set, in
+    place of all: most of what the bitmaps let pass does link, and then the others are in one component already."""
 
     def test(rows):
         _, p, q, blk, c, comp, size, bits = rows
@@ -244,6 +257,13 @@ def _block_pairs(num, den):
                 continue
             most = (size[i] + size[j] - np.bitwise_count(m[j] ^ m[i]).sum(axis=1, dtype=np.int64)) // 2
             j = j[den * most >= num * (size[i] + size[j] - most)]
+            if forest:
+                taken = []
+                while len(j):
+                    taken.append(j[0])
+                    comp[comp == comp[j[0]]] = comp[i]
+                    j = j[comp[j] != comp[i]]
+                j = np.array(taken, dtype=np.int64)
             us.append(np.minimum(c[j], c[i]))
             vs.append(np.maximum(c[j], c[i]))
         return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64),) * 2
@@ -307,33 +327,52 @@ def jaccard_join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=5, num=
     keyed = sets.filter("keys is not null").select(F.explode("keys").alias("key"), "c")
     live = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "c").mapInArrow(_tiles, "key long, c long, hub long"), "tiles")
     release(spark)
+    own = cut(own, "sizes")
+    drop_cut(sets)
     wanted = live.select("c").distinct().join(classes, "c").select("c", "rep")
     texts = base.join(wanted, base["doc_id"] == wanted["rep"]).select("c", "text")
-    arrays = cut(texts.mapInArrow(_arrays(n, num, den), "c long, size long, arr binary, bits binary").dropDuplicates(["c"]), "arrays")
+    arrays = cut(texts.mapInArrow(_arrays(n, num, den), "c long, size long, arr binary, bits binary"), "arrays")
     release(spark)
+    signs = arrays.select("c", "size", "bits")
 
-    def verify(pairs):
-        sizes = arrays.select("c", "size")
-        fit = pairs.join(sizes.toDF("u", "su"), "u").join(sizes.toDF("v", "sv"), "v").filter(den * F.least("su", "sv") >= num * F.greatest("su", "sv")).select("u", "v")
-        left = arrays.select(F.col("c").alias("u"), F.col("arr").alias("x"), F.col("bits").alias("p"))
-        right = arrays.select(F.col("c").alias("v"), F.col("arr").alias("y"), F.col("bits").alias("q"))
-        return fit.join(left, "u").join(right, "v").select("u", "v", "x", "y", "p", "q").mapInArrow(_verify(num, den), "u long, v long")
+    def bounded(pairs):
+        both = pairs.join(signs.toDF("u", "su", "p"), "u").join(signs.toDF("v", "sv", "q"), "v").filter(den * F.least("su", "sv") >= num * F.greatest("su", "sv"))
+        return both.select("u", "v", "su", "sv", "p", "q").mapInArrow(_bounded(num, den), "u long, v long").distinct()
 
-    stars = live.filter("c != hub").select(F.col("hub").alias("u"), F.col("c").alias("v")).distinct()
-    links = cut(verify(stars), "links")
-    release(spark)
-    first = components(links).select(F.col("node").alias("c"), "component")
-    placed = live.join(first, "c", "left").select("key", "c", F.coalesce("component", "c").alias("comp"))
-    mixed_tiles = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("sig")).filter("n > 2 and lo != hi")
-    mixed_tiles = mixed_tiles.groupBy("n", "sig").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("nb"))  # tiles of the same sets once
-    rows = placed.join(mixed_tiles, "key").withColumn("blk", F.pmod(F.xxhash64("c"), "nb")).join(arrays.select("c", "size", "bits"), "c")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "c", "comp", "size", "bits")
-    pairs = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_block_pairs(num, den), "u long, v long").distinct()
-    more = cut(verify(pairs), "links")
+    def exact(pairs):
+        left, right = arrays.select(F.col("c").alias("u"), F.col("arr").alias("x")), arrays.select(F.col("c").alias("v"), F.col("arr").alias("y"))
+        out = cut(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_exact(num, den), "u long, v long").distinct(), "links")
+        release(spark)
+        return out
+
+    # each set's hub of the most common tiles first
+    shared = live.filter("c != hub").groupBy(F.col("hub").alias("u"), F.col("c").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    stars = cut(bounded(shared.select("u", "v")).join(shared, ["u", "v"]), "stars")
     release(spark)
-    links = links.unionByName(more)
-    members = components(links).select(F.col("node").alias("c"), "component") if more.head(1) else first
+    near = stars.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
+    links = exact(near)
+
+    def joined(known):
+        return cut(components(known).select(F.col("node").alias("c"), "component"), "members")
+
+    def tile_pairs(members, forest):
+        """Pairs of the tiles that hold several components."""
+        placed = live.join(members, "c", "left").select("key", "c", F.coalesce("component", "c").alias("comp"))
+        tiles = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("sig")).filter("lo != hi")
+        tiles = tiles.groupBy("n", "sig").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("nb"))  # tiles of the same sets once
+        rows = placed.join(tiles, "key").withColumn("blk", F.pmod(F.xxhash64("c"), "nb")).join(signs, "c")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+        rows = rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "c", "comp", "size", "bits")
+        pairs = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_block_pairs(num, den, forest), "u long, v long").distinct()
+        return cut(pairs, "pairs")
+
+    # then the tiles that still hold several components: a forest of what may link, and at last all that is left
+    members = joined(links)
+    for forest in (True, False):
+        pairs = tile_pairs(members, forest)
+        if pairs.head(1):
+            links = links.unionByName(exact(pairs))
+            members = joined(links)
     return JaccardJoin(own, classes, links, members)
 
 
