@@ -4,7 +4,8 @@ On a bounded sample: a graph of nearest neighbours, a balanced partition of it,
 learns, from a vector, how its neighbours are spread over the parts. Every row is indexed in its most
 probable part; a query goes to its most probable parts, as many as reach the wanted recall on
 sample queries, and more where they hold too few rows; their rows are ranked by exact inner products.
-Large parts are split into cells and many queries into blocks, so that a task holds a bounded number of both.
+Small parts are searched in bundles, large ones are split into cells and many queries into blocks, so that a task
+holds a bounded number of both and a query returns few lists.
 """
 
 from __future__ import annotations
@@ -165,10 +166,15 @@ def _rank(k: int):
         c, ids = _matrix(rows.column("v")), rows.column("vec_id").to_numpy()
         q, qids = _matrix(queries.column("v")), queries.column("vec_id").to_numpy()
         by_id = np.argsort(ids, kind="stable")
-        c, ids = c[by_id], ids[by_id]
+        c, ids, part = c[by_id], ids[by_id], rows.column("part").to_numpy()[by_id]
+        ways = queries.column("ways").to_pylist()
         outs = []
         for s in range(0, len(q), 256):
             p = q[s : s + 256] @ c.T
+            routed = np.zeros((len(p), int(part.max()) + 1), dtype=bool)
+            for i, w in enumerate(ways[s : s + 256]):
+                routed[i, [x for x in w if x < routed.shape[1]]] = True
+            p[~routed[:, part]] = -np.inf
             p[qids[s : s + 256, None] == ids[None, :]] = -np.inf
             take = min(k, p.shape[1])
             bound = np.partition(p, p.shape[1] - take, axis=1)[:, p.shape[1] - take]
@@ -211,24 +217,32 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, sample: int = SA
     held = np.zeros(index.parts, dtype=np.int64)
     for r in placed.groupBy("part").count().collect():  # one row a part
         held[r["part"]] = r["count"]
-    cells = np.maximum(1, -(-held // CELL))
+    # parts next to each other are searched together, up to a cell's rows: a query gets one list of each such bundle
+    bundle, size = np.zeros(index.parts, dtype=np.int64), [0]
+    for p in range(index.parts):
+        if size[-1] and size[-1] + held[p] > CELL:
+            size.append(0)
+        bundle[p] = len(size) - 1
+        size[-1] += int(held[p])
+    cells = np.maximum(1, -(-np.array(size) // CELL))
 
     def route(batches):
         for b in batches:
-            ways = index.routes(_matrix(b.column(1)), held, k + 1)
-            take = np.repeat(np.arange(len(ways)), [len(w) for w in ways])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(np.concatenate(ways) if ways else np.empty(0), pa.int32())], ["vec_id", "v", "part"])
-
-    routed = cut(queries.mapInArrow(route, "vec_id long, v array<double>, part int"), "routed")
-    asked = np.zeros(index.parts, dtype=np.int64)
-    for r in routed.groupBy("part").count().collect():
-        asked[r["part"]] = r["count"]
+            found = [(i, int(g), w[bundle[w] == g]) for i, w in enumerate(index.routes(_matrix(b.column(1)), held, k + 1)) for g in np.unique(bundle[w])]
+            take = pa.array([i for i, *_ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array([g for _, g, _ in found], pa.int32()), pa.array([w for *_, w in found], pa.list_(pa.int32()))], ["vec_id", "v", "bundle", "ways"])
+
+    routed = cut(queries.mapInArrow(route, "vec_id long, v array<double>, bundle int, ways array<int>"), "routed")
+    asked = np.zeros(len(size), dtype=np.int64)
+    for r in routed.groupBy("bundle").count().collect():  # one row a bundle
+        asked[r["bundle"]] = r["count"]
     blocks = np.maximum(1, -(-asked // QUERY_BLOCK))
-    of = lambda a: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in a]), F.col("part") + 1)
+    at = lambda a, i: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in a]), F.col(i) + 1)
     hash_ = F.xxhash64("vec_id")
-    c = placed.withColumn("cell", F.pmod(hash_, of(cells))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), of(blocks) - 1)))
-    q = routed.withColumn("block", F.pmod(hash_, of(blocks))).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), of(cells) - 1)))
-    key = ["part", "cell", "block"]
+    c = placed.withColumn("bundle", at(bundle, "part").cast("int"))
+    c = c.withColumn("cell", F.pmod(hash_, at(cells, "bundle"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), at(blocks, "bundle") - 1)))
+    q = routed.withColumn("block", F.pmod(hash_, at(blocks, "bundle"))).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), at(cells, "bundle") - 1)))
+    key = ["bundle", "cell", "block"]
     found = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(_rank(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
