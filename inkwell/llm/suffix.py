@@ -189,40 +189,51 @@ def _next_ranks(length, step):
 
 
 def _round(rows: DataFrame, group: list[str]):
-    """One reranking: (runs that recur whole, runs to rank anew). rows: k1, k2, a, lo, hi, span, done and group."""
+    """One reranking: (runs that recur whole, runs to rank anew, the table of both). rows: k1, k2, a, lo, hi, span, done and group."""
     cls = [*group, "lo", "hi", "span"]
     classes = rows.groupBy(*cls).agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("done")).cast("long")).alias("u"), F.min(F.struct("k1", "k2", "a")).alias("w"))
     groups = classes.groupBy(*group).agg(F.sum("n").alias("all_n"), F.sum(((F.col("n") == 1) & (F.col("u") == 1)).cast("long")).alias("open_n")).filter("all_n > 1")
     live = classes.join(groups, group).filter("(n > 1 and (u > 0 or open_n > 0)) or open_n > 0")
-    seen = cut(rows.join(live, cls), "ranks")
-    whole = seen.filter("n > 1 and not done").select("k1", "k2", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo")).alias("e"))
     witness = (F.col("n") > 1) & (F.col("w.k1") == F.col("k1")) & (F.col("w.k2") == F.col("k2")) & (F.col("w.a") == F.col("a"))
-    left = seen.filter((F.col("open_n") > 0) & ((F.col("n") == 1) | witness)).select("k1", "k2", "a", "lo", "hi", "rank", (F.col("done") | (F.col("n") > 1)).alias("done"))
-    return whole, left
+    seen = rows.join(live, cls).select(
+        "k1", "k2", "a", "lo", "hi", "rank", (F.col("done") | (F.col("n") > 1)).alias("done"),
+        ((F.col("n") > 1) & ~F.col("done")).alias("whole"), ((F.col("open_n") > 0) & ((F.col("n") == 1) | witness)).alias("left"),
+    )
+    seen = cut(seen.filter(F.col("whole") | F.col("left")), "ranks")
+    whole = seen.filter("whole").select("k1", "k2", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo")).alias("e"))
+    return whole, seen.filter("left").select("k1", "k2", "a", "lo", "hi", "rank", "done"), seen
 
 
 def repeated_windows(base: DataFrame, length: int, k: int = ANCHOR, step: int = STEP) -> DataFrame:
-    """k1, k2, s, e: windows that start at s to e recur. base: k1, k2, text."""
+    """k1, k2 and runs (s, e) of each text with any: windows that start at s to e recur. base: k1, k2, text."""
     spark = base.sparkSession
     first = cut(base.mapInArrow(_first_ranks(length, k), "k1 long, k2 long, a long, lo short, hi short, rank long, span long"), "anchors")
-    whole, left = _round(first.withColumn("done", F.lit(False)), ["rank"])
+    whole, left, seen = _round(first.withColumn("done", F.lit(False)), ["rank"])
+    drop_cut(first)
     release(spark)
     per_doc = left.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "lo", "hi", "rank", "done")).alias("left"))
     contexts = cut(base.join(per_doc, ["k1", "k2"]).select("k1", "k2", "text", "left").mapInArrow(_contexts(length), "k1 long, k2 long, a long, lo short, hi short, rank long, done boolean, context binary"), "contexts")
-    drop_cut(first)
     release(spark)
-    found = whole
+    found, tables = whole, [seen]
     runs = contexts.select("k1", "k2", "a", F.col("hi").alias("high"), "lo", "hi", "rank", "done", "context")
     for width in (step, 1):
         schema = "k1 long, k2 long, a long, lo short, hi short, rank long, cell short, core long, span long, done boolean"
         ranked = cut(runs.mapInArrow(_next_ranks(length, width), schema), "runs")
-        whole, left = _round(ranked, ["rank", "cell", "core"])
+        if width == 1:
+            drop_cut(contexts)
+        release(spark)
+        whole, left, seen = _round(ranked, ["rank", "cell", "core"])
+        drop_cut(ranked)
         found = found.unionByName(whole)
+        tables.append(seen)
         if width > 1:
-            around = contexts.select("k1", "k2", "a", F.col("lo").alias("low"), F.col("hi").alias("high"), "context").dropDuplicates(["k1", "k2", "a", "low", "high"])
+            around = contexts.select("k1", "k2", "a", F.col("lo").alias("low"), F.col("hi").alias("high"), "context")
             runs = left.distinct().join(around, ["k1", "k2", "a"]).filter("lo >= low and hi <= high").select("k1", "k2", "a", "high", "lo", "hi", "rank", "done", "context")
-        release(spark)
-    return found
+    runs = cut(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "repeats")
+    for t in tables:
+        drop_cut(t)
+    release(spark)
+    return runs
 
 
 def _strip(length):
@@ -257,8 +268,7 @@ def strip_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
     their bytes if they have `length`. kept_text has U+FFFD where a cut parts a character; the hash is of the bytes."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = docs.select(F.xxhash64(docs[id_col].cast("long"), text).alias("k1"), F.xxhash64(text, F.lit("k2"), docs[id_col].cast("long")).alias("k2"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    found = repeated_windows(base.select("k1", "k2", "text"), length)
-    runs = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
+    runs = repeated_windows(base.select("k1", "k2", "text"), length)
     return base.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs").mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
