@@ -21,7 +21,8 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in set(_PRINTABLE)]
 BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(_REST)}
-#: Marks that are a pre-token of their own after letters.
+#: What ASCII stands as in pieces; marks that are a pre-token of their own after letters.
+_FIRST = {chr(b): chr(c) for b, c in BYTE_CHARS.items() if b < 128}
 _MARKS = frozenset(".,;:!?")
 
 
@@ -36,7 +37,7 @@ class SubwordEncoder:
     tokens are ordinary text) as little-endian unsigned 16-bit bytes. memo_limit bounds memory,
     not results: a full memo is emptied."""
 
-    def __init__(self, path: str | None = None, memo_limit: int = 500_000):
+    def __init__(self, path: str | None = None, memo_limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -48,6 +49,7 @@ class SubwordEncoder:
         self.by_model = self.tokenizer.model.tokenize
         self.chunks: dict[str, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
+        self.heads: dict[bytes, bytes] = {}
         self.memo_limit = memo_limit
 
     def full(self, text: str) -> bytes:
@@ -56,7 +58,12 @@ class SubwordEncoder:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            mapped = piece.encode().decode("latin-1").translate(BYTE_CHARS)
+            if len(self.pieces) > self.memo_limit:
+                self.pieces.clear()
+            if piece.isascii() and piece[1:].isalnum():  # only the first may be a space or line feed
+                mapped = _FIRST.get(piece[0], piece[0]) + piece[1:]
+            else:
+                mapped = piece.encode().decode("latin-1").translate(BYTE_CHARS)
             found = self.pieces[piece] = array("H", [t.id for t in self.by_model(mapped)]).tobytes()
         return found
 
@@ -88,8 +95,6 @@ class SubwordEncoder:
         except KeyError:
             if len(memo) > self.memo_limit:
                 memo.clear()
-            if len(self.pieces) > self.memo_limit:
-                self.pieces.clear()
             for c in chunks:
                 if c not in memo:
                     memo[c] = self._chunk(c)

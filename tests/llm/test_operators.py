@@ -464,6 +464,9 @@ def test_attention_is_causal_and_learns():
     assert np.allclose(np.exp(a).sum(axis=2), 1, atol=1e-4)
     t = np.zeros(len(inputs) * half, dtype=int)
     t[slot] = v.cls[ids]
+    want = a.reshape(-1, a.shape[2])[np.arange(4 * half), t[: 4 * half]]
+    for bounded in (False, True):
+        assert np.allclose(m.log_prob_of(v.row[inputs[:4]], t[: 4 * half], m.tables(), half, bounded), want, atol=1e-4)
     target, weight = np.zeros(inputs.shape, dtype=int), np.zeros(inputs.shape, dtype=np.float32)
     target[:, half:], weight[:, half:] = t.reshape(-1, half), 1
     seen = [np.full_like(x, 0.1) for x in m.w]
@@ -528,3 +531,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert out[3].count() >= len(masked)
     assert out[4].count() > 0
     assert p.run(spark, str(tmp_path)).count() == out[4].count()
+
+
+def test_subwords_of_words():
+    from inkwell.llm.language import subwords_of
+    from inkwell.llm.subwords import SubwordEncoder
+
+    e = SubwordEncoder(memo_limit=3)
+    words = [w.encode() for w in ("the", "the,", "house.", "!!", ",", "x1", "don't", "naïve?", "日本", "a-b", "end!", "the")]
+    ids, lens = subwords_of(words, e)
+    at = 0
+    for w, n in zip(words, lens):
+        assert ids[at : at + n].tolist() == e.tokenizer.encode(" " + w.decode(), add_special_tokens=False).ids
+        at += n
