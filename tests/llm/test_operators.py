@@ -500,6 +500,28 @@ def test_attention_gradient():
         assert abs((losses[0] - losses[1]) / 2e-5) == pytest.approx(seen[k][i] ** 0.5, rel=1e-3)
 
 
+def test_training_steps_on_every_window(spark):
+    """Whatever the partitions; short documents too."""
+    from inkwell.llm import language as L
+    from inkwell.llm.subwords import encoder
+
+    d = docs(spark, [(i, t, "a") for i, t, _ in corpus(11, 60, 60)] + [(800, long_text(6000), "a")]).select("doc_id", "text")
+    e, want, counts = encoder(None), 0, np.zeros(1 << 16, dtype=np.int64)
+    for i, t in d.collect():
+        if not L.is_held_out(i):
+            ids = np.append(L.subwords_of((t or "").encode().lower().split(), e)[0], L.TOKENIZER_END)
+            want += -(-len(ids) // (L.WINDOW // 2))
+            counts += np.bincount(ids, minlength=1 << 16)
+    vocabulary = L.Vocabulary(np.ones(L.TOKENIZER_END + 1), np.zeros(L.TOKENIZER_END + 1, bool))
+    for parts in (1, 3):
+        blocks = d.repartition(parts).mapInArrow(L._blocks(None), L._SCHEMA).cache()
+        done = blocks.filter(f"kind = {L.DOCS}").select("blob").mapInArrow(L._train(L.Attention().flat(), vocabulary, 0.1), "n long, w binary")
+        assert sum(x["n"] for x in done.collect()) == want
+        seen = {x["key"]: x["n"] for x in blocks.filter(f"kind = {L.SUBWORDS}").groupBy("key").sum("n").toDF("key", "n").collect()}
+        assert seen == {k: counts[k] for k in np.flatnonzero(counts)}
+        blocks.unpersist()
+
+
 # --- pipeline ---
 
 
