@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, table
+from inkwell.llm.common import WORD, cut, table
 from inkwell.llm.jaccard import jaccard_join
 from inkwell.llm.mixing import mix
 from inkwell.llm.packing import pack
@@ -15,6 +15,11 @@ from inkwell.llm.secrets import find_secrets_in
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, a hash of each row that is never null; rows with the same key are equal in all columns."""
+    return docs.select(*COLUMNS, F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]).alias("_key"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line field keep."""
     field = fit_field(docs, table(spark, sf_dir, "labels"))
@@ -22,14 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingles at a Jaccard of 0.8: that of the least id.
-    Rows that repeat an id stand for one document; the least text of theirs stays. Null ids are left."""
-    groups = jaccard_join(docs, n=5, num=8, den=10).result()
-    firsts = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(firsts, docs["doc_id"] == F.col("_first")).drop("_first")
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = kept.withColumn("_k", once).filter("_k = 1").select(*COLUMNS)
-    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """One row of each group linked by 5-word shingles at a Jaccard of 0.8: that of the least id, null last.
+    Rows that repeat an id and rows without one are documents of their own; texts without words link with nothing and all stay."""
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = keyed(docs.filter(worded))
+    groups = jaccard_join(rows, id_col="_key", n=5, num=8, den=10).result().select(F.col("doc_id").alias("_key"), "component_id")
+    ids = rows.select("_key", "doc_id").join(groups.distinct(), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
+    firsts = ids.groupBy("component_id").agg(first).select(F.col("first._key").alias("_key"))
+    kept = rows.dropDuplicates(["_key"]).join(firsts, "_key", "left_semi").select(*COLUMNS)
+    return kept.unionByName(docs.filter(~worded).select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -555,6 +555,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert p.run(spark, str(tmp_path)).count() == out[4].count()
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(3)
+    a, b, c, e = (" ".join(f"v{r.randrange(900)}" for _ in range(90)) for _ in range(4))
+    rows = [(1, a, "x"), (None, a, "x"), (None, a, "x"), (None, a + " more", "y"), (None, b, "x"), (None, b, "x"), (None, b + " more", "y"), (7, a + " end", "x"), (7, c, "x"), (8, c + " end", "x"), (9, e, "x"), (9, e, "x"), (None, "", "x"), (None, None, "x"), (None, None, "x")]
+    got = Counter((x["doc_id"], x["text"]) for x in p.near_duplicates(spark, docs(spark, rows), "").collect())
+    of_b = [k for k in got if k[0] is None and k[1] and k[1].startswith(b)]
+    assert len(of_b) == 1
+    assert got == Counter([(1, a), (7, c), (9, e), (None, ""), (None, None), (None, None), *of_b])
+
+
 def test_subwords_of_words():
     from inkwell.llm.language import subwords_of
     from inkwell.llm.subwords import SubwordEncoder
