@@ -45,9 +45,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix(docs).select(F.col("doc_id").alias("_id"), "copies").filter("copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    """Each document as often as the mix takes it; equal rows as often as it takes them together."""
+    rows = keyed(docs)
+    copies = mix(rows, id_col="_key").groupBy("_key").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    taken = rows.dropDuplicates(["_key"]).join(copies, "_key")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 

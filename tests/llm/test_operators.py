@@ -567,6 +567,21 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert got == Counter([(1, a), (7, c), (9, e), (None, ""), (None, None), (None, None), *of_b])
 
 
+def test_source_mix_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+    from inkwell.llm.mixing import mix
+
+    rows = [(None, "one two", "a")] * 5 + [(None, f"w{i} x", "a") for i in range(20)] + [(4, f"w{i} y z", "b") for i in range(20)] + [(i, "a b c d", "c") for i in range(50, 60)]
+    d = docs(spark, rows)
+    got = p.source_mix(spark, d, "").collect()
+    want = {x["source"]: (x["c"], x["t"]) for x in mix(d).groupBy("source").agg({"copies": "sum", "taken": "sum"}).toDF("source", "c", "t").collect()}
+    most = Counter((i, t) for i, t, _ in rows)
+    n = Counter((x["doc_id"], x["text"]) for x in got)
+    assert all(v <= 2 * most[k] for k, v in n.items())
+    for s, (_, taken) in want.items():
+        assert abs(sum(len(words(x["text"])) for x in got if x["source"] == s) - taken) <= 4
+
+
 def test_subwords_of_words():
     from inkwell.llm.language import subwords_of
     from inkwell.llm.subwords import SubwordEncoder
