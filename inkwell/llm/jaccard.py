@@ -191,9 +191,10 @@ def _arrays(n, num, den):
             c, size, arr, bits = [], [], [], []
             for want, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
                 h = shingles(text or b"", n)
-                if not len(h) or class_of(h) != want % (1 << 64):
+                own = class_of(h) if len(h) else None
+                if own is None or want is not None and own != want % (1 << 64):
                     continue  # another row with the same id
-                c.append(want)
+                c.append(own - (1 << 64) if own >> 63 else own)
                 size.append(len(h))
                 arr.append(h.tobytes())
                 bits.append(bitmap(h, num, den).tobytes())
@@ -297,7 +298,7 @@ def _block_pairs(num, den, forest):
 
 
 class JaccardJoin:
-    """docs: doc_id, n_shingles, c (class, null for empty sets); classes: c, rep (smallest doc_id);
+    """docs: doc_id, n_shingles, c (class, null for empty sets); classes: c, rep (smallest doc_id, null without any);
     links: u, v (classes, verified; enough of them to connect each component); members: c, component."""
 
     def __init__(self, docs, classes, links, members):
@@ -317,7 +318,8 @@ def jaccard_join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=5, num=
     """Components of documents whose sets of n-word shingles have den * intersection >= num * union.
 
     Null and empty texts have empty sets, which link with nothing. Rows that repeat an id are
-    documents of their own, and count under that id. Texts of any length are taken whole."""
+    documents of their own, and count under that id. Rows without an id link as any others; only where all
+    of a component have none is its component_id null. Texts of any length are taken whole."""
     spark = docs.sparkSession
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     sets = cut(base.mapInArrow(_sets(n, num, den), "doc_id long, n_shingles long, c long, keys array<long>"), "sets")
@@ -331,7 +333,12 @@ def jaccard_join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=5, num=
     drop_cut(sets)
     wanted = live.select("c").distinct().join(classes, "c").select("c", "rep")
     texts = base.join(wanted, base["doc_id"] == wanted["rep"]).select("c", "text")
-    arrays = cut(texts.mapInArrow(_arrays(n, num, den), "c long, size long, arr binary, bits binary"), "arrays")
+    kinds = "c long, size long, arr binary, bits binary"
+    found = texts.mapInArrow(_arrays(n, num, den), kinds)
+    if classes.filter("rep is null").head(1):  # classes without an id: by the class of each text
+        nameless = base.filter("doc_id is null").select(F.lit(None).cast("long").alias("c"), "text").distinct().mapInArrow(_arrays(n, num, den), kinds)
+        found = found.unionByName(nameless.join(wanted.filter("rep is null").select("c"), "c", "left_semi").dropDuplicates(["c"]))
+    arrays = cut(found, "arrays")
     release(spark)
     signs = arrays.select("c", "size", "bits")
 

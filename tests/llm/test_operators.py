@@ -407,6 +407,17 @@ def test_jaccard_components(spark, n, num, den):
     assert sorted(tuple(x) for x in jaccard_join(d, n=n, num=num, den=den).result().collect()) == want
 
 
+def test_jaccard_of_null_ids(spark):
+    """A near copy and a bridge without an id."""
+    from inkwell.llm.jaccard import jaccard_join
+
+    run = lambda v, k: " ".join(f"{v}{i}" for i in range(k, k + 20))
+    rows = [(5, run("a", 0)), (None, run("a", 2)), (None, run("a", 2)), (None, run("A", 2)), (9, run("a", 4)), (11, run("b", 0)), (None, run("b", 1)), (None, run("c", 0)), (None, run("c", 1)), (12, run("d", 0)), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(x) for x in jaccard_join(d, n=1, num=8, den=10).result().collect())
+    assert got == Counter([(5, 20, 5), (None, 20, 5), (None, 20, 5), (None, 20, 5), (9, 20, 5), (11, 20, 11), (None, 20, 11), (None, 20, None), (None, 20, None), (12, 20, 12), (None, 0, None)])
+
+
 def test_agreeing_parts():
     """Sets that differ in no more than links allow share a key, whatever their sizes."""
     from inkwell.llm.jaccard import keys_of, linked
