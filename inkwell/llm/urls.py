@@ -15,8 +15,6 @@ from .common import table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
-#: Labels of a host, from the right, and parts of a path that make patterns: what entries may have at most.
-LABELS, PATH_PARTS = 8, 4
 
 
 def host(url):
@@ -27,23 +25,30 @@ def patterns(url):
     """Patterns that cover a URL: its host and the domains above, and the host with each leading part of its path."""
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(LABELS))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    domains = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     parts = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
-    m = F.least(F.size(parts), F.lit(PATH_PARTS))
+    m = F.size(parts)
     paths = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda k: F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host(url) != "", F.array_distinct(F.concat(domains, paths))).otherwise(F.array().cast("array<string>"))
 
 
+def normal(pattern):
+    """A pattern as patterns() writes it: the host in lower case, the path's case and order kept, no empty parts."""
+    parts = F.split(pattern, "/")
+    path = F.filter(F.slice(parts, 2, F.size(parts)), lambda x: x != "")
+    return F.array_join(F.concat(F.array(F.lower(F.element_at(parts, 1))), path), "/")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """entries(pattern, action, at, category) as pattern, category, valid_from, valid_to (null: still).
 
     Each entry holds from its time to the pattern's next; of entries of one time a removal holds, else that of
-    the first category. Only intervals that list the pattern are kept; entries without pattern or time are none."""
-    dated = entries.filter("pattern is not null and at is not null and action in ('add', 'remove')")
+    the first category. Patterns that differ in the case of the host are one. Only intervals that list the pattern are kept; entries without pattern or time are none."""
+    dated = entries.filter("pattern is not null and at is not null and action in ('add', 'remove')").withColumn("pattern", normal(F.col("pattern")))
     at_once = Window.partitionBy("pattern", "at").orderBy(F.col("action").desc(), "category")
     one = dated.withColumn("_k", F.row_number().over(at_once)).filter("_k = 1")
     nxt = F.lead("at").over(Window.partitionBy("pattern").orderBy("at"))
-    return one.withColumn("valid_to", nxt).filter("action = 'add'").select(F.lower("pattern").alias("pattern"), "category", F.col("at").alias("valid_from"), "valid_to")
+    return one.withColumn("valid_to", nxt).filter("action = 'add'").select("pattern", "category", F.col("at").alias("valid_from"), "valid_to")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col="url", time_col="fetched_at") -> DataFrame:

@@ -374,6 +374,16 @@ def test_url_intervals(spark):
     assert got == [(1, True, "a.b.example.com/x", "2024-01-01"), (2, True, "b.example.com", "2024-01-03"), (3, False, None, None), (4, False, None, None), (5, False, None, None), (6, True, "other.org/ads", "2024-02-01"), (6, True, "other.org/ads", "2024-02-01"), (7, False, None, None)]
 
 
+def test_url_patterns_of_any_depth_and_case(spark):
+    from inkwell.llm.urls import filter_urls
+
+    deep = "h9.h8.h7.h6.h5.h4.h3.h2.example.com"
+    c = spark.createDataFrame([(1, "http://example.com/a/b/c/d/e/f", "2024-01-05"), (2, f"http://x.{deep}/", "2024-01-05"), (3, "http://Example.org/Ads/One", "2024-01-05"), (4, "http://example.org/ads/one", "2024-01-05"), (5, "http://gone.net/", "2024-01-05")], "page_id long, url string, fetched_at string")
+    e = spark.createDataFrame([("example.com/a/b/c/d/e", "add", "2024-01-01", "k"), (deep, "add", "2024-01-01", "k"), ("EXAMPLE.org/Ads/", "add", "2024-01-01", "k"), ("Gone.net", "add", "2024-01-01", "k"), ("gone.net", "remove", "2024-01-03", "k")], "pattern string, action string, at string, category string")
+    got = {x["page_id"]: x["pattern"] for x in filter_urls(c, e).collect()}
+    assert got == {1: "example.com/a/b/c/d/e", 2: deep, 3: "example.org/Ads", 4: None, 5: None}
+
+
 # --- op9 ---
 
 
