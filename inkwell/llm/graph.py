@@ -7,11 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, mapped
+
+#: Nodes that a task holds at a time, at most a batch over.
+HELD = 400_000
 
 
 def _forest(batches):
-    """A spanning star forest of a partition's edges: fewer rows, the same components."""
+    """Spanning star forests of a partition's edges, each of at most some HELD nodes: fewer rows, the same components."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -20,15 +23,21 @@ def _forest(batches):
             x = parent[p]
         return x
 
+    def flush():
+        rows = [(x, r) for x in parent if (r := root(x)) != x]
+        parent.clear()
+        for k in range(0, len(rows), 100_000):
+            part = np.array(rows[k : k + 100_000], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["u", "v"])
+
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             ru, rv = root(u), root(v)
             if ru != rv:
                 parent[max(ru, rv)] = min(ru, rv)
-    rows = [(x, r) for x in parent if (r := root(x)) != x]
-    for k in range(0, len(rows), 100_000):
-        part = np.array(rows[k : k + 100_000], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["u", "v"])
+        if len(parent) > HELD:
+            yield from flush()
+    yield from flush()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -36,7 +45,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     A round costs two shuffles of the edges left; the table is cut after each, so that the
     lineage stays short. The number of rounds grows with the logarithm of the longest path."""
-    now = cut(edges.select("u", "v").mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    now = cut(edges.select("u", "v").transform(mapped, _forest, "u long, v long").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
