@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -21,11 +21,15 @@ def host(url):
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def patterns(url):
-    """Patterns that cover a URL: its host and the domains above, and the host with each leading part of its path."""
+def patterns(url, domain_labels=None):
+    """Patterns that cover a URL: its host and the domains above, and the host with each leading part of its path.
+    domain_labels: numbers of labels that domains of the list have; domains of others are left out."""
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    lengths = F.sequence(F.lit(1), n)
+    if domain_labels is not None:
+        lengths = F.array_intersect(lengths, F.array(*[F.lit(int(k)) for k in domain_labels]).cast("array<int>"))
+    domains = F.transform(lengths, lambda k: F.array_join(F.slice(labels, -k, k), "."))
     parts = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
     m = F.size(parts)
     paths = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda k: F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
@@ -54,16 +58,21 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url_col="url", time_col="fetched_at") -> DataFrame:
     """captures with listed, pattern, category and since, of the longest pattern in force at the fetch.
 
-    Captures of one URL and time are looked up once, so a hot host is as many rows as it has distinct captures.
-    A null or unreadable URL, or a null time, is not listed."""
-    own = captures.withColumnsRenamed({url_col: "_url", time_col: "_at"})
-    asked = own.filter("_url is not null and _at is not null").select("_url", "_at").distinct()
-    keyed = asked.select("_url", "_at", F.explode(patterns(F.col("_url"))).alias("pattern"))
-    held = intervals(entries)
-    hit = keyed.join(held, "pattern").filter((F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
-    best = hit.groupBy("_url", "_at").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "category", "valid_from")).alias("b"))
-    out = own.join(best, ["_url", "_at"], "left")
-    return out.select(*[F.col("_url").alias(url_col) if c == url_col else F.col("_at").alias(time_col) if c == time_col else F.col(c) for c in captures.columns], F.col("b").isNotNull().alias("listed"), F.col("b.pattern").alias("pattern"), F.col("b.category").alias("category"), F.col("b.valid_from").alias("since"))
+    Captures of one URL and time are looked up once, so a hot host is as many rows as it has distinct captures; domains
+    of lengths that the list has none of (top-level ones, mostly) aren't looked up at all. Repeated captures
+    are rows of their own. A null or unreadable URL, or a null time, is not listed; an empty list lists nothing, an empty table
+    gives no rows. Columns of captures that are named like a result give way to it."""
+    results = ("listed", "pattern", "category", "since")
+    u, t = "_inkwell_url", "_inkwell_at"
+    own = captures.select(F.struct(*[F.col(c) for c in captures.columns if c not in results]).alias("_inkwell_row"), F.col(url_col).alias(u), F.col(time_col).alias(t))
+    held = cut(intervals(entries), "intervals")
+    lengths = [r[0] for r in held.filter(~F.col("pattern").contains("/")).select(F.size(F.split("pattern", r"\."))).distinct().collect()]  # a row a length
+    asked = own.filter(f"{u} is not null and {t} is not null").select(u, t).distinct()
+    keyed = asked.select(u, t, F.explode(patterns(F.col(u), lengths)).alias("pattern"))
+    hit = keyed.join(held, "pattern").filter((F.col("valid_from") <= F.col(t)) & (F.col("valid_to").isNull() | (F.col(t) < F.col("valid_to"))))
+    best = hit.groupBy(u, t).agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "category", "valid_from")).alias("b"))
+    out = own.join(best, [u, t], "left")
+    return out.select("_inkwell_row.*", F.col("b").isNotNull().alias("listed"), F.col("b.pattern").alias("pattern"), F.col("b.category").alias("category"), F.col("b.valid_from").alias("since"))
 
 
 _HEX = "0123456789abcdef"
