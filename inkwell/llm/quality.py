@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import mapped, table, text_bytes
 
 #: Labelled documents that the field is fitted on at most, those of the smallest hash of the id.
 MAX_LABELLED = 1500
-#: Lines of a fitted document at most, and documents' share of content that keeps them.
+#: Lines of a sequence that the field is fitted on, a longer document being several; documents' share of content that keeps them.
 FIT_LINES, KEEP_SHARE = 48, 0.5
 #: Fixed values of the contract: characters that are symbols, bounds of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -119,23 +119,33 @@ def lines_of(text: bytes):
             seen.add(line)
 
 
-def train(good: list[bytes], bad: list[bytes], rounds: int = 2, fit_lines: int = FIT_LINES) -> LineField:
-    """Field fitted on texts of either label. Without texts of both, a field that keeps everything."""
-    feats = []
-    for texts in (good, bad):
-        feats.append([featurise(np.array(ms[:fit_lines])) for x in texts if (ms := [line_measures(*q) for q in lines_of(x)])])
-    if not feats[0] or not feats[1]:
+def features_of(text: bytes) -> np.ndarray:
+    """Features of all lines of a text that have a word."""
+    ms = [line_measures(*q) for q in lines_of(text)]
+    return featurise(np.array(ms)) if ms else np.empty((0, len(EDGES)), dtype=np.int64)
+
+
+def train_on(good: list[np.ndarray], bad: list[np.ndarray], rounds: int = 2, fit_lines: int = FIT_LINES) -> LineField:
+    """Field fitted on all lines' features of documents of either label. Without documents of both, a field that keeps everything."""
+    good, bad = ([d[s : s + fit_lines] for d in docs for s in range(0, len(d), fit_lines)] for docs in (good, bad))
+    if not good or not bad:
         return LineField(start=np.array([0.0, 1.0]))
-    field, docs = LineField(), feats[0] + feats[1]
-    tags = [np.full(len(d), int(i < len(feats[0]))) for i, d in enumerate(docs)]
+    field, docs = LineField(), good + bad
+    tags = [np.full(len(d), int(i < len(good))) for i, d in enumerate(docs)]
     for k in range(rounds):
         field.fit(docs, tags, steps=60 if not k else 30)
-        for i in range(len(feats[0]), len(docs)):
+        for i in range(len(good), len(docs)):
             path = field.decode(docs[i])
             tags[i] = path if (path == 0).any() else np.zeros(len(path), dtype=np.int64)
     return field
 
 
+def train(good: list[bytes], bad: list[bytes], rounds: int = 2) -> LineField:
+    """train_on of texts."""
+    of = lambda texts: [d for d in map(features_of, texts) if len(d)]
+    return train_on(of(good), of(bad), rounds)
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words in 3-word windows that are found twice or more."""
     n = len(words)
@@ -184,22 +194,34 @@ def judge(text: bytes, field: LineField, keep_share: float = KEEP_SHARE) -> tupl
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", max_labelled=MAX_LABELLED) -> LineField:
-    """Field fitted on at most max_labelled labelled documents. The same tables give the same field."""
-    few = labels.filter(F.col("quality").isNotNull()).select(F.col(id_col).alias("_l"), F.col("quality").cast("int").alias("_q")).dropDuplicates(["_l"]).orderBy(F.xxhash64("_l"), "_l").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(few), F.col("_i") == F.col("_l")).select("_i", "_q", "_t")
-    got = sorted((r for r in rows.collect() if r["_t"]), key=lambda r: (r["_i"], r["_t"]))[: 2 * max_labelled]
-    return train([r["_t"].encode() for r in got if r["_q"] == 1], [r["_t"].encode() for r in got if r["_q"] == 0])
+    """Field fitted on at most max_labelled labelled documents, whole. The same tables give the same field.
+
+    Of rows that repeat a labelled id the least text counts, once. The driver gets the lines' features,
+    a byte each, and no texts; they are made where the documents are."""
+    few = labels.filter(F.col("quality").isNotNull()).select(F.col(id_col).alias("_l"), F.col("quality").cast("int").alias("_q")).groupBy("_l").agg(F.min("_q").alias("_q")).orderBy(F.xxhash64("_l"), "_l").limit(max_labelled)
+    rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(few), F.col("_i") == F.col("_l"))
+    once = rows.groupBy("_i", "_q").agg(F.min("_t").alias("_t")).select("_i", "_q", "_t")
+
+    def run(batches):
+        for b in batches:
+            feats = [features_of(x or b"").astype(np.uint8).tobytes() for x in text_bytes(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(feats, pa.binary())], ["i", "q", "f"])
+
+    kind = once.schema["_i"].dataType.simpleString()
+    got = sorted(once.transform(mapped, run, f"i {kind}, q int, f binary").collect(), key=lambda r: r["i"])
+    of = lambda q: [np.frombuffer(bytes(r["f"]), np.uint8).astype(np.int64).reshape(-1, len(EDGES)) for r in got if r["q"] == q]
+    return train_on(of(1), of(0))
 
 
 def quality(docs: DataFrame, field: LineField, *, id_col="doc_id", text_col="text", keep=(), keep_share=KEEP_SHARE) -> DataFrame:
     """Per document: its measures, base_failed, content_share and kept; and the columns named in keep, unchanged.
 
-    A null or empty text has no words: it fails the base rules. No shuffle; rows are
-    independent, so repeated ids are documents of their own. The whole text counts, whatever its length."""
+    A null or empty text has no words: it fails the base rules. Columns in keep that are named like a result
+    give way to it. No shuffle; rows are independent, so repeated ids are documents of their own. The whole text counts, whatever its length."""
     w, t, start = field.w, field.t, field.start
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-    cols = [id_col, *[c for c in keep if c != id_col]]
+    cols = [id_col, *[c for c in keep if c != id_col and c not in names]]
     source = docs.select(docs[text_col].cast("string").alias("_inkwell_text"), *[docs[c] for c in cols])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[1:]) + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
 
@@ -209,7 +231,7 @@ def quality(docs: DataFrame, field: LineField, *, id_col="doc_id", text_col="tex
             rows = list(zip(*[judge(x or b"", own, keep_share) for x in text_bytes(b.column(0))])) or [()] * 8
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *[pa.array(r, k) for r, k in zip(rows, types)]], [*cols, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.transform(mapped, run, schema)
 
 
 def op3(spark, sf_dir):
