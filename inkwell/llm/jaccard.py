@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, release, table, text_bytes
+from .common import Memo, cut, drop_cut, mapped, release, table, text_bytes
 from .graph import components
 
 U = np.uint64
 #: Ratio of a band's bounds; sets of a tile's block.
 BAND, BLOCK = 1.45, 1024
-#: Distinct words whose hash a worker remembers at a time.
-MEMO = 400_000
+#: Words of a memo's generation, whose hash a worker remembers; classes a task remembers having seen, likewise.
+MEMO, RECENT = 100_000, 50_000
 _MUL = U(0x9E3779B97F4A7C15)
 
 
@@ -44,7 +44,22 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_WORDS: dict[bytes, int] = {}
+_WORDS = Memo(xxhash.xxh3_64_intdigest, MEMO)
+
+
+class Recent:
+    """new(x) is False for what a task has met lately: repeats that stand far apart pass, and bound its memory."""
+
+    def __init__(self):
+        self.now, self.older = set(), set()
+
+    def new(self, x) -> bool:
+        if x in self.now or x in self.older:
+            return False
+        if len(self.now) >= RECENT:
+            self.now, self.older = set(), self.now
+        self.now.add(x)
+        return True
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -52,15 +67,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, dtype=U)
-    try:
-        h = np.fromiter(map(_WORDS.__getitem__, words), dtype=U, count=len(words))
-    except KeyError:
-        if len(_WORDS) > MEMO:
-            _WORDS.clear()
-        for w in words:
-            if w not in _WORDS:
-                _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(_WORDS.__getitem__, words), dtype=U, count=len(words))
+    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=U, count=len(words))
     k = min(n, len(words))
     out = h[: len(h) - k + 1].copy()
     for i in range(1, k):
@@ -136,7 +143,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _sets(n, num, den):
     def run(batches):
-        seen: set[int] = set()
+        seen = Recent()
         for b in batches:
             size, cls, keys = [], [], []
             for text in text_bytes(b.column(1)):
@@ -144,11 +151,7 @@ def _sets(n, num, den):
                 size.append(len(h))
                 c = class_of(h) if len(h) else None
                 cls.append(None if c is None else c - (1 << 64) if c >> 63 else c)
-                if c is None or c in seen:
-                    keys.append(None)
-                else:
-                    seen.add(c)
-                    keys.append(keys_of(h, num, den).view(np.int64))
+                keys.append(keys_of(h, num, den).view(np.int64) if c is not None and seen.new(c) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "c", "keys"])
 
     return run
@@ -187,13 +190,14 @@ def _tiles(batches):
 
 def _arrays(n, num, den):
     def run(batches):
+        seen = Recent()
         for b in batches:
             c, size, arr, bits = [], [], [], []
             for want, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
                 h = shingles(text or b"", n)
                 own = class_of(h) if len(h) else None
-                if own is None or want is not None and own != want % (1 << 64):
-                    continue  # another row with the same id
+                if own is None or want is not None and own != want % (1 << 64) or not seen.new(own):
+                    continue  # another row with the same id, or one more with the same text
                 c.append(own - (1 << 64) if own >> 63 else own)
                 size.append(len(h))
                 arr.append(h.tobytes())
@@ -317,26 +321,26 @@ class JaccardJoin:
 def jaccard_join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=5, num=8, den=10) -> JaccardJoin:
     """Components of documents whose sets of n-word shingles have den * intersection >= num * union.
 
-    Null and empty texts have empty sets, which link with nothing. Rows that repeat an id are
+    An empty table gives no rows; other columns are left out, whatever their names. Null and empty texts have empty sets, which link with nothing. Rows that repeat an id are
     documents of their own, and count under that id. Rows without an id link as any others; only where all
     of a component have none is its component_id null. Texts of any length are taken whole."""
     spark = docs.sparkSession
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    sets = cut(base.mapInArrow(_sets(n, num, den), "doc_id long, n_shingles long, c long, keys array<long>"), "sets")
+    sets = cut(base.transform(mapped, _sets(n, num, den), "doc_id long, n_shingles long, c long, keys array<long>"), "sets")
     own = sets.select("doc_id", "n_shingles", "c")
     classes = cut(own.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep")), "classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = sets.filter("keys is not null").select(F.explode("keys").alias("key"), "c")
-    live = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "c").mapInArrow(_tiles, "key long, c long, hub long"), "tiles")
+    live = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "c").transform(mapped, _tiles, "key long, c long, hub long"), "tiles")
     release(spark)
     own = cut(own, "sizes")
     drop_cut(sets)
     wanted = live.select("c").distinct().join(classes, "c").select("c", "rep")
     texts = base.join(wanted, base["doc_id"] == wanted["rep"]).select("c", "text")
     kinds = "c long, size long, arr binary, bits binary"
-    found = texts.mapInArrow(_arrays(n, num, den), kinds)
+    found = texts.transform(mapped, _arrays(n, num, den), kinds)
     if classes.filter("rep is null").head(1):  # classes without an id: by the class of each text
-        nameless = base.filter("doc_id is null").select(F.lit(None).cast("long").alias("c"), "text").distinct().mapInArrow(_arrays(n, num, den), kinds)
+        nameless = base.filter("doc_id is null").select(F.lit(None).cast("long").alias("c"), "text").distinct().transform(mapped, _arrays(n, num, den), kinds)
         found = found.unionByName(nameless.join(wanted.filter("rep is null").select("c"), "c", "left_semi").dropDuplicates(["c"]))
     arrays = cut(found, "arrays")
     release(spark)
@@ -344,11 +348,11 @@ def jaccard_join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=5, num=
 
     def bounded(pairs):
         both = pairs.join(signs.toDF("u", "su", "p"), "u").join(signs.toDF("v", "sv", "q"), "v").filter(den * F.least("su", "sv") >= num * F.greatest("su", "sv"))
-        return both.select("u", "v", "su", "sv", "p", "q").mapInArrow(_bounded(num, den), "u long, v long").distinct()
+        return both.select("u", "v", "su", "sv", "p", "q").transform(mapped, _bounded(num, den), "u long, v long").distinct()
 
     def exact(pairs):
         left, right = arrays.select(F.col("c").alias("u"), F.col("arr").alias("x")), arrays.select(F.col("c").alias("v"), F.col("arr").alias("y"))
-        out = cut(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(_exact(num, den), "u long, v long").distinct(), "links")
+        out = cut(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").transform(mapped, _exact(num, den), "u long, v long").distinct(), "links")
         release(spark)
         return out
 
@@ -370,7 +374,7 @@ def jaccard_join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=5, num=
         rows = placed.join(tiles, "key").withColumn("blk", F.pmod(F.xxhash64("c"), "nb")).join(signs, "c")
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
         rows = rows.select("key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "c", "comp", "size", "bits")
-        pairs = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_block_pairs(num, den, forest), "u long, v long").distinct()
+        pairs = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").transform(mapped, _block_pairs(num, den, forest), "u long, v long").distinct()
         return cut(pairs, "pairs")
 
     # then the tiles that still hold several components: a forest of what may link, and at last all that is left
