@@ -103,7 +103,8 @@ def land(p: list[float], s: list[int]) -> list[float]:
 
 def _flight(last: bool):
     def block(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("_h", "ascending"), ("_size", "ascending"), ("_id", "ascending")])
+        # long documents first: those still open at the end, which the landing rounds, are the shortest
+        t = t.sort_by([("_size", "descending"), ("_h", "ascending"), ("_id", "ascending")])
         p, s = t.column("_p").to_pylist(), t.column("_size").to_pylist()
         p = fly(p, s)
         if last:
