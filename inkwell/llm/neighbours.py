@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, mapped, table
 
 #: Rows the index is fitted on, at most: those of the smallest hash of the id.
 SAMPLE = 6144
@@ -213,7 +213,7 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, sample: int = SA
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index.home(_matrix(b.column(1))), pa.int32())], ["vec_id", "v", "part"])
 
-    placed = cut(rows.mapInArrow(place, "vec_id long, v array<double>, part int"), "indexed")
+    placed = cut(rows.transform(mapped, place, "vec_id long, v array<double>, part int"), "indexed")
     held = np.zeros(index.parts, dtype=np.int64)
     for r in placed.groupBy("part").count().collect():  # one row a part
         held[r["part"]] = r["count"]
@@ -232,7 +232,7 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, sample: int = SA
             take = pa.array([i for i, *_ in found], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array([g for _, g, _ in found], pa.int32()), pa.array([w for *_, w in found], pa.list_(pa.int32()))], ["vec_id", "v", "bundle", "ways"])
 
-    routed = cut(queries.mapInArrow(route, "vec_id long, v array<double>, bundle int, ways array<int>"), "routed")
+    routed = cut(queries.transform(mapped, route, "vec_id long, v array<double>, bundle int, ways array<int>"), "routed")
     asked = np.zeros(len(size), dtype=np.int64)
     for r in routed.groupBy("bundle").count().collect():  # one row a bundle
         asked[r["bundle"]] = r["count"]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_strings
+from .common import mapped, text_strings
 
 WINDOW = 1024
 END = 0
@@ -78,7 +78,7 @@ def pack_stream(docs, window: int = WINDOW):
             yield from emit([(key, k, ids[k : k + window], n)])
         if n > whole:
             bin_ = rule.place(n - whole, list)
-            bin_.append((key, whole, ids[whole:], n))
+            bin_.append((key, whole, ids[whole:].copy(), n))  # a view would hold all ids of the document
             if sum(len(x[2]) for x in bin_) == window:
                 yield from emit(bin_)
     pieces, room = [], window
@@ -102,7 +102,7 @@ def pack_stream(docs, window: int = WINDOW):
 def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer=None, window=WINDOW, end=END, with_ids=True) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (or only ids_crc32), doc_tokens, sequence_id, offset.
 
-    A null text is empty and still has the end id. Rows that repeat an id are documents of their
+    An empty table gives no rows; other columns are left out, whatever their names. A null text is empty and still has the end id. Rows that repeat an id are documents of their
     own. sequence_id is the partition's number times 2^32 and the packer's count, unique over
     the table. No shuffle: a lost task packs its partition again, to the same result."""
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer=None, w
         if rows:
             yield batch()
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).transform(mapped, run, schema)
 
 
 def op5(spark, sf_dir):

@@ -15,15 +15,19 @@ from array import array
 import numpy as np
 import regex
 
+from .common import Memo
+
 #: The pre-token pattern of byte-level BPE.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Fixed rule of byte-level BPE: printable bytes stand for themselves, others for U+0100 and up.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in set(_PRINTABLE)]
 BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(_REST)}
-#: What ASCII stands as in pieces; marks that are a pre-token of their own after letters.
-_FIRST = {chr(b): chr(c) for b, c in BYTE_CHARS.items() if b < 128}
+#: What characters to U+024F stand as in pieces; marks that are a pre-token of their own after letters.
+_LATIN = {c: "".join(chr(BYTE_CHARS[b]) for b in chr(c).encode()) for c in range(0x250)}
 _MARKS = frozenset(".,;:!?")
+#: Chunks of a memo's generation: some 160 bytes each.
+MEMO = 200_000
 
 
 def default_tokenizer() -> str:
@@ -35,9 +39,9 @@ def default_tokenizer() -> str:
 class SubwordEncoder:
     """encode(text) gives the library's ids (add_special_tokens=False; the strings of special
     tokens are ordinary text) as little-endian unsigned 16-bit bytes. memo_limit bounds memory,
-    not results: a full memo is emptied."""
+    not results."""
 
-    def __init__(self, path: str | None = None, memo_limit: int = 400_000):
+    def __init__(self, path: str | None = None, memo_limit: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,35 +51,36 @@ class SubwordEncoder:
         if self.n_ids > 1 << 16:
             raise ValueError("ids over 65535")
         self.by_model = self.tokenizer.model.tokenize
-        self.chunks: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.heads: dict[bytes, bytes] = {}
-        self.memo_limit = memo_limit
+        self.marks = {m: self._piece(m) for m in _MARKS}
+        self.line = self._piece("\n")
+        self.chunks = Memo(self._chunk, memo_limit)
 
     def full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2").tobytes()
 
+    def _ids(self, mapped: str) -> bytes:
+        return array("H", [t.id for t in self.by_model(mapped)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > self.memo_limit:
-                self.pieces.clear()
-            if piece.isascii() and piece[1:].isalnum():  # only the first may be a space or line feed
-                mapped = _FIRST.get(piece[0], piece[0]) + piece[1:]
-            else:
-                mapped = piece.encode().decode("latin-1").translate(BYTE_CHARS)
-            found = self.pieces[piece] = array("H", [t.id for t in self.by_model(mapped)]).tobytes()
-        return found
-
-    def _chunk(self, chunk: str, first: bool = False) -> bytes | None:
-        """Ids of a chunk with the space or line feed before it; None: not to be encoded alone."""
-        if not first and chunk.isalpha() and max(chunk) <= "\u024f":
-            return self._piece(" " + chunk)
-        word = chunk[:-1]
-        if not first and chunk[-1:] in _MARKS and word.isalpha() and max(word) <= "\u024f":
-            return self._piece(" " + word) + self._piece(chunk[-1])
-        lined = chunk[:1] == "\n"
-        body = chunk[1:] if lined else chunk
+        """Ids of a pre-token of characters to U+024F."""
+        return self._ids(piece.translate(_LATIN))
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        """Ids of a chunk with the space before it, or its line feed; of a text's first chunk, marked by a space, as it
+        is. None: not to be encoded alone."""
+        if chunk.isalpha():
+            if chunk.isascii():
+                return self._ids("\u0120" + chunk)
+            if max(chunk) <= "\u024f":
+                return self._ids("\u0120" + chunk.translate(_LATIN))
+        first, lined = chunk[:1] == " ", chunk[:1] == "\n"
+        if not first:
+            body = chunk[1:] if lined else chunk
+            if lined and body.isalpha() and max(body) <= "\u024f":
+                return self.line + self._piece(body)
+            if body[-1:] in _MARKS and body[:-1].isalpha() and max(body) <= "\u024f":
+                return self.chunks[chunk[:-1]] + self.marks[chunk[-1]]
+        body = chunk[1:] if first or lined else chunk
         if not body:
             return None
         whole = body if first else f"\n{body}" if lined else f" {body}"
@@ -88,23 +93,14 @@ class SubwordEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        chunks, memo = text.replace("\n", " \n").split(" "), self.chunks
-        head, chunks[0] = chunks[0], "the"
-        try:
-            found = list(map(memo.__getitem__, chunks))
-        except KeyError:
-            if len(memo) > self.memo_limit:
-                memo.clear()
-            for c in chunks:
-                if c not in memo:
-                    memo[c] = self._chunk(c)
-            found = list(map(memo.__getitem__, chunks))
-        if head[:1] == "\n" or text[0] == "\n":
-            return self.full(text)
-        found[0] = self._chunk(head, first=True)
-        if None in found:
-            return self.full(text)
-        return b"".join(found)
+        if text[0] != "\n":
+            chunks = text.replace("\n", " \n").split(" ")
+            chunks[0] = " " + chunks[0]
+            try:
+                return b"".join(map(self.chunks.__getitem__, chunks))
+            except TypeError:  # a chunk that can't be encoded alone
+                pass
+        return self.full(text)
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype="<u2")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, release, table, text_bytes
+from .common import cut, drop_cut, mapped, release, table, text_bytes
 
 U = np.uint64
 #: Window starts handled at a time; bits of a place in the order of anchors.
@@ -207,18 +207,18 @@ def _round(rows: DataFrame, group: list[str]):
 def repeated_windows(base: DataFrame, length: int, k: int = ANCHOR, step: int = STEP) -> DataFrame:
     """k1, k2 and runs (s, e) of each text with any: windows that start at s to e recur. base: k1, k2, text."""
     spark = base.sparkSession
-    first = cut(base.mapInArrow(_first_ranks(length, k), "k1 long, k2 long, a long, lo short, hi short, rank long, span long"), "anchors")
+    first = cut(base.transform(mapped, _first_ranks(length, k), "k1 long, k2 long, a long, lo short, hi short, rank long, span long"), "anchors")
     whole, left, seen = _round(first.withColumn("done", F.lit(False)), ["rank"])
     drop_cut(first)
     release(spark)
     per_doc = left.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "lo", "hi", "rank", "done")).alias("left"))
-    contexts = cut(base.join(per_doc, ["k1", "k2"]).select("k1", "k2", "text", "left").mapInArrow(_contexts(length), "k1 long, k2 long, a long, lo short, hi short, rank long, done boolean, context binary"), "contexts")
+    contexts = cut(base.join(per_doc, ["k1", "k2"]).select("k1", "k2", "text", "left").transform(mapped, _contexts(length), "k1 long, k2 long, a long, lo short, hi short, rank long, done boolean, context binary"), "contexts")
     release(spark)
     found, tables = whole, [seen]
     runs = contexts.select("k1", "k2", "a", F.col("hi").alias("high"), "lo", "hi", "rank", "done", "context")
     for width in (step, 1):
         schema = "k1 long, k2 long, a long, lo short, hi short, rank long, cell short, core long, span long, done boolean"
-        ranked = cut(runs.mapInArrow(_next_ranks(length, width), schema), "runs")
+        ranked = cut(runs.transform(mapped, _next_ranks(length, width), schema), "runs")
         if width == 1:
             drop_cut(contexts)
         release(spark)
@@ -269,7 +269,7 @@ def strip_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = docs.select(F.xxhash64(docs[id_col].cast("long"), text).alias("k1"), F.xxhash64(text, F.lit("k2"), docs[id_col].cast("long")).alias("k2"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
     runs = repeated_windows(base.select("k1", "k2", "text"), length)
-    return base.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs").mapInArrow(_strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return base.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs").transform(mapped, _strip(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def op4(spark, sf_dir):
