@@ -1,19 +1,21 @@
 """Removal of repeated byte strings by distributed prefix doubling over sampled positions.
 
-Plain prefix doubling would sort a rank pair for every byte of the corpus, many times its size. Here only
+Plain prefix doubling would sort a pair of ranks for every byte of the corpus, many times its size. Here only
 anchors take part: in each window of `length` bytes the k-byte string of least hash, its
 leftmost if tied. Equal windows have their anchor at the same offset, so a window recurs if and only if
 an equal one has an equal anchor, and all windows of one anchor (a run of offsets) go together as long as they can.
 
-The first rank of a run of windows is its anchor's k bytes. Spark groups the (position, rank) pairs; a rank that
-only one position has is unique, and its windows are done. A run all of whose bytes recur with the
-same offsets is past the threshold, and done too: all its windows recur. The others are ranked
-anew by the pair of their rank and the longer string that all windows of a shorter run of offsets share:
-k, then length - step + 1, then length bytes, when each window stands alone. A run that is
-done stays on as one witness while runs that are not share its rank. So each round sorts fewer
-positions, by longer strings, until each is unique or has the full length.
-
-Ranks are 64-bit hashes of their strings, beside that of the anchor: 128 bits to compare by.
+The first rank of a run of windows is that of its anchor's k bytes. Each round then doubles the string: a
+position's new rank is that of the pair (its own rank, the string of as many bytes at that offset), k, 2k, 4k bytes and
+on, by Spark's sorted aggregation and join. The string grows to the right where all windows of the run hold that, else
+to the left, which parts a run by offsets in a few at most. A pair that only one position has is unique, and its
+windows are done; so is a run all of whose bytes recur with the same offsets: it is past the threshold, all its windows
+recur. A rank names its string: it is made of the least position that has it. When the next doubling would leave the
+window, the pairs' second part is what else all windows of a shorter run of offsets share: length - step + 1 bytes in all, and
+at last `length`, when each window stands alone. A run that is done stays on as one witness while runs that
+are not share its rank. So each round sorts fewer positions, by longer strings, until each is unique or has the full length.
+
+Strings of a pair's second part stand as 64-bit hashes, and so do ranks: 128 bits to compare by in each round.
 """
 
 from __future__ import annotations
@@ -158,6 +160,54 @@ def _contexts(length):
     return run
 
 
+def ladder(length: int, k: int):
+    """Ranges of offsets (from, to), each with its cores: for k, 2k, 4k bytes and on, as long as three such strings fit in a
+    window, how far before the anchor the string starts. All windows of the range hold all its cores."""
+    rungs, h = [(0, length - k, [0])], k
+    while 3 * h <= length:
+        out = []
+        for lo, hi, cores in rungs:
+            edge = length + cores[-1] - 2 * h  # the greatest offset whose window holds the string doubled to the right
+            if lo <= edge:
+                out.append((lo, min(hi, edge), [*cores, cores[-1]]))
+            if hi > edge:
+                out.append((max(lo, edge + 1), hi, [*cores, cores[-1] + h]))
+        rungs, h = out, 2 * h
+    return rungs
+
+
+def _pairs(length, k):
+    """Runs of each context cut at the ladder's ranges: the string at each doubling's offset, and the hash of all bytes
+    that the run's windows cover."""
+    rungs = ladder(length, k)
+    n = len(rungs[0][2]) - 1
+
+    def run(batches):
+        for b in batches:
+            ctx = b.column(7).to_pylist()
+            for s in range(0, len(ctx), 1024):
+                part = b.slice(s, 1024)
+                k1, k2, a, lo, hi, rank = (part.column(i).to_numpy() for i in range(6))
+                done = part.column(6).to_numpy(zero_copy_only=False)
+                lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+                some = ctx[s : s + 1024]
+                at = np.cumsum([0] + [len(c) for c in some])[:-1] + hi  # the anchor's place
+                hashes = Hashes(np.frombuffer(b"".join(some), dtype=np.uint8))
+                for j, (f, t, cores) in enumerate(rungs):
+                    i = np.flatnonzero((lo <= t) & (hi >= f))
+                    first, last = np.maximum(lo[i], f), np.minimum(hi[i], t)
+                    names, h = [], k
+                    for c, after in zip(cores, cores[1:]):
+                        start = at[i] - c + h if after == c else at[i] - after
+                        names.append(_signed(hashes.of(start, start + h)))
+                        h *= 2
+                    span = _signed(hashes.of(at[i] - last, at[i] - first + length))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x[i]) for x in (k1, k2, a)], pa.array(first.astype(np.int16)), pa.array(last.astype(np.int16)), pa.array(rank[i]), pa.array(np.full(len(i), j, dtype=np.int16)), *names, span, pa.array(done[i])], ["k1", "k2", "a", "lo", "hi", "rank", "rung", *[f"n{r}" for r in range(n)], "span", "done"])
+
+    schema = "k1 long, k2 long, a long, lo short, hi short, rank long, rung short, " + "".join(f"n{r} long, " for r in range(n)) + "span long, done boolean"
+    return n, run, schema
+
+
 def _next_ranks(length, step):
     """Runs of offsets (from, to) of each context cut at multiples of step, with the hash of what all windows of
     the cell share and that of all that the run's windows cover."""
@@ -188,20 +238,22 @@ def _next_ranks(length, step):
     return run
 
 
-def _round(rows: DataFrame, group: list[str]):
-    """One reranking: (runs that recur whole, runs to rank anew, the table of both). rows: k1, k2, a, lo, hi, span, done and group."""
+def _round(rows: DataFrame, group: list[str], keep: list[str] = ()):
+    """One reranking: (runs that recur whole, runs to rank anew, the table of both). rows: k1, k2, a, lo, hi, span, done, group
+    and keep; the rank of those left is made of the least position of their group."""
     cls = [*group, "lo", "hi", "span"]
     classes = rows.groupBy(*cls).agg(F.count(F.lit(1)).alias("n"), F.sum((~F.col("done")).cast("long")).alias("u"), F.min(F.struct("k1", "k2", "a")).alias("w"))
-    groups = classes.groupBy(*group).agg(F.sum("n").alias("all_n"), F.sum(((F.col("n") == 1) & (F.col("u") == 1)).cast("long")).alias("open_n")).filter("all_n > 1")
+    groups = classes.groupBy(*group).agg(F.sum("n").alias("all_n"), F.sum(((F.col("n") == 1) & (F.col("u") == 1)).cast("long")).alias("open_n"), F.min("w").alias("least")).filter("all_n > 1")
     live = classes.join(groups, group).filter("(n > 1 and (u > 0 or open_n > 0)) or open_n > 0")
+    live = live.withColumn("new_rank", F.xxhash64("least.k1", "least.k2", "least.a", *[c for c in group if c in ("rung", "cell")]) if len(group) > 1 else F.col("rank")).drop("least")
     witness = (F.col("n") > 1) & (F.col("w.k1") == F.col("k1")) & (F.col("w.k2") == F.col("k2")) & (F.col("w.a") == F.col("a"))
     seen = rows.join(live, cls).select(
-        "k1", "k2", "a", "lo", "hi", "rank", (F.col("done") | (F.col("n") > 1)).alias("done"),
+        "k1", "k2", "a", "lo", "hi", F.col("new_rank").alias("rank"), *keep, (F.col("done") | (F.col("n") > 1)).alias("done"),
         ((F.col("n") > 1) & ~F.col("done")).alias("whole"), ((F.col("open_n") > 0) & ((F.col("n") == 1) | witness)).alias("left"),
     )
     seen = cut(seen.filter(F.col("whole") | F.col("left")), "ranks")
     whole = seen.filter("whole").select("k1", "k2", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo")).alias("e"))
-    return whole, seen.filter("left").select("k1", "k2", "a", "lo", "hi", "rank", "done"), seen
+    return whole, seen.filter("left").drop("whole", "left"), seen
 
 
 def repeated_windows(base: DataFrame, length: int, k: int = ANCHOR, step: int = STEP) -> DataFrame:
@@ -215,7 +267,20 @@ def repeated_windows(base: DataFrame, length: int, k: int = ANCHOR, step: int =
     contexts = cut(base.join(per_doc, ["k1", "k2"]).select("k1", "k2", "text", "left").transform(mapped, _contexts(length), "k1 long, k2 long, a long, lo short, hi short, rank long, done boolean, context binary"), "contexts")
     release(spark)
     found, tables = whole, [seen]
-    runs = contexts.select("k1", "k2", "a", F.col("hi").alias("high"), "lo", "hi", "rank", "done", "context")
+    doublings, run, schema = _pairs(length, k)
+    left = pairs = cut(contexts.transform(mapped, run, schema), "pairs")
+    for r in range(doublings):
+        ahead = [f"n{x}" for x in range(r + 1, doublings)]
+        if ahead:
+            ahead += ["rung", "span"]
+        whole, left, seen = _round(left, ["rank", "rung", f"n{r}"], ahead)
+        found = found.unionByName(whole)
+        tables.append(seen)
+        release(spark)
+    drop_cut(pairs)
+    around = contexts.select("k1", "k2", "a", F.col("lo").alias("low"), F.col("hi").alias("high"), "context")
+    held = lambda left: left.select("k1", "k2", "a", "lo", "hi", "rank", "done").distinct().join(around, ["k1", "k2", "a"]).filter("lo >= low and hi <= high").select("k1", "k2", "a", "high", "lo", "hi", "rank", "done", "context")
+    runs = held(left)
     for width in (step, 1):
         schema = "k1 long, k2 long, a long, lo short, hi short, rank long, cell short, core long, span long, done boolean"
         ranked = cut(runs.transform(mapped, _next_ranks(length, width), schema), "runs")
@@ -227,8 +292,7 @@ def repeated_windows(base: DataFrame, length: int, k: int = ANCHOR, step: int =
         found = found.unionByName(whole)
         tables.append(seen)
         if width > 1:
-            around = contexts.select("k1", "k2", "a", F.col("lo").alias("low"), F.col("hi").alias("high"), "context")
-            runs = left.distinct().join(around, ["k1", "k2", "a"]).filter("lo >= low and hi <= high").select("k1", "k2", "a", "high", "lo", "hi", "rank", "done", "context")
+            runs = held(left)
     runs = cut(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "repeats")
     for t in tables:
         drop_cut(t)
@@ -264,6 +328,7 @@ def strip_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 and kept_text, without every byte that a string of
     `length` bytes covers which starts anywhere else too.
 
+    An empty table gives no rows; a null id is an id like any other; other columns are left out, whatever their names.
     A null text is empty; shorter texts lose nothing. Equal rows are occurrences of their own, and so lose all
     their bytes if they have `length`. kept_text has U+FFFD where a cut parts a character; the hash is of the bytes."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
