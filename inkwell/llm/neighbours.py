@@ -2,14 +2,17 @@
 
 On a bounded sample: a graph of nearest neighbours, a balanced partition of it, and a small network that
 learns, from a vector, how its neighbours are spread over the parts. Every row is indexed in its most
-probable part; a query goes to its most probable parts, as many as reach the wanted recall on
-sample queries, and more where they hold too few rows; their rows are ranked by exact inner products.
+probable part; a query goes to its most probable parts, and more where they hold too few rows; their rows are ranked by
+exact inner products. How many parts those are is measured, not assumed: rows that the network was not fitted on are
+queries, their true neighbours are found among all rows of the index, and the fewest parts are taken that hold the wanted share of these.
 Small parts are searched in bundles, large ones are split into cells and many queries into blocks, so that a task
 holds a bounded number of both and a query returns few lists.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,10 +22,13 @@ from .common import cut, mapped, table
 
 #: Rows the index is fitted on, at most: those of the smallest hash of the id.
 SAMPLE = 6144
-#: Rows a part has on average, and bounds of the number of parts; rows of a cell and queries of a block, on average.
-PART_ROWS, MOST_PARTS = 2048, 192
+#: Rows of the sample that are queries of the measurement instead, at most, and one in how many.
+HELD_OUT, HELD_OUT_IN = 256, 8
+#: Bound of the number of parts, which is the square root of that of rows: two parts or more from 64 rows on. Rows of a
+#: cell and queries of a block, on average.
+MOST_PARTS, LEAST_SPLIT = 192, 64
 CELL, QUERY_BLOCK = 16_384, 8192
-GRAPH_K, HIDDEN, WANTED = 12, 64, 0.975
+GRAPH_K, HIDDEN, WANTED = 12, 64, 0.93
 
 
 def usable(vector):
@@ -115,30 +121,30 @@ class Router:
 
 
 class LearnedPartitions:
-    """parts, router, and probes: parts a query is sent to."""
+    """parts, router (none for one part), probes: parts a query is sent to, recall: the share of true neighbours that these
+    held in the measurement (None before)."""
 
-    def __init__(self, parts: int, router: Router | None, probes: int):
-        self.parts, self.router, self.probes = parts, router, probes
+    def __init__(self, parts: int, router: Router | None, probes: int = 1):
+        self.parts, self.router, self.probes, self.recall = parts, router, probes, None
 
     @classmethod
-    def fit(cls, x: np.ndarray, parts: int, k: int = 20, wanted: float = WANTED) -> "LearnedPartitions":
-        """probes: the fewest parts that hold `wanted` of the true neighbours of up to 512 sample rows."""
-        parts = max(1, min(parts, len(x) // 32))
-        if parts == 1:
-            return cls(1, None, 1)
+    def fit(cls, x: np.ndarray, parts: int) -> "LearnedPartitions":
+        if len(x) < LEAST_SPLIT or parts < 2:
+            return cls(1, None)
+        parts = max(2, min(parts, len(x) // 24))
         near = graph(x, min(GRAPH_K, len(x) - 1))
         part = balanced_partition(x, near, parts)
-        router = Router.fit(x, near, part, parts)
-        z = router.logits(x)
-        home = z.argmax(axis=1)
-        probe = np.arange(0, len(x), max(1, len(x) // 512))
-        p = x[probe] @ x.T
-        p[np.arange(len(probe)), probe] = -np.inf
-        true = np.argpartition(-p, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
-        rank = np.argsort(np.argsort(-z[probe], axis=1, kind="stable"), axis=1, kind="stable")
-        needed = np.take_along_axis(rank, home[true], axis=1).ravel()
-        share = np.cumsum(np.bincount(needed, minlength=parts)) / len(needed)
-        return cls(parts, router, int(np.searchsorted(share, wanted)) + 1)
+        return cls(parts, Router.fit(x, near, part, parts), parts)
+
+    def measure(self, queries: np.ndarray, true: list[list[int]], wanted: float) -> None:
+        """Set probes to the fewest that hold `wanted` of the queries' true neighbours, given by their parts."""
+        if not self.router or not sum(map(len, true)):
+            return
+        rank = np.argsort(np.argsort(-self.router.logits(queries), axis=1, kind="stable"), axis=1, kind="stable")
+        needed = np.concatenate([rank[i, parts] for i, parts in enumerate(true) if parts])
+        share = np.cumsum(np.bincount(needed, minlength=self.parts)) / len(needed)
+        self.probes = int(np.searchsorted(share, wanted)) + 1
+        self.recall = float(share[self.probes - 1])
 
     def home(self, x: np.ndarray) -> np.ndarray:
         return self.router.logits(x).argmax(axis=1) if self.router else np.zeros(len(x), dtype=np.int64)
@@ -190,30 +196,71 @@ def _rank(k: int):
     return run
 
 
-def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, sample: int = SAMPLE, part_rows: int = PART_ROWS, wanted: float = WANTED) -> DataFrame:
-    """query_id, rank, vec_id, score: of each query its k nearest rows found, by inner product, without the row of its
-    own id; ties to the smaller id. rows and queries: vec_id, embedding.
+def _nearest(queries: np.ndarray, ids: np.ndarray, k: int):
+    """The k nearest rows of each query in a partition: query's number, score, part."""
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
-    another length than the most of the sample; fewer rows than k are all found. Rows that repeat an id are
-    rows of their own. The fit sees at most `sample` rows; every row is indexed."""
-    clean = lambda d: d.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows, queries = clean(rows), clean(queries)
+    def run(batches):
+        best: list = [[] for _ in queries]
+        for b in batches:
+            p = queries @ _matrix(b.column(1)).T
+            p[ids[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
+            at = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
+            part = b.column(2).to_numpy()
+            for i, a in enumerate(at):
+                best[i] = sorted(best[i] + [(float(p[i, j]), int(part[j])) for j in a if np.isfinite(p[i, j])], reverse=True)[:k]
+        rows = [(i, *x) for i, found in enumerate(best) for x in found]
+        if rows:
+            q, score, part = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(score, pa.float64()), pa.array(part, pa.int32())], ["q", "score", "part"])
+
+    return run
+
+
+def build_index(rows: DataFrame, *, k: int = 20, sample: int = SAMPLE, part_rows: int | None = None, wanted: float = WANTED):
+    """(index, table of vec_id, v and part) of rows(vec_id, v), all of one length; (None, None) for an empty table.
+
+    Fitted on at most `sample` rows, less those held out. Parts have part_rows rows each where that is given."""
     few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not few:
-        return rows.sparkSession.createDataFrame([], schema)
-    lengths = np.bincount([len(r["v"]) for r in few])
-    width = int(lengths.argmax())
-    rows, queries = rows.filter(F.size("v") == width), queries.filter(F.size("v") == width)
+        return None, None
     n = rows.count()
-    index = LearnedPartitions.fit(np.array([r["v"] for r in few if len(r["v"]) == width]), min(MOST_PARTS, max(1, n // part_rows)), k, wanted)
+    parts = min(MOST_PARTS, max(2, n // part_rows if part_rows else math.isqrt(n))) if n >= LEAST_SPLIT else 1
+    x = np.array([r["v"] for r in few])
+    out = np.arange(len(few)) % HELD_OUT_IN == 0 if parts > 1 else np.zeros(len(few), dtype=bool)
+    out[np.flatnonzero(out)[HELD_OUT:]] = False
+    index = LearnedPartitions.fit(x[~out], parts)
 
     def place(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(index.home(_matrix(b.column(1))), pa.int32())], ["vec_id", "v", "part"])
 
     placed = cut(rows.transform(mapped, place, "vec_id long, v array<double>, part int"), "indexed")
+    if index.router:
+        ids = np.array([r["vec_id"] for r in few])[out]
+        found = placed.select("vec_id", "v", "part").transform(mapped, _nearest(x[out], ids, k), "q int, score double, part int")
+        best = found.withColumn("_k", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "part"))).filter(F.col("_k") <= k)
+        true: list[list[int]] = [[] for _ in ids]
+        for r in best.collect():  # k rows a held-out query
+            true[r["q"]].append(r["part"])
+        index.measure(x[out], true, wanted)
+    return index, placed
+
+
+def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, sample: int = SAMPLE, part_rows: int | None = None, wanted: float = WANTED) -> DataFrame:
+    """query_id, rank, vec_id, score: of each query its k nearest rows found, by inner product, without the row of its
+    own id; ties to the smaller id. rows and queries: vec_id, embedding; other columns are left out, whatever their names.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
+    another length than the most of the sample; fewer rows than k are all found. Rows that repeat an id are
+    rows of their own; queries that repeat an id are one. Empty tables give no rows. The fit sees at most `sample` rows; every row is indexed."""
+    clean = lambda d: d.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows, queries = clean(rows), clean(queries).dropDuplicates(["vec_id"])
+    schema = "query_id long, rank int, vec_id long, score double"
+    lengths = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+    if lengths is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    rows, queries = rows.filter(F.size("v") == lengths["n"]), queries.filter(F.size("v") == lengths["n"])
+    index, placed = build_index(rows, k=k, sample=sample, part_rows=part_rows, wanted=wanted)
     held = np.zeros(index.parts, dtype=np.int64)
     for r in placed.groupBy("part").count().collect():  # one row a part
         held[r["part"]] = r["count"]
