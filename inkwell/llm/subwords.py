@@ -50,11 +50,29 @@ class SubwordEncoder:
         self.n_ids = self.tokenizer.get_vocab_size()
         if self.n_ids > 1 << 16:
             raise ValueError("ids over 65535")
+        self.begins = np.zeros(self.n_ids, dtype=bool)  # ids that begin with a space
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.by_model = self.tokenizer.model.tokenize
         self.marks = {m: self._piece(m) for m in _MARKS}
         self.line = self._piece("\n")
         self.chunks = Memo(self._chunk, memo_limit)
 
+    @staticmethod
+    def plain(word: str) -> bool:
+        """Whether a word is letters to U+024F, and one of the marks at most: pre-tokens that plain_ids takes."""
+        return (word.isalpha() or word[-1:] in _MARKS and word[:-1].isalpha()) and (word.isascii() or max(word) <= "\u024f")
+
+    def plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words in a row, each with a space before it, and how many each has.
+
+        No id of the vocabulary goes past the end of a pre-token, so the model may take many in one string:
+        a word's first id is the next that begins with a space."""
+        out = array("H")
+        for s in range(0, len(words), 32):
+            out.extend([t.id for t in self.by_model((" " + " ".join(words[s : s + 32])).translate(_LATIN))])
+        ids = np.frombuffer(out.tobytes(), dtype="<u2")
+        return ids, np.diff(np.flatnonzero(self.begins[ids]), append=len(ids))
+
     def full(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2").tobytes()
 
