@@ -47,13 +47,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the store that its path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table made by cut() that nothing reads any more."""
     path = getattr(df, "_inkwell_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
