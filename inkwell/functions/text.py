@@ -22,6 +22,11 @@ BOILERPLATE = (
     r"^\s*\d{1,4}\s*$",
 )
 BOILERPLATE_LENGTH = 60
+SCOPE_PATTERN = "全局变量|局部变量|包外|其他包|导入|导出|访问"
+SCOPE_SYNONYMS = ("可见性", "公有", "私有", "大写", "小写", "包内", "包外")
+NAME_SYNONYMS = ("命名规则", "名称", "类型", "变量")
+LANGUAGE_WORDS = ("变量", "标识符", "包", "可见性")
+FORMULA = r"(?:\\[a-zA-Z]+|[_^{}=+*/]|\d)"
 
 _SPACE = r"[ \t\n\r\x0b\x0c]"
 
@@ -54,8 +59,16 @@ def is_boilerplate(line: Column) -> Column:
 def tokenize(c: Column) -> Column:
     """Runs of Latin letters, digits and signs whole, runs of ideographs as pairs (single ones whole), case kept."""
     pairs = lambda seg: F.transform(F.sequence(F.lit(1), F.length(seg) - 1), lambda i: F.substring(seg, i, F.lit(2)))
-    parts = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(parts, lambda s: F.when(s.rlike(f"^{CJK}{{2,}}$"), pairs(s)).otherwise(F.array(s))))
+    c = F.coalesce(c, F.lit(""))
+    parts = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    paired = F.flatten(F.transform(parts, lambda s: F.when(s.rlike(f"^{CJK}{{2,}}$"), pairs(s)).otherwise(F.array(s))))
+    return F.when(c.rlike(CJK), paired).otherwise(parts)
+
+
+def token_count(c: Column) -> Column:
+    """Size of tokenize(c); without ideographs that is the number of matches."""
+    c = F.coalesce(c, F.lit(""))
+    return F.when(c.rlike(CJK), F.size(tokenize(c))).otherwise(F.regexp_count(c, F.lit(TOKEN))).cast("long")
 
 
 def is_meaningful(token: Column) -> Column:
@@ -100,11 +113,11 @@ def expand_question(c: Column) -> Column:
     """The question with synonyms for recall, by fixed rules; unchanged if none holds."""
     has = lambda *words: c.rlike("|".join(words))
     low = F.lower(c)
-    go = low.contains("go") | has("变量", "标识符", "包", "可见性")
-    scope = go & low.rlike("全局变量|局部变量|包外|其他包|导入|导出|访问")
+    go = low.contains("go") | has(*LANGUAGE_WORDS)
+    scope = go & low.rlike(SCOPE_PATTERN)
     none = F.array().cast("array<string>")
     words = lambda *w: F.array(*map(F.lit, w))
-    terms = F.array_distinct(F.concat(F.when(scope, words("可见性", "公有", "私有", "大写", "小写", "包内", "包外")).otherwise(none), F.when(has("标识符"), words("命名规则", "名称", "类型", "变量")).otherwise(none)))
+    terms = F.array_distinct(F.concat(F.when(scope, words(*SCOPE_SYNONYMS)).otherwise(none), F.when(has("标识符"), words(*NAME_SYNONYMS)).otherwise(none)))
     return F.when(F.size(terms) > 0, F.concat_ws(" ", c, F.array_join(terms, " "))).otherwise(c)
 
 
@@ -117,21 +130,25 @@ def estimate_tokens(c: Column) -> Column:
 
 def plausible_formula(c: Column) -> Column:
     f = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    return (f != "") & (F.length(f) <= 1600) & (F.regexp_count(f, F.lit(r"\\quad")) <= 8) & (F.regexp_count(f, F.lit("本题")) <= 4) & f.rlike(r"(?:\\[a-zA-Z]+|[_^{}=+*/]|\d)")
+    return (f != "") & (F.length(f) <= 1600) & (F.regexp_count(f, F.lit(r"\\quad")) <= 8) & (F.regexp_count(f, F.lit("本题")) <= 4) & f.rlike(FORMULA)
+
 
+def sentence_parts(c: Column, ends: str) -> Column:
+    return F.filter(F.transform(F.split(c, ends), strip), lambda p: p != "")
 
-def split_sentences(c: Column, ends: str = r"[。！？.!?\n]+", marks=("。", "！", "？", ".", "!", "?"), anywhere: bool = False) -> Column:
-    """Trimmed sentences, each with the first mark that follows it somewhere in the text; with `anywhere`,
-    that occurs in the text at all and isn't among its last two characters."""
-    parts = F.filter(F.transform(F.split(c, ends), strip), lambda p: p != "")
+
+def split_sentences(c: Column, ends: str = r"[。！？.!?\n]+", marks=("。", "！", "？", ".", "!", "?")) -> Column:
+    """Trimmed sentences, each with the first mark that follows it somewhere in the text."""
 
     def ended(p):
         out = p
         for m in reversed(marks):
-            hit = F.instr(c, F.lit(m)) > 0 if anywhere else F.instr(c, F.concat(p, F.lit(m))) > 0
-            if anywhere:
-                hit = hit & ~F.right(p, F.lit(2)).contains(m)
-            out = F.when(hit, F.concat(p, F.lit(m))).otherwise(out)
+            out = F.when(F.instr(c, F.concat(p, F.lit(m))) > 0, F.concat(p, F.lit(m))).otherwise(out)
         return out
 
-    return F.transform(parts, ended)
+    return F.transform(sentence_parts(c, ends), ended)
+
+
+def marked_sentences(parts: Column, found: Column) -> Column:
+    """Sentences, each with the first of the marks found in the text that isn't among its last two characters."""
+    return F.transform(parts, lambda p: F.concat(p, F.coalesce(F.get(F.filter(found, lambda m: ~F.right(p, F.lit(2)).contains(m)), 0), F.lit(""))))

@@ -18,13 +18,22 @@ from .documents import TEXT_TYPES, joined
 
 # Separators of the recursive chunker, from coarse to fine.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
+# The chunker of each profile and its parameters.
+PROFILES = {
+    "technical": ("markdown", {"least": 40, "most": 1600}),
+    "long_form": ("semantic", {"threshold": 0.55, "least": 120, "most": 1800}),
+    "layout": ("preserve", {}),
+    "short_qa": ("fixed", {"size": 500, "overlap": 60, "least": 20}),
+    "high_value": ("semantic", {"threshold": 0.55, "least": 100, "most": 1600}),
+    "spreadsheet": ("preserve", {}),
+}
 SENTENCE_ENDS = (r"[。！？.!?；\n]+", ("。", "！", "？", ";", ".", "!", "?"))
 
 
 def hard_windows(docs: DataFrame, size: int = 500, overlap: int = 80, least: int = 50, key="doc_id") -> DataFrame:
-    """key, pos, chunk: windows of `size` characters that overlap; a text that fits is one."""
+    """key, pos, chunk: windows of `size` characters that overlap, the last one the first that reaches the end; a text that fits is one."""
     n, step = F.length("text"), size - overlap
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.floor((n - 1) / step) * step).cast("int"), F.lit(step)))
+    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.ceil((n - size) / step) * step).cast("int"), F.lit(step)))
     w = docs.filter("text is not null").select(key, "text", F.posexplode(starts).alias("pos", "s"))
     return w.select(key, "pos", F.substring("text", F.col("s") + 1, F.lit(size)).alias("chunk")).filter(F.length("chunk") >= least)
 
@@ -32,10 +41,15 @@ def hard_windows(docs: DataFrame, size: int = 500, overlap: int = 80, least: int
 def sliding(docs: DataFrame, size: int = 5, step: int = 2, least: int = 50, key="doc_id") -> DataFrame:
     """key, pos, chunk: windows of sentences, the last one the first that reaches the end; few sentences: the whole text."""
     ends, marks = SENTENCE_ENDS
-    s = docs.filter("text is not null").select(key, "text", T.split_sentences(F.col("text"), ends, marks, anywhere=True).alias("s")).filter(F.size("s") > 0)
+    found = F.filter(F.array(*map(F.lit, marks)), lambda m: F.instr("text", m) > 0)
+    # a generator of one row: parts and marks are computed once a document, not anew in every lambda below
+    once = F.inline(F.array(F.struct(T.sentence_parts(F.col("text"), ends).alias("parts"), found.alias("found"))))
+    s = docs.filter("text is not null").select(key, "text", once)
+    s = s.select(key, "text", F.inline(F.array(F.struct(T.marked_sentences(F.col("parts"), F.col("found")).alias("s")))))
     n = F.size("s")
     last = F.ceil((n - size) / step).cast("int")
-    chunks = F.when(n <= size, F.array(F.col("text"))).otherwise(F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice("s", k * step + 1, F.lit(size)), "\n")))
+    windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice("s", k * step + 1, F.lit(size)), "\n"))
+    chunks = F.when(n > size, windows).when(n > 0, F.array(F.col("text")))
     return s.select(key, F.posexplode(chunks).alias("pos", "chunk")).filter(F.length("chunk") >= least)
 
 
@@ -50,57 +64,55 @@ def sections(lines: DataFrame, key="doc_id", heading=r"^#{1,6}[ \t]") -> DataFra
 # --- sequential chunkers: plain generators, run over Arrow batches ---
 
 
-def fixed(text: str, size: int = 500, overlap: int = 80, least: int = 50):
-    """Lines packed up to size; a line over it alone, in overlapping windows; the tail of a chunk opens the next."""
+def packed(text: str, size: int, overlap: int, windows):
+    """Lines packed up to size, the tail of a chunk opening the next; a line over it alone, as windows(line)."""
     out, now = [], ""
-    for line in (x.strip() for x in text.split("\n")):
-        if not line:
-            continue
+    for line in filter(None, map(str.strip, text.splitlines())):
         if len(line) > size:
-            out.append(now)
+            out += [now] if now else []
             now = ""
-            out += [line[i : i + size] for i in range(0, len(line), size - overlap)]
-        elif not now:
-            now = line
-        elif len(now) + 1 + len(line) <= size:
-            now += "\n" + line
-        else:
+            out += windows(line)
+        elif now and len(now) + 1 + len(line) > size:
             out.append(now)
-            now = (now[-overlap:] + "\n" if overlap else "") + line
-    return [c.strip() for c in [*out, now] if len(c.strip()) >= least]
+            now = f"{now[-overlap:] if overlap else ''}\n{line}".strip()
+        else:
+            now = f"{now}\n{line}" if now else line
+    return [*out, now] if now else out
+
+
+def fixed(text: str, size: int = 500, overlap: int = 80, least: int = 50):
+    """Packed lines; a line over the size in overlapping windows, the last one the first that reaches its end."""
+    step = size - overlap
+    chunks = packed(text, size, overlap, lambda line: [line[i : i + size].strip() for i in range(0, len(line) - overlap, step)])
+    return [c for c in map(str.strip, chunks) if len(c) >= least]
 
 
 def recursive(text: str, size: int = 500, least: int = 50, separators=SEPARATORS):
-    """Pieces at the coarsest separator that occurs, packed up to size; pieces over it at finer ones."""
+    """Pieces at each separator in turn, from coarse to fine, packed up to size; pieces over it go on to the next. On every
+    level what is shorter than `least` joins the piece before, whatever its size."""
 
-    def cut(t: str, seps) -> list[str]:
-        if len(t) <= size:
-            return [t]
-        sep, finer = next(((s, seps[i + 1 :]) for i, s in enumerate(seps) if not s or s in t), ("", ()))
-        if not sep:
+    def level(t: str, k: int) -> list[str]:
+        if k == len(separators) or not separators[k]:
             return [t[i : i + size] for i in range(0, len(t), size)]
-        out, now = [], ""
-        for part in t.split(sep):
-            joint = now + sep + part if now else part
-            if len(joint) <= size:
-                now = joint
+        pieces, now = [], ""
+        for part in t.split(separators[k]):
+            if now and len(now) + len(separators[k]) + len(part) <= size:
+                now += separators[k] + part
                 continue
             if now:
-                out.append(now)
-            now = ""
-            if len(part) <= size:
-                now = part
+                pieces.append(now)
+            now = part if len(part) <= size else ""
+            if len(part) > size:
+                pieces += level(part, k + 1)
+        joined_: list[str] = []
+        for piece in [*pieces, now] if now else pieces:
+            if joined_ and len(piece) < least:
+                joined_[-1] += piece
             else:
-                out += cut(part, finer)
-        return [*out, now] if now else out
+                joined_.append(piece)
+        return joined_
 
-    merged: list[str] = []
-    for c in filter(str.strip, cut(text, separators)):
-        if merged and len(c) < least and len(merged[-1]) + len(c) <= size:
-            merged[-1] += c
-        else:
-            merged.append(c)
-    return [c.strip() for c in merged if len(c.strip()) >= least]
+    return [c for c in level(text, 0) if len(c) >= least] if text.strip() else []
 
 
 def sentences(text: str, ends: str = r"[。！？.!?\n]+", marks: str = "。！？.!?"):
@@ -124,7 +136,7 @@ def semantic(text: str, threshold: float = 0.5, least: int = 100, most: int = 15
     """Sentences joined while they resemble the one before or the chunk is short, split where it would be too long."""
     s = sentences(text)
     if len(s) <= 1:
-        return [text.strip()] if len(text.strip()) >= least else []
+        return [text] if s else []
     v, out, now = [embed(x) for x in s], [], s[0]
     for i in range(1, len(s)):
         alike = sum(a * b for a, b in zip(v[i - 1], v[i]))
@@ -136,10 +148,11 @@ def semantic(text: str, threshold: float = 0.5, least: int = 100, most: int = 15
     return [c for c in [*out, now] if len(c) >= least]
 
 
-def token_estimate(text: str, most: int = 500, overlap: int = 50):
-    """Windows of estimated tokens, three characters each."""
-    size, step = most * 3, (most - overlap) * 3
-    return [text] if len(text) <= size else [text[i : i + size] for i in range(0, len(text), step)]
+def token_estimate(text: str, most: int = 500, overlap: int = 50, least: int = 50):
+    """Packed lines by estimated tokens of three characters each; a line over the size in windows from end to end."""
+    size, shared = most * 3, overlap * 3
+    chunks = packed(text, size, shared, lambda line: [line[i : i + size] for i in range(0, len(line), size - shared)])
+    return [c for c in chunks if len(c) >= least]
 
 
 def markdown(text: str, least: int = 100, most: int = 2000):
@@ -169,7 +182,12 @@ def markdown(text: str, least: int = 100, most: int = 2000):
     return [c for c in out if len(c) >= least]
 
 
-CHUNKERS = {"fixed": fixed, "recursive": recursive, "semantic": semantic, "token": token_estimate, "markdown": markdown}
+def preserve(text: str):
+    """A block as it is, without white space at its ends."""
+    return [text.strip()]
+
+
+CHUNKERS = {"preserve": preserve, "fixed": fixed, "recursive": recursive, "semantic": semantic, "token": token_estimate, "markdown": markdown}
 
 
 def check_parameters(name: str, **p) -> None:
@@ -181,7 +199,7 @@ def check_parameters(name: str, **p) -> None:
         raise ValueError("the least size must be less than the most")
     if p.get("step") is not None and p.get("size") is not None and not 0 < p["step"] <= p["size"]:
         raise ValueError("the step must be at most the size")
-    if name not in CHUNKERS and name not in ("sliding", "preserve"):
+    if name not in CHUNKERS and name != "sliding":
         raise ValueError(f"unknown chunker: {name}")
 
 
@@ -200,6 +218,26 @@ def chunk(docs: DataFrame, name: str, key="doc_id", **parameters) -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, pos int, chunk string")
 
 
+def chunk_by_profile(docs: DataFrame, key="doc_id", profile="profile") -> DataFrame:
+    """key, profile, pos, chunk: each text by the chunker and parameters of its own profile. A profile that is
+    not one of PROFILES is an error, a null one is short_qa; blank and null texts have no chunks. No shuffle."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, p, t in zip(*[c.to_pylist() for c in b.columns]):
+                if p is not None and p not in PROFILES:
+                    raise ValueError(f"unknown profile: {p}")
+                if t and t.strip():
+                    name, parameters = PROFILES[p or "short_qa"]
+                    rows += [(k, p or "short_qa", i, c) for i, c in enumerate(CHUNKERS[name](t, **parameters))]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], [key, "profile", "pos", "chunk"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(key, profile, "text").mapInArrow(run, f"{key} {kind}, profile string, pos int, chunk string")
+
+
 def group_long_form(blocks: DataFrame) -> DataFrame:
     """Neighbouring text blocks of one heading path and source as one; others stand alone.
 

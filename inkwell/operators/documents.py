@@ -121,15 +121,18 @@ def frequent_lines(blocks: DataFrame, ratio: float = 0.6) -> DataFrame:
 
 def clean_blocks(blocks: DataFrame, ratio: float = 0.6) -> DataFrame:
     """blocks(block_id, source_type, text) cleaned: characters, then page furniture and frequent lines of blocks of
-    several lines; what would leave nothing is left as it was."""
-    base = blocks.withColumn("clean", T.clean_text(F.col("text")))
+    several lines; what would leave nothing is left as it was. Where there is a content_type, code keeps its spaces."""
+    clean = T.clean_text(F.col("text"))
+    if "content_type" in blocks.columns:
+        clean = F.when(F.col("content_type") == "code", T.clean_text(F.col("text"), keep_spaces=True)).otherwise(clean)
+    base = blocks.withColumn("clean", clean)
     frequent = frequent_lines(blocks, ratio).select("line").distinct()
     each = base.filter(F.instr("clean", "\n") > 0).select("block_id", F.posexplode(F.split("clean", "\n")).alias("pos", "line"))
     kept = each.filter(~T.is_boilerplate(F.col("line"))).withColumn("_t", T.strip(F.col("line"))).join(frequent.withColumnRenamed("line", "_t"), "_t", "left_anti")
     again = kept.groupBy("block_id").agg(F.regexp_replace(joined("pos", "line", "\n"), r"^\n+|\n+\z", "").alias("rest"))
     out = base.join(again, "block_id", "left")
     text = F.when(F.instr("clean", "\n") > 0, F.coalesce("rest", F.lit(""))).otherwise(F.col("clean"))
-    return out.select("block_id", "source_type", F.when(T.strip(text) == "", F.col("clean")).otherwise(text).alias("text"))
+    return out.select("block_id", "source_type", F.when(T.strip(text) == "", F.col("text")).otherwise(text).alias("text"))
 
 
 def resolve_profile(docs: DataFrame) -> DataFrame:

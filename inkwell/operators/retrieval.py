@@ -29,11 +29,13 @@ def bm25(corpus: DataFrame, queries: DataFrame, top_k: int | None = None) -> Dat
     carries the matches of the queries, not the corpus. Repeated query tokens count repeatedly."""
     terms = queries.select("query_id", F.explode(T.query_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     asked = terms.select("term").distinct()
-    tokens = corpus.select("chunk_id", T.tokenize(F.col("text")).alias("tokens"))
+    # a generator of one row: a text is cut into tokens once, not anew for their number
+    tokens = corpus.select("chunk_id", F.inline(F.array(F.struct(T.tokenize(F.col("text")).alias("tokens")))))
     matched = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked, "term")
-    tf = matched.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = matched.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    stats = corpus.select(T.token_count(F.col("text")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    # it reads the columns that the scores read, so that both share one exchange of the matches
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("tf") + F.col("dl")).alias("_most")).filter("_most > 0")
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")
     q = terms.join(idf, "term")
     base = q.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("qf") * DELTA).alias("base"))
@@ -43,6 +45,25 @@ def bm25(corpus: DataFrame, queries: DataFrame, top_k: int | None = None) -> Dat
     return top(score, top_k) if top_k else score
 
 
+def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """Pairs of texts(.., text) and passages(.., passage) of which the text contains the passage.
+
+    Words of a passage but the first and last stand whole in a text that contains it: pairs meet by the longest two
+    neighbours of these, and then the text is searched. Passages of under four words have none and are searched for in
+    all texts, sent along while they are few."""
+    words = lambda c: F.split(c, r"\s+")
+    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    w = words(F.col("passage"))
+    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    both = F.slice(pairs(inner), 1, F.greatest(F.size(inner) - 1, F.lit(0)))
+    keyed = passages.withColumn("_pair", F.array_max(F.transform(both, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"])
+    each = texts.select(*texts.columns, F.explode(F.array_distinct(pairs(words(F.col("text"))))).alias("_pair"))
+    contains = F.instr(F.col("text"), F.col("passage")) > 0
+    long = each.join(keyed.filter("_pair is not null"), "_pair").filter(contains).drop("_pair")
+    short = texts.join(keyed.filter("_pair is null").drop("_pair"), contains)
+    return long.unionByName(short)
+
+
 def top(scored: DataFrame, k: int, by="query_id", score="score", key="chunk_id") -> DataFrame:
     """The k best of each query with their rank, ties to the smaller key; cut within tasks before the shuffle."""
     w = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(key))

@@ -63,7 +63,7 @@ per AS (SELECT question_id, n_expected, coalesce(min(rank), 0) AS first_rank, ro
 def _multi(spark, d):
     q = questions(spark, d)
     runs = R.bm25(corpus(spark, d), q, 10).select(F.col("query_id").alias("question_id"), F.col("chunk_id").alias("document_id"), "rank")
-    holds = load(spark, d, "documents").select("doc_id", "text").join(q.withColumnRenamed("text", "passage"), F.instr(F.col("text"), F.col("passage")) > 0)
+    holds = R.holding(load(spark, d, "documents").select("doc_id", "text"), q.withColumnRenamed("text", "passage"))
     return M.multi_relevant(runs, holds.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("document_id")))
 
 
@@ -162,7 +162,7 @@ def react_summary(spark, d):
     """A first answer against five: what is closed, recovered and left over."""
     q = questions(spark, d)
     runs = R.bm25(corpus(spark, d), q, 10).select(F.col("query_id").alias("question_id"), F.col("chunk_id").alias("document_id"), "rank")
-    holds = load(spark, d, "documents").select("doc_id", "text").join(q.withColumnRenamed("text", "passage"), F.instr(F.col("text"), F.col("passage")) > 0).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("document_id"))
+    holds = R.holding(load(spark, d, "documents").select("doc_id", "text"), q.withColumnRenamed("text", "passage")).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("document_id"))
     j = holds.join(runs, ["question_id", "document_id"], "left")
     per = j.groupBy("question_id").agg(F.countDistinct("document_id").alias("e"), F.countDistinct(F.when(F.col("rank") <= 1, F.col("document_id"))).alias("s"), F.countDistinct(F.when(F.col("rank") <= 5, F.col("document_id"))).alias("a"))
     return per.agg(F.count(F.lit(1)).alias("n"), M.share(F.col("a") == F.col("e")).alias("closure"), F.sum(F.greatest(F.col("a") - F.col("s"), F.lit(0))).alias("recovered"), F.sum(F.col("e") - F.col("a")).alias("residual"))

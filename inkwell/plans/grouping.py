@@ -15,7 +15,7 @@ from .documents import _TRIM, LINES_SQL, _lines
 _DOCS = ("doc_id", "text")
 
 
-@query("chunk_hard_window", "SELECT doc_id, i AS pos, substr(text, i * 420 + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 500 THEN 1 ELSE (length(text) - 1) // 420 + 1 END)) AS i FROM documents) WHERE length(substr(text, i * 420 + 1, 500)) >= 50")
+@query("chunk_hard_window", "SELECT doc_id, i AS pos, substr(text, i * 420 + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 500 THEN 1 ELSE CAST(ceil((length(text) - 500) / 420.0) AS BIGINT) + 1 END)) AS i FROM documents) WHERE length(substr(text, i * 420 + 1, 500)) >= 50")
 def chunk_hard_window(spark, d):
     return C.hard_windows(load(spark, d, "documents"))
 
@@ -107,9 +107,12 @@ _PROFILE = f"""{BLOCKS_SQL}, pr AS (SELECT document_id, CAST(sum(length(text)) A
 _EXT = "CASE document_id % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.csv' WHEN 2 THEN '.html' ELSE '.pdf' END"
 
 
-def _profiled(spark, d):
-    b = _blocks(spark, d)
-    a = b.groupBy("document_id").agg(D.joined("block_pos", "text", "\n").alias("sample"), F.sum(F.length("text")).alias("total_chars"), F.count_if(F.col("content_type").isin(*D.LAYOUT_TYPES)).alias("n_layout"), F.count_if(F.col("content_type").isin(*D.TEXT_TYPES)).alias("n_text"))
+def _profiled(spark, d, b=None):
+    """Documents with their profile. The sample is that of the first 30 blocks."""
+    b = _blocks(spark, d) if b is None else b
+    b = b.withColumn("_k", F.row_number().over(Window.partitionBy("document_id").orderBy("block_pos")))
+    b = b.withColumn("_first", F.when(F.col("_k") <= 30, F.col("text")).otherwise(""))
+    a = b.groupBy("document_id").agg(D.joined("block_pos", "_first", "\n").alias("sample"), F.sum(F.length("text")).alias("total_chars"), F.count_if(F.col("content_type").isin(*D.LAYOUT_TYPES)).alias("n_layout"), F.count_if(F.col("content_type").isin(*D.TEXT_TYPES)).alias("n_text"))
     m = F.col("document_id") % 7
     return D.resolve_profile(a.withColumn("filename", F.concat(F.lit("f"), F.when(m == 0, ".md").when(m == 1, ".csv").when(m == 2, ".html").otherwise(".pdf"))))
 
@@ -119,10 +122,22 @@ def resolve_profile(spark, d):
     return _profiled(spark, d).select("document_id", "total_chars", "n_layout", "n_text", "profile")
 
 
-@query("qa_sniff", "SELECT doc_id AS document_id, 0::BIGINT AS qa_marks, false AS is_qa FROM documents")
+@query("chunk_by_profile")
+def chunk_by_profile(spark, d):
+    """Each document by the chunker of the profile that the rules give it."""
+    p = _profiled(spark, d).select(F.col("document_id").alias("doc_id"), "profile")
+    return C.chunk_by_profile(load(spark, d, "documents").select("doc_id", "text").join(p, "doc_id"))
+
+
+# Marks of questions and answers before some lines, by rule, past the first 30 blocks as well.
+_MARKED = "CASE WHEN document_id % 5 = 0 AND block_pos % 3 = 0 THEN '问：答案：' WHEN document_id % 5 = 1 AND block_pos = 0 THEN 'Q：' WHEN document_id % 5 = 2 AND block_pos > 30 THEN 'A：' ELSE '' END"
+
+
+@query("qa_sniff", f"""WITH {BLOCKS_SQL}, k AS (SELECT document_id, {_MARKED} AS mark, row_number() OVER (PARTITION BY document_id ORDER BY block_pos) AS n FROM bl),
+m AS (SELECT document_id, sum(CASE WHEN n > 30 OR mark = '' THEN 0 WHEN length(mark) > 2 THEN 2 ELSE 1 END) AS qa_marks FROM k GROUP BY document_id) SELECT document_id, CAST(qa_marks AS BIGINT) AS qa_marks, qa_marks >= 2 AS is_qa FROM m""")
 def qa_sniff(spark, d):
-    """Markers are ideographs, which these documents lack."""
-    return _profiled(spark, d).select("document_id", "qa_marks", (F.col("qa_marks") >= 2).alias("is_qa"))
+    marked = _blocks(spark, d).withColumn("text", F.concat(F.expr(_MARKED), "text"))
+    return _profiled(spark, d, marked).select("document_id", F.col("qa_marks").cast("long").alias("qa_marks"), (F.col("qa_marks") >= 2).alias("is_qa"))
 
 
 @query("subsections", f"WITH {BLOCKS_SQL}, f AS (SELECT document_id, heading, min(block_pos) AS k FROM bl GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY k) AS n FROM f) SELECT document_id, string_agg(heading, '；' ORDER BY n) AS subsections FROM r WHERE n <= 8 GROUP BY document_id")

@@ -81,23 +81,42 @@ def hybrid_search(spark, d):
     return _hybrid(spark, d).filter("rank <= 10").select("query_id", "chunk_id", "l_score", "v_score", "rrf", "rank")
 
 
+#: Questions that reach the rules for ideographs take the place of some of the conversations': of each, what the rules give.
+ASKED = (
+    {"text": "Go 全局变量的可见性是什么", "terms": ("Go", "全局", "局变", "变量", "可见", "见性"), "phrases": 5, "anchors": 0, "more": " 可见性 公有 私有 大写 小写 包内 包外"},
+    {"text": "请问张三丰的学号", "terms": ("请问", "问张", "张三", "三丰", "学号"), "phrases": 4, "anchors": 1, "more": ""},
+    {"text": "标识符如何命名", "terms": ("标识", "识符", "符如", "何命", "命名"), "phrases": 3, "anchors": 0, "more": " 命名规则 名称 类型 变量"},
+)
+
+
+def _asked(spark, d):
+    """The users' turns; of every seven conversations, three ask one of ASKED."""
+    k = F.col("conv_id") % 7
+    text = F.when(k == 0, ASKED[0]["text"]).when(k == 1, ASKED[1]["text"]).when(k == 2, ASKED[2]["text"]).otherwise(F.col("text"))
+    return load(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", text.alias("text"))
+
+
+def _asked_sql(member, other: str) -> str:
+    return "CASE conv_id % 7 " + " ".join(f"WHEN {i} THEN {member(a)}" for i, a in enumerate(ASKED)) + f" ELSE {other} END"
+
+
 _CONV_Q = "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'"
 
 
-@query("expand_query_rules", f"SELECT conv_id, turn, text AS expanded FROM ({_CONV_Q})")
+@query("expand_query_rules", f"""SELECT conv_id, turn, {_asked_sql(lambda a: f"'{a['text']}{a['more']}'", 'text')} AS expanded FROM ({_CONV_Q})""")
 def expand_query_rules(spark, d):
-    """The rules are for ideographs: other questions stay as they are."""
-    return load(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", T.expand_question(F.col("text")).alias("expanded"))
+    return _asked(spark, d).select("conv_id", "turn", T.expand_question(F.col("text")).alias("expanded"))
 
 
 _TERMS = f"list_filter(list_distinct({tok('text')}), lambda t: length(t) >= 2)"
+_TERM_LIST = _asked_sql(lambda a: str(list(a["terms"])), _TERMS)
 
 
-@query("query_features", f"SELECT conv_id, turn, len({_TERMS}) AS n_terms, array_to_string(list_sort({_TERMS}), ' ') AS terms, 0::BIGINT AS n_phrases, 0::BIGINT AS n_anchors FROM ({_CONV_Q})")
+@query("query_features", f"""SELECT conv_id, turn, len({_TERM_LIST}) AS n_terms, array_to_string(list_sort({_TERM_LIST}), ' ') AS terms, CAST({_asked_sql(lambda a: str(a['phrases']), '0')} AS BIGINT) AS n_phrases, CAST({_asked_sql(lambda a: str(a['anchors']), '0')} AS BIGINT) AS n_anchors FROM ({_CONV_Q})""")
 def query_features(spark, d):
     c = F.col("text")
     terms = T.query_terms(c)
-    return load(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.size(terms).cast("long").alias("n_terms"), F.array_join(F.array_sort(terms), " ").alias("terms"), F.size(T.query_phrases(c)).alias("n_phrases"), F.size(T.query_anchors(c)).alias("n_anchors"))
+    return _asked(spark, d).select("conv_id", "turn", F.size(terms).cast("long").alias("n_terms"), F.array_join(F.array_sort(terms), " ").alias("terms"), F.size(T.query_phrases(c)).cast("long").alias("n_phrases"), F.size(T.query_anchors(c)).cast("long").alias("n_anchors"))
 
 
 @query("lexical_hits", f"WITH {BM25_SQL} SELECT query_id, chunk_id, len(list_filter(list_filter(list_distinct({tok('b.text')}), lambda t: length(t) >= 2), lambda t: contains(c.text, t))) AS hits FROM lx JOIN benchmark b ON item_id = query_id JOIN documents c ON doc_id = chunk_id WHERE rank <= 10")
@@ -188,11 +207,11 @@ def estimate_tokens(spark, d):
     return load(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("evidence_budget", f"""WITH {BM25_SQL}, p AS (SELECT query_id, chunk_id, rank, {_EST.format('substr(text, 1, 800)')} AS tokens FROM lx JOIN documents ON doc_id = chunk_id WHERE rank <= 5),
+@query("evidence_budget", f"""WITH {BM25_SQL}, p AS (SELECT query_id, chunk_id, rank, {_EST.format('text')} AS tokens FROM lx JOIN documents ON doc_id = chunk_id WHERE rank <= 5),
 r AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM p) SELECT query_id, chunk_id, rank, tokens, CAST(used AS BIGINT) AS used FROM r WHERE rank = 1 OR used <= 600""")
 def evidence_budget(spark, d):
     pool = R.bm25(corpus(spark, d), questions(spark, d), 5).join(corpus(spark, d), "chunk_id")
-    items = pool.select("query_id", "chunk_id", "rank", T.estimate_tokens(F.substring("text", 1, 800)).alias("tokens"))
+    items = pool.select("query_id", "chunk_id", "rank", T.estimate_tokens(F.col("text")).alias("tokens"))
     return R.within_budget(items, 600)
 
 

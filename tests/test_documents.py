@@ -43,7 +43,7 @@ def test_sequential_chunkers():
     r = random.Random(1)
     text = "\n".join(" ".join("word%d" % r.randrange(99) for _ in range(r.randint(1, 200))) for _ in range(20))
     assert all(50 <= len(c) <= 600 for c in C.fixed(text))
-    assert all(50 <= len(c) <= 500 for c in C.recursive(text))
+    assert all(50 <= len(c) < 550 for c in C.recursive(text))  # a piece of under 50 joins the one before, whatever its size
     assert "".join(C.recursive("a" * 1200)) == "a" * 1200
     assert all(len(c) >= 100 for c in C.semantic(text.replace(" word1", ". word1")))
     assert C.token_estimate("x" * 3000)[0] == "x" * 1500 and len(C.token_estimate("x" * 3000)) == 3
@@ -55,6 +55,34 @@ def test_sequential_chunkers():
             C.check_parameters("fixed", **bad)
 
 
+def test_chunkers_by_their_rules(spark):
+    a, b = "a" * 900, "b" * 60
+    assert C.fixed(a) == ["a" * 500, "a" * 480]  # no window within the one before
+    assert C.fixed(f"{b}\n{b}", size=100, overlap=10) == [b, "b" * 10 + "\n" + b]
+    assert C.fixed(f"{a}\n{b}\r{b}") == ["a" * 500, "a" * 480, f"{b}\n{b}"]
+    assert C.recursive("x" * 30 + "\n\n" + "y" * 490) == ["y" * 490]
+    assert C.recursive("y" * 490 + "\n\n" + "x" * 30) == ["y" * 490 + "x" * 30]
+    assert C.recursive(" ".join(["w" * 99] * 6)) == [" ".join(["w" * 99] * 5), "w" * 99]
+    assert C.recursive(" \n ") == [] and C.semantic(" ") == []
+    assert C.semantic("one short sentence.") == ["one short sentence."]
+    assert C.token_estimate("c" * 40) == [] and C.token_estimate("\n".join(["d" * 700] * 3)) == ["d" * 700 + "\n" + "d" * 700, "d" * 150 + "\n" + "d" * 700]
+    rows = spark.createDataFrame([(1, "short_qa", b), (2, "layout", " t "), (3, None, a), (4, "technical", " ")], "doc_id long, profile string, text string")
+    assert sorted(map(tuple, C.chunk_by_profile(rows).collect())) == [(1, "short_qa", 0, b), (2, "layout", 0, "t"), (3, "short_qa", 0, "a" * 500), (3, "short_qa", 1, "a" * 460)]
+    h = C.hard_windows(rows.filter("doc_id = 3")).collect()
+    assert sorted((x["pos"], len(x["chunk"])) for x in h) == [(0, 500), (1, 480)]
+
+
+def test_passages_are_found_wherever_they_stand(spark):
+    from inkwell.operators.retrieval import holding
+
+    texts = ["alpha beta gamma delta epsilon", "xalpha beta gamma deltay", "beta gamma", "", None, "alpha  beta gamma delta"]
+    passages = ["alpha beta gamma delta", "beta gamma", "gamma", "nothing of this here"]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    p = spark.createDataFrame(list(enumerate(passages)), "query_id int, passage string")
+    got = sorted((x["doc_id"], x["query_id"]) for x in holding(t, p).select("doc_id", "query_id").collect())
+    assert got == sorted((i, k) for i, x in enumerate(texts) for k, q in enumerate(passages) if x and q in x)
+
+
 def test_markdown_blocks():
     t = "# T\n\ntext a\ntext b\n\n| h | i |\n| - | - |\n| 1 | 2 |\n## U\n```py\nx = 1\n```\n# V\nend"
     assert C.markdown_blocks(t) == [("heading", "T", "T"), ("paragraph", "text a\ntext b", "T"), ("table", "| h | i |\n| - | - |\n| 1 | 2 |", "T"), ("heading", "U", "T > U"), ("code", "x = 1", "T > U"), ("heading", "V", "V"), ("paragraph", "end", "V")]
