@@ -6,7 +6,7 @@ sampling: a flight moves the probabilities along directions that keep both the n
 documents and the number of words, until each but a few is 0 or 1. It runs in blocks of a
 bounded number of documents; what is left of a block flies again with the rest of other blocks,
 level by level, until one block is left in each source, where a landing over all roundings of
-its last two probabilities picks that with the least error.
+its last probabilities picks that with the least error.
 """
 
 from __future__ import annotations
@@ -91,6 +91,44 @@ def fly(p: list[float], s: list[int]) -> list[float]:
     return p
 
 
+def settle(p: list[float], s: list[int], rows: list[int]) -> list[float]:
+    """The end of a flight, in place: of two open units one lends the other words until one is 0 or 1, so that sum(p * s) stays and at
+    most one is left. One long unit takes many short ones, so the number of documents may drift by some; of two
+    directions that is taken which brings it back."""
+    eps, drift = 1e-9, 0.0
+    open_: list[int] = []
+    for i in rows:
+        if not 0 < p[i] < 1:
+            continue
+        if not s[i]:
+            drift += round(p[i]) - p[i]
+            p[i] = float(round(p[i]))
+            continue
+        open_.append(i)
+        if len(open_) < 2:
+            continue
+        a, b = open_
+        steps = [min((1 - p[a]) / s[b], p[b] / s[a]), -min(p[a] / s[b], (1 - p[b]) / s[a])]
+        step = min(steps, key=lambda t: abs(drift + t * (s[b] - s[a])))
+        drift += step * (s[b] - s[a])
+        p[a] += step * s[b]
+        p[b] -= step * s[a]
+        for j in (a, b):
+            if p[j] < eps or p[j] > 1 - eps:
+                p[j] = float(round(p[j]))
+        open_ = [j for j in open_ if 0 < p[j] < 1]
+    return p
+
+
+def short_tail(s: list[int]) -> int:
+    """Of sizes in falling order, where the shortest begin that hold twice the words of the longest: half of them at most."""
+    k, words = len(s), 0
+    while k > (len(s) + 1) // 2 and words < 2 * s[0]:
+        k -= 1
+        words += s[k]
+    return k
+
+
 def land(p: list[float], s: list[int]) -> list[float]:
     """The rounding of the last open units with the least error in words, then in documents."""
     open_ = [i for i, x in enumerate(p) if 0 < x < 1]
@@ -101,14 +139,29 @@ def land(p: list[float], s: list[int]) -> list[float]:
     return p
 
 
+def make_up(p: list[float], s: list[int], words: float) -> list[float]:
+    """The end of the landing, in place: where it misses `words`, documents are taken or left, the longest that fits into what is
+    missing first, until none fits. s falls; so does what is missed, to less than the shortest document that could mend it."""
+    missed = sum(x * y for x, y in zip(p, s)) - words
+    side = float(missed > 0)
+    for i, size in enumerate(s):
+        if p[i] == side and 0 < size <= abs(missed) + min(size / 2, 0.5):
+            p[i] = 1 - side
+            missed += size if not side else -size
+    return p
+
+
 def _flight(last: bool):
     def block(t: pa.Table) -> pa.Table:
-        # long documents first: those still open at the end, which the landing rounds, are the shortest
+        # long documents first; what their flight leaves is settled against the shortest, so what is left at the end is one of these
         t = t.sort_by([("_size", "descending"), ("_h", "ascending"), ("_id", "ascending")])
         p, s = t.column("_p").to_pylist(), t.column("_size").to_pylist()
-        p = fly(p, s)
+        words = sum(x * y for x, y in zip(p, s))
+        k = short_tail(s)
+        p[:k] = fly(p[:k], s[:k])
+        p = settle(p, s, list(range(len(p))))
         if last:
-            p = land(p, s)
+            p = make_up(land(p, s), s, words)
         return t.set_column(t.schema.get_field_index("_p"), "_p", pa.array(p, pa.float64()))
 
     return block
