@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import WORD, cut, table
+from inkwell.llm.common import WORD, cut, drop_cut, table
 from inkwell.llm.jaccard import jaccard_join
 from inkwell.llm.mixing import mix
 from inkwell.llm.packing import pack
@@ -21,7 +21,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line field keep."""
+    """Documents that the base rules and the line field keep: rows as they are, repeated ones each. Null and
+    empty texts have no words, so they go; an empty table stays empty; columns past those of documents are left out, here as in
+    all stages."""
     field = fit_field(docs, table(spark, sf_dir, "labels"))
     return quality(docs, field, keep=COLUMNS).filter("kept").select(*COLUMNS)
 
@@ -40,12 +42,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret span masked and n_chars of the text as it is now."""
+    """All documents, with every secret span masked and n_chars of the text as it is now: row by row, so repeated rows stay
+    equal. A null text stays null, with n_chars 0; an empty table stays empty."""
     return find_secrets_in(docs.select(*COLUMNS)).select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.coalesce(F.length("redacted"), F.lit(0)).cast("long").alias("n_chars"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; equal rows as often as it takes them together."""
+    """Each document as often as the mix takes it; equal rows as often as it takes them together. A null source is a source of its
+    own, a null text has size 0; an empty table stays empty."""
     rows = keyed(docs)
     copies = mix(rows, id_col="_key").groupBy("_key").agg(F.sum("copies").alias("copies")).filter("copies > 0")
     taken = rows.dropDuplicates(["_key"]).join(copies, "_key")
@@ -53,7 +57,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 ids."""
+    """Pieces of sequences of at most 1024 ids, of every row: a null text has its end id alone, repeated rows are
+    packed each, an empty table has no pieces."""
     return pack(docs)
 
 
@@ -70,8 +75,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, over the table of documents; what each keeps is written before the next reads it."""
+    """The stages in order, over the table of documents; what each keeps is written before the next reads it, and deleted after."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.split()[0])
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name.split()[0])
+        drop_cut(before)
     return STAGES[-1][1](spark, docs, sf_dir)
