@@ -26,6 +26,9 @@ SCOPE_PATTERN = "全局变量|局部变量|包外|其他包|导入|导出|访问
 SCOPE_SYNONYMS = ("可见性", "公有", "私有", "大写", "小写", "包内", "包外")
 NAME_SYNONYMS = ("命名规则", "名称", "类型", "变量")
 LANGUAGE_WORDS = ("变量", "标识符", "包", "可见性")
+INTENT = "可见性"
+QUOTES = (("```", "```"), ('"', '"'), ("'", "'"), ("「", "」"), ("“", "”"))
+NO_ITEM, ITEM_MARK, ITEM_LENGTH, ITEMS = "无", r"^\s*(?:[-*]\s*|\d+[.)]\s*|子问题\d*\s*[:：]\s*)", 60, 3
 FORMULA = r"(?:\\[a-zA-Z]+|[_^{}=+*/]|\d)"
 
 _SPACE = r"[ \t\n\r\x0b\x0c]"
@@ -152,3 +155,45 @@ def split_sentences(c: Column, ends: str = r"[。！？.!?\n]+", marks=("。", "
 def marked_sentences(parts: Column, found: Column) -> Column:
     """Sentences, each with the first of the marks found in the text that isn't among its last two characters."""
     return F.transform(parts, lambda p: F.concat(p, F.coalesce(F.get(F.filter(found, lambda m: ~F.right(p, F.lit(2)).contains(m)), 0), F.lit(""))))
+
+
+def unquoted(c: Column) -> Column:
+    """A trimmed text without the first pair of QUOTES that encloses it; only one pair is taken off."""
+    s = strip(c)
+    out = s
+    for a, b in reversed(QUOTES):
+        inner = strip(F.substring(s, len(a) + 1, F.greatest(F.length(s) - len(a) - len(b), F.lit(0))))
+        out = F.when(s.startswith(a) & s.endswith(b), inner).otherwise(out)
+    return out
+
+
+def rewritten(raw: Column, question: Column) -> Column:
+    """A model's rewrite of a question, or the question where it is null, empty or over three times as long."""
+    r = unquoted(F.coalesce(raw, F.lit("")))
+    return F.when((r == "") | (F.length(r) > 3 * F.length(question)), question).otherwise(r)
+
+
+def listed_items(raw: Column, question: Column) -> Column:
+    """The first ITEMS distinct items of a list that a model wrote a line each, without bullets and numbers, neither blank,
+    NO_ITEM, the question itself nor over ITEM_LENGTH characters."""
+    items = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\r\n|[\n\r\x0b\x0c]"), lambda x: strip(F.regexp_replace(strip(x), ITEM_MARK, "")))
+    good = lambda x: (x != "") & (x != NO_ITEM) & ~x.eqNullSafe(question) & (F.length(x) <= ITEM_LENGTH)
+    return F.slice(F.array_distinct(F.filter(items, good)), 1, ITEMS)
+
+
+def lenient_object(raw: Column) -> Column:
+    """The JSON object in a model's answer, as text: the whole answer, else from its first brace to its last; null if
+    neither is an object."""
+    s = strip(raw)
+    # within brackets, since the parser ignores what follows a whole value
+    alone = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    valid = lambda c: F.coalesce(alone(c).isNotNull() & F.try_variant_get(alone(c), "$[1]", "variant").isNull(), F.lit(False))
+    is_object = lambda c: valid(c) & F.schema_of_variant(alone(c)).startswith("ARRAY<OBJECT")
+    part = F.nullif(F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.when(valid(s), F.when(is_object(s), s)).when(is_object(part), part)
+
+
+def verdict(raw: Column, name: str = "vague") -> Column:
+    """The truth value of a member anywhere in a model's answer, in either case; null if there is none."""
+    v = F.lower(F.regexp_extract(raw, rf'(?i)"{name}"\s*:\s*(true|false)', 1))
+    return F.when(v != "", v == "true")

@@ -9,6 +9,7 @@ from ..functions import text as T
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 RRF_K, POOL = 60, 8
+HEADING_BOOST, EVIDENCE_CHARS = 0.012, 800
 #: Queries that are broadcast to the vectors: at most so many rows, else they are dealt by blocks.
 BROADCAST_ROWS = 4096
 
@@ -95,25 +96,31 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def rrf(lexical: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:
+def rrf(lexical: DataFrame, vector: DataFrame, k: int | str = RRF_K, by=("query_id",)) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists: score, origins, the raw scores and the fused rank.
 
-    Ties keep the order of first sight: the lexical list's, then the vector list's."""
-    a = lexical.select("query_id", "chunk_id", F.col("rank").alias("l_rank"), F.col("score").alias("l_score"))
-    b = vector.select("query_id", "chunk_id", F.col("rank").alias("v_rank"), F.col("score").alias("v_score"))
-    both = a.join(b, ["query_id", "chunk_id"], "full")
+    k may be one of `by`, the columns that tell lists apart. Ties keep the order of first sight: the lexical list's, then
+    the vector list's."""
+    k = F.col(k) if isinstance(k, str) else F.lit(k)
+    a = lexical.select(*by, "chunk_id", F.col("rank").alias("l_rank"), F.col("score").alias("l_score"))
+    b = vector.select(*by, "chunk_id", F.col("rank").alias("v_rank"), F.col("score").alias("v_score"))
+    both = a.join(b, [*by, "chunk_id"], "full")
     one = lambda r: F.coalesce(1.0 / (k + F.col(r)), F.lit(0.0))
     both = both.withColumn("rrf", F.round(one("l_rank") + one("v_rank"), 9)).withColumn("origins", F.concat_ws("+", F.when(F.col("l_rank").isNotNull(), "bm25"), F.when(F.col("v_rank").isNotNull(), "vector")))
-    w = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), F.col("l_rank").asc_nulls_last(), F.col("v_rank").asc_nulls_last(), "chunk_id")
+    w = Window.partitionBy(*by).orderBy(F.col("rrf").desc(), F.col("l_rank").asc_nulls_last(), F.col("v_rank").asc_nulls_last(), "chunk_id")
     return both.withColumn("rank", F.row_number().over(w))
 
 
-def relevance(hits: DataFrame, w_vector: float = 0.65, w_term: float = 0.25, w_rank: float = 0.10) -> DataFrame:
+def relevance(hits: DataFrame, w_vector: float | str = 0.65, w_term: float | str = 0.25, w_rank: float | str = 0.10, by=("query_id",)) -> DataFrame:
     """hits(query_id, question, content, v_score, rank) with the display score: similarity, share of terms, place.
 
-    An entity that is asked about and found outweighs them."""
-    total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    An entity that is asked about and found outweighs them. Weights may be columns. The phrases of a column `searched`,
+    where there is one, count like the question's own."""
+    total = F.count(F.lit(1)).over(Window.partitionBy(*by))
     terms, phrases, anchors = (f(F.col("question")) for f in (T.query_terms, T.query_phrases, T.query_anchors))
+    if "searched" in hits.columns:
+        phrases = F.array_union(phrases, T.query_phrases(F.col("searched")))
+    w_vector, w_term, w_rank = (F.col(w) if isinstance(w, str) else F.lit(w) for w in (w_vector, w_term, w_rank))
     ratio = lambda found, asked: F.least(F.lit(1.0), found / F.greatest(F.lit(1), F.size(asked)))
     t = ratio(T.hits(terms, F.col("content")), terms)
     p = ratio(T.hits(phrases, T.compact(F.col("content"))), phrases)
@@ -134,6 +141,61 @@ def diversify(ranked: DataFrame, k: int, cap: int = 2, by=("query_id",), doc="do
     return few.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= k)
 
 
+#: The parameters of a federated search by default: one row for each setting that is tried.
+SETTING = {"setting": 0, "rrf_k": RRF_K, "w_vector": 0.65, "w_term": 0.25, "w_rank": 0.10}
+
+
+def federated(chunks: DataFrame, questions: DataFrame, settings: list[dict] | None = None, top_k: int = 5, cap: int = 2, documents: DataFrame | None = None) -> DataFrame:
+    """The whole search: chunks(chunk_id, document_id, text, heading, v), questions(query_id, text, q).
+
+    Questions are expanded for recall; both lists are cut to POOL, fused, a heading that shares the question's intent
+    adds HEADING_BOOST to the fused score, and what is shown goes by relevance to the question as asked, at most `cap` of
+    a document. documents(document_id) narrows the search: vectors before the cut, texts after one to four times POOL.
+    The lists are made once and meet every one of `settings`, rows like SETTING, so that a sweep costs no new search."""
+    spark = chunks.sparkSession
+    rows = [SETTING | s for s in settings or [SETTING]]
+    grid = spark.createDataFrame([tuple(float(r[c]) if c[0] == "w" else int(r[c]) for c in SETTING) for r in rows], "setting long, rrf_k long, w_vector double, w_term double, w_rank double")
+    asked = questions.select("query_id", F.col("text").alias("question"), T.expand_question(F.col("text")).alias("searched"), "q")
+    corpus, rows_ = chunks.select("chunk_id", "text"), chunks.select("chunk_id", "document_id", "v").filter("v is not null")
+    terms = asked.select("query_id", F.col("searched").alias("text"))
+    if documents is None:
+        lexical = bm25(corpus, terms, POOL)
+    else:
+        within = chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi").select("chunk_id")
+        lexical = top(bm25(corpus, terms, 4 * POOL).drop("rank").join(within, "chunk_id", "left_semi"), POOL)
+        rows_ = rows_.join(within, "chunk_id", "left_semi")
+    vector = vector_topk(rows_.select("chunk_id", "v"), asked.select("query_id", "q").filter("q is not null"), POOL)
+    by = ("query_id", *SETTING)
+    each = lambda hits: hits.crossJoin(F.broadcast(grid))  # noqa: E731 - as many rows as settings are stated
+    fused = rrf(each(lexical), each(vector), "rrf_k", by)
+    texts = chunks.select("chunk_id", "document_id", F.col("text").alias("content"), "heading")
+    hits = fused.join(texts, "chunk_id").join(asked.drop("q"), "query_id")
+    meant = F.coalesce(F.col("searched").contains(T.INTENT) & F.col("heading").contains(T.INTENT), F.lit(False))
+    hits = relevance(hits.withColumn("rrf", F.round(F.col("rrf") + F.when(meant, HEADING_BOOST).otherwise(0.0), 9)), "w_vector", "w_term", "w_rank", by)
+    order = [F.col("relevance").desc(), F.col("rrf").desc(), F.col("rank")]
+    return diversify(hits, top_k, cap, by, "document_id", order)
+
+
+def distinct_evidence(items: DataFrame, by="query_id", order="rank", text="text", key="chunk_id") -> DataFrame:
+    """Items without those that nearly repeat an earlier one that is kept: of the compact texts one holds the other and
+    has at most a ninth more characters. Blank texts repeat nothing. For lists cut to a few items a query."""
+    item = F.struct(F.col(order).alias("o"), F.col(key).alias("k"), T.compact(F.col(text)).alias("s"))
+    short, long = lambda a, b: F.least(F.length(a), F.length(b)), lambda a, b: F.greatest(F.length(a), F.length(b))
+    repeats = lambda a, b: (a != "") & (b != "") & (short(a, b) / long(a, b) >= 0.9) & F.when(F.length(a) <= F.length(b), F.instr(b, a) > 0).otherwise(F.instr(a, b) > 0)
+    none = F.array().cast(f"array<struct<o:{dict(items.dtypes)[order]},k:{dict(items.dtypes)[key]},s:string>>")
+    kept = F.aggregate(F.array_sort(F.collect_list(item)), none, lambda have, x: F.when(F.exists(have, lambda y: repeats(x["s"], y["s"])), have).otherwise(F.array_append(have, x)))
+    chosen = items.groupBy(by).agg(kept.alias("_kept")).select(by, F.explode("_kept.k").alias(key))
+    return items.join(chosen, [by, key], "left_semi")
+
+
+def evidence(items: DataFrame, limit: int = 5, budget: int = 3000, by="query_id", score="score", key="chunk_id") -> DataFrame:
+    """The evidence that is shown: the `limit` best items, without near repeats, as long as their tokens stay within the
+    budget, numbered in `place`. Of a text its first EVIDENCE_CHARS characters are shown, compared and counted."""
+    best = top(items, limit, by, score, key).withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, EVIDENCE_CHARS))
+    few = distinct_evidence(best, by, key=key).withColumn("tokens", T.estimate_tokens(F.col("text")))
+    return within_budget(few, budget, by).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("rank")))
+
+
 def merge_best(hits: DataFrame, by=("query_id", "chunk_id")) -> DataFrame:
     """Of hits of several calls, the best score of each chunk."""
     return hits.groupBy(*by).agg(F.max("score").alias("score"))

@@ -300,3 +300,81 @@ def review_outcome(spark, d):
     """An administrator's decision stands; else unapproved or unsafe content is rejected."""
     by_admin = F.col("doc_id") % 11 == 0
     return load(spark, d, "labels").select("doc_id", F.when(by_admin, "approved").when((F.col("quality") == 0) | (F.col("toxic") == 1), "rejected").otherwise("pending").alias("status"))
+
+
+# The whole search over questions and texts that reach its rules: expansion, phrases and the heading's intent.
+_ADDED = {0: " 可见性", 1: " 变量 命名规则"}  # by doc_id % 10, after the text
+_BEFORE = {0: "可见性 ", 1: "标识符 "}  # by item_id % 3, before the question
+_SETTINGS = ({"setting": 0}, {"setting": 1, "rrf_k": 10, "w_vector": 0.4, "w_term": 0.4, "w_rank": 0.2})
+_pairs = lambda c: f"replace(replace(replace({c}, '可见性', '可见 见性'), '标识符', '标识 识符'), '命名规则', '命名 名规 规则')"  # noqa: E731 - as pairs of ideographs
+_SWEEP_SQL = f"""WITH docs2 AS (SELECT doc_id, source, text || CASE doc_id % 10 WHEN 0 THEN '{_ADDED[0]}' WHEN 1 THEN '{_ADDED[1]}' ELSE '' END AS text, CASE WHEN doc_id % 4 = 0 THEN '可见性 > ' ELSE '' END || lang AS heading FROM documents),
+ask2 AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN '{_BEFORE[0]}' WHEN 1 THEN '{_BEFORE[1]}' ELSE '' END || text AS question, CASE item_id % 3 WHEN 0 THEN '{_BEFORE[0]}' WHEN 1 THEN '{_BEFORE[1]}' ELSE '' END || text || CASE item_id % 3 WHEN 1 THEN ' 命名规则 名称 类型 变量' ELSE '' END AS text FROM benchmark),
+{BM25_SQL.replace(tok('text'), tok(_pairs('text'))).replace('FROM documents', 'FROM docs2').replace('FROM benchmark', 'FROM ask2')}, {VECTOR_SQL.replace('embeddings r)', '(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM docs2)) r)')},
+st2 AS (SELECT * FROM (VALUES (0, 60, 0.65::DOUBLE, 0.25::DOUBLE, 0.10::DOUBLE), (1, 10, 0.4, 0.4, 0.2)) v(setting, rrf_k, wv, wt, wr)),
+f0 AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS l_rank, b.rank AS v_rank, b.score AS v_score FROM (SELECT * FROM lx WHERE rank <= 8) a FULL JOIN (SELECT * FROM vr WHERE rank <= 8) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
+f1 AS (SELECT f0.*, st2.*, round(coalesce(1.0::DOUBLE / (rrf_k + l_rank), 0) + coalesce(1.0::DOUBLE / (rrf_k + v_rank), 0), 9) AS rrf FROM f0, st2),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, setting ORDER BY rrf DESC, l_rank NULLS LAST, v_rank NULLS LAST, chunk_id) AS rank, count(*) OVER (PARTITION BY query_id, setting) AS total FROM f1),
+f3 AS (SELECT f2.*, d.source AS document_id, d.text AS content, round(rrf + CASE WHEN contains(a.text, '可见性') AND contains(heading, '可见性') THEN 0.012 ELSE 0 END, 9) AS boosted, list_filter(list_distinct({tok(_pairs('a.question'))}), lambda t: length(t) >= 2) AS terms,
+CASE item_id % 3 WHEN 0 THEN ['可见性'] WHEN 1 THEN ['标识符', '命名规', '名规则'] ELSE []::VARCHAR[] END AS phrases, greatest(0.0, least(1.0, (coalesce(v_score, -1.0) + 1) / 2)) AS v FROM f2 JOIN docs2 d ON d.doc_id = chunk_id JOIN ask2 a ON item_id = query_id),
+f4 AS (SELECT *, least(1.0, len(list_filter(terms, lambda t: contains(content, t)))::DOUBLE / greatest(1, len(terms))) AS tr, least(1.0, len(list_filter(phrases, lambda t: contains(content, t)))::DOUBLE / greatest(1, len(phrases))) AS pr FROM f3),
+f5 AS (SELECT *, round(round(greatest(0.0, least(0.95, wv * v + wt * tr + wr * (1 - (rank - 1)::DOUBLE / greatest(1, total - 1)) + CASE WHEN pr > 0 THEN 0.06 * least(1.0, v * pr) ELSE 0 END)), 9), 4) AS relevance FROM f4),
+f6 AS (SELECT *, row_number() OVER (PARTITION BY query_id, setting, document_id ORDER BY relevance DESC, boosted DESC, rank) AS n FROM f5)
+SELECT query_id, setting, row_number() OVER (PARTITION BY query_id, setting ORDER BY relevance DESC, boosted DESC, rank) AS place, chunk_id, document_id, relevance, boosted AS rrf FROM f6 WHERE n <= 2 QUALIFY place <= 5"""
+
+
+@query("federated_sweep", _SWEEP_SQL)
+def federated_sweep(spark, d):
+    """The whole search by two settings of its parameters, with questions that are expanded and headings that match."""
+    added = F.when(F.col("doc_id") % 10 == 0, _ADDED[0]).when(F.col("doc_id") % 10 == 1, _ADDED[1]).otherwise("")
+    heading = F.concat(F.when(F.col("doc_id") % 4 == 0, "可见性 > ").otherwise(""), F.col("lang"))
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.concat("text", added).alias("text"), heading.alias("heading"))
+    before = F.when(F.col("query_id") % 3 == 0, _BEFORE[0]).when(F.col("query_id") % 3 == 1, _BEFORE[1]).otherwise("")
+    asked = questions(spark, d).withColumn("text", F.concat(before, F.col("text"))).join(question_vectors(spark, d), "query_id", "left")
+    found = R.federated(docs.join(vectors(spark, d).select("chunk_id", "v"), "chunk_id", "left"), asked, list(_SETTINGS))
+    return found.select("query_id", "setting", "place", "chunk_id", "document_id", "relevance", "rrf")
+
+
+@query("evidence_render", f"""WITH RECURSIVE {BM25_SQL}, p AS (SELECT query_id, chunk_id, rank, substr(text, 1, 800) AS t, regexp_replace(substr(text, 1, 800), '[ \\t\\n\\r\\v\\f]+', '', 'g') AS s FROM lx JOIN documents ON doc_id = chunk_id WHERE rank <= 5),
+near AS (SELECT b.query_id, b.rank, list(a.rank) AS earlier FROM p a JOIN p b ON a.query_id = b.query_id AND a.rank < b.rank WHERE a.s <> '' AND b.s <> '' AND least(length(a.s), length(b.s))::DOUBLE / greatest(length(a.s), length(b.s)) >= 0.9 AND CASE WHEN length(a.s) <= length(b.s) THEN contains(b.s, a.s) ELSE contains(a.s, b.s) END GROUP BY ALL),
+kept AS (SELECT query_id, 1::BIGINT AS rank, [1::BIGINT] AS have FROM p WHERE rank = 1 UNION ALL
+SELECT k.query_id, k.rank + 1, CASE WHEN list_has_any(k.have, coalesce(n.earlier, []::BIGINT[])) THEN k.have ELSE list_append(k.have, k.rank + 1) END FROM kept k JOIN p ON p.query_id = k.query_id AND p.rank = k.rank + 1 LEFT JOIN near n ON n.query_id = p.query_id AND n.rank = p.rank),
+few AS (SELECT p.query_id, p.chunk_id, p.rank, {_EST.format('p.t')} AS tokens FROM p JOIN (SELECT query_id, max_by(have, rank) AS have FROM kept GROUP BY query_id) h ON h.query_id = p.query_id AND list_contains(h.have, p.rank)),
+run AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM few)
+SELECT query_id, place, chunk_id, tokens, used FROM run WHERE place = 1 OR used <= 500""")
+def evidence_render(spark, d):
+    """Evidence of each question: five best, near repeats out, then a budget of tokens."""
+    hits = R.bm25(corpus(spark, d), questions(spark, d), 5).drop("rank").join(corpus(spark, d), "chunk_id")
+    return R.evidence(hits, 5, 500).select("query_id", "place", "chunk_id", "tokens", "used")
+
+
+# Answers of models, made by rule from the turns of conversations; the SQL states what each must give.
+_TURNS = "SELECT conv_id, turn, role, text, left(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 20) AS w FROM conversations"
+
+
+def _turns(spark, d):
+    return load(spark, d, "conversations").select("conv_id", "turn", "text", F.left(F.regexp_replace("text", "[^A-Za-z]+", " "), F.lit(20)).alias("w"))
+
+
+@query("rewrite_pairs", f"""SELECT conv_id, turn, CASE WHEN length(trim(CASE WHEN turn % 6 = 1 THEN '"' || w || '"' ELSE w END)) = 0 THEN text WHEN length(r) > 3 * length(text) OR r = '' THEN text ELSE r END AS rewritten
+FROM (SELECT *, CASE turn % 6 WHEN 1 THEN '"' || trim(w) || '"' WHEN 5 THEN trim(w) || '」' ELSE trim(w) END AS r FROM ({_TURNS}))""")
+def rewrite_pairs(spark, d):
+    """Rewrites in fences, pairs of quotes, two pairs, unlike pairs: one pair that matches is taken off."""
+    t, w = F.col("turn") % 6, F.col("w")
+    raw = F.when(t == 0, F.concat(F.lit("```"), w, F.lit("```"))).when(t == 1, F.concat(F.lit(" '\""), F.trim(w), F.lit("\"'\n"))).when(t == 2, F.concat(F.lit("「"), w, F.lit("」"))).when(t == 3, F.concat(F.lit("“ "), w, F.lit("”"))).when(t == 4, F.concat(F.lit("\n"), w)).otherwise(F.concat(F.trim(w), F.lit("」")))
+    return _turns(spark, d).select("conv_id", "turn", T.rewritten(raw, F.col("text")).alias("rewritten"))
+
+
+@query("expansion_items", f"""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN trim(w) <> base THEN trim(w) END, 'two ' || turn, 'three', '-5'], lambda x: x IS NOT NULL AND x <> '')[:3], '|') AS items FROM (SELECT *, trim(left(replace(text, chr(10), ' '), 40)) AS base FROM ({_TURNS}))""")
+def expansion_items(spark, d):
+    """Lists with bullets, numbers, blanks, repeats, the question itself, an item that is too long, and one too many."""
+    w, base = F.trim("w"), F.trim(F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(40)))
+    raw = F.concat_ws("\n", F.concat(F.lit("- "), w), F.lit("无"), base, F.concat(F.lit("2. two "), F.col("turn").cast("string")), F.lit("  "), F.concat(F.lit("子问题3：two "), F.col("turn").cast("string")), F.lit("x" * 61), F.lit("* three"), F.lit("--5"))
+    return _turns(spark, d).select("conv_id", "turn", F.array_join(T.listed_items(raw, base), "|").alias("items"))
+
+
+@query("verdict_json", f"""SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN '{{"vague": true, "n": ' || turn || '}}' WHEN 1 THEN '{{"vague": false}}' WHEN 2 THEN '{{"Vague": {{"a": 1}}}}' END AS object, CASE turn % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 5 THEN true END AS vague FROM ({_TURNS})""")
+def verdict_json(spark, d):
+    """Answers that are JSON, JSON in a fence or in prose, a list, no JSON, and a bare verdict in broken JSON."""
+    t = F.col("turn") % 6
+    raw = F.when(t == 0, F.concat(F.lit('{"vague": true, "n": '), F.col("turn").cast("string"), F.lit("}"))).when(t == 1, '```json\n{"vague": false}\n```').when(t == 2, 'So: {"Vague": {"a": 1}} as said.').when(t == 3, "[1, 2]").when(t == 4, "none").otherwise('{"VAGUE" : TRUE, oops')
+    return _turns(spark, d).select("conv_id", "turn", T.lenient_object(raw).alias("object"), T.verdict(raw).alias("vague"))

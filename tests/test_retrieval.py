@@ -83,3 +83,35 @@ def test_metrics(spark):
 def test_percentile_rule(spark):
     d = spark.createDataFrame([(v,) for v in (10, 20, 30, 40)], "v long")
     assert d.agg(M.indexed_percentile("v", 0.5).alias("p")).first()["p"] == 30
+
+
+def test_distinct_evidence_is_the_greedy_walk(spark):
+    r = random.Random(3)
+    base = "abcdefghijklmnopqrst" * 2
+    rows = [(q, c, float(r.randrange(4)), " ".join(base[: r.choice((0, 30, 33, 36, 38, 40))]) or None) for q in range(8) for c in range(9)]
+    got = R.evidence(spark.createDataFrame(rows, "query_id long, chunk_id long, score double, text string"), 7, 60).collect()
+    for q in range(8):
+        best = sorted((x for x in rows if x[0] == q), key=lambda x: (-x[2], x[1]))[:7]
+        kept, used, shown = [], 0, []
+        for _, c, _, text in best:
+            s = "".join((text or "").split())
+            if not any(s and o and min(len(s), len(o)) / max(len(s), len(o)) >= 0.9 and (s in o or o in s) for _, o, _ in kept):
+                kept.append((c, s, text or ""))
+        for c, _, text in kept:
+            n = max(1, len(text) // 4) if text else 0
+            if shown and used + n > 60:
+                break
+            used += n
+            shown.append(c)
+        assert [x["chunk_id"] for x in sorted(got, key=lambda x: x["place"]) if x["query_id"] == q] == shown
+
+
+def test_federated_within_documents_and_by_intent(spark):
+    chunks = [(1, "a", "可见性 规则", "可见性", [1.0, 0.0]), (2, "b", "可见性 规则", "other", [1.0, 0.0]), (3, "c", "slice", None, None), (4, "a", "可见性 规则", "x", [1.0, 0.0]), (5, "a", "可见性 规则", "y", [0.0, 1.0])]
+    c = spark.createDataFrame(chunks, "chunk_id long, document_id string, text string, heading string, v array<double>")
+    q = spark.createDataFrame([(0, "变量 可见性", [1.0, 0.0]), (1, "slice", None)], "query_id long, text string, q array<double>")
+    got = [(x["query_id"], x["chunk_id"], x["rrf"]) for x in R.federated(c, q, cap=2).orderBy("query_id", "place").collect()]
+    assert [g[:2] for g in got] == [(0, 1), (0, 2), (0, 4), (1, 3)]
+    assert got[0][2] == pytest.approx(2 / 61 + R.HEADING_BOOST, abs=1e-9) and got[1][2] == pytest.approx(2 / 62, abs=1e-9)
+    only = spark.createDataFrame([("b",)], "document_id string")
+    assert [(x["query_id"], x["chunk_id"]) for x in R.federated(c, q, documents=only).collect()] == [(0, 2)]

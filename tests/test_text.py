@@ -51,3 +51,15 @@ def test_formula(spark):
 
 def test_sentences(spark):
     assert value(spark, "One. Two! Three", T.split_sentences) == ["One.", "Two!", "Three"]
+
+
+def test_answers_of_models(spark):
+    """Nulls, empty answers, one pair of quotes only, items and objects in prose."""
+    rows = [(None, "q"), ("", "q"), ("\"'a'\"", "long enough"), ("```", "question"), ("“x", "question"), ("1) a\n- a\n2. q\n\n无\n* b\nc\nd", "q"), ('x {"vague": False} {', "q"), ('{"a": {"Vague":true}} }', "q")]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, raw string, q string").coalesce(1)
+    raw, q = F.col("raw"), F.col("q")
+    got = d.select("i", T.rewritten(raw, q).alias("r"), T.listed_items(raw, q).alias("l"), T.lenient_object(raw).alias("o"), T.verdict(raw).alias("v")).orderBy("i").collect()
+    assert [g.r for g in got[:5]] == ["q", "q", "'a'", "question", "“x"]
+    assert got[5].l == ["a", "b", "c"] and got[0].l == [] and got[1].l == []
+    assert [g.o for g in got] == [None] * 8
+    assert [g.v for g in got] == [None] * 6 + [False, True]
