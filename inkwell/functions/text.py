@@ -29,6 +29,9 @@ LANGUAGE_WORDS = ("变量", "标识符", "包", "可见性")
 INTENT = "可见性"
 QUOTES = (("```", "```"), ('"', '"'), ("'", "'"), ("「", "」"), ("“", "”"))
 NO_ITEM, ITEM_MARK, ITEM_LENGTH, ITEMS = "无", r"^\s*(?:[-*]\s*|\d+[.)]\s*|子问题\d*\s*[:：]\s*)", 60, 3
+TOPIC_LENGTH, NO_TOPIC = 80, "未命名资料"
+# Addresses that are no public hosts, by pattern (private, loopback, link-local, reserved, multicast).
+LOCAL_HOST = r"(?i)^(?:localhost|.*\.localhost|(?:0|10|127|2(?:2[4-9]|[345]\d))(?:\.\d{1,3}){3}|169\.254(?:\.\d{1,3}){2}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2}|192\.168(?:\.\d{1,3}){2}|\[(?:::1?|f[cdef][0-9a-f]{2}:.*|::ffff:.*)\])$"
 FORMULA = r"(?:\\[a-zA-Z]+|[_^{}=+*/]|\d)"
 
 _SPACE = r"[ \t\n\r\x0b\x0c]"
@@ -197,3 +200,31 @@ def verdict(raw: Column, name: str = "vague") -> Column:
     """The truth value of a member anywhere in a model's answer, in either case; null if there is none."""
     v = F.lower(F.regexp_extract(raw, rf'(?i)"{name}"\s*:\s*(true|false)', 1))
     return F.when(v != "", v == "true")
+
+
+def file_stem(path: Column) -> Column:
+    """The last part of a path without its last extension; a name that is only an extension stays."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def topic(value: Column) -> Column:
+    """A heading or line as a topic: without number signs before it and brackets, cut to TOPIC_LENGTH."""
+    bare = F.regexp_replace(strip(F.regexp_replace(value, r"^#+\s*", "")), r"[\[\]【】]", "")
+    cut = strip(F.substring(bare, 1, TOPIC_LENGTH))
+    return F.when(cut == "", NO_TOPIC).otherwise(cut)
+
+
+def url_fault(url: Column) -> Column:
+    """Why a page may not be fetched: its scheme, or a host that is written as a local address; null if it may be.
+    Names are not resolved."""
+    parts = lambda i: F.regexp_extract(strip(F.coalesce(url, F.lit(""))), r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", i)
+    return F.when(~F.lower(parts(1)).isin("http", "https") | (parts(2) == ""), "scheme").when(parts(2).rlike(LOCAL_HOST), "local")
+
+
+def url_file(url: Column) -> Column:
+    """The name of a fetched page: the stem of its path, else the first label of its host; other characters than letters,
+    digits, - and _ are _, 100 at most."""
+    path = F.regexp_replace(F.regexp_extract(strip(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#;]*)", 1), "/+$", "")
+    host = F.regexp_extract(strip(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#.]*)", 1)
+    name = F.coalesce(F.nullif(file_stem(path), F.lit("")), F.nullif(host, F.lit("")), F.lit("web_article"))
+    return F.concat(F.substring(F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "_"), 1, 100), F.lit(".html"))

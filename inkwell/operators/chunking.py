@@ -424,10 +424,58 @@ def markdown_blocks(text: str):
     return out
 
 
-def md_blocks(docs: DataFrame, key="doc_id") -> DataFrame:
+# What begins a fence, a heading and a table's row, and what a separator's cells are, on trimmed lines.
+FENCE, HEADING, TABLE_ROW, SEPARATOR_CELL = "```", r"(#{1,6})\s+(.+)", r"\|.+\|", r":?-{3,}:?"
+
+
+def parsed_markdown(text: str):
+    """(content_type, text, heading path) of each block: lines up to the next heading, table or fence are one text, blank
+    ones included; a fence without an end runs to the end. A heading drops from the path what stands at its own level or
+    below by position, at most as many entries as levels from it to the heading before."""
+    out, path, at, held = [], [], 0, []
+    lines = text.split("\n")
+    bare = [line.strip() for line in lines]
+    cells = lambda row: [c.strip() for c in row.strip("|").split("|")]
+
+    def close(kind="text"):
+        body = "\n".join(held).strip()
+        held.clear()
+        if body:
+            out.append((kind, body, " > ".join(path)))
+
+    i = 0
+    while i < len(lines):
+        if bare[i].startswith(FENCE):
+            close()
+            end = next((j for j in range(i + 1, len(lines)) if bare[j].startswith(FENCE)), len(lines))
+            held += lines[i + 1 : end]
+            close("code")
+            i = end + 1
+        elif re.fullmatch(TABLE_ROW, bare[i]) and i + 1 < len(lines) and all(re.fullmatch(SEPARATOR_CELL, c) for c in cells(bare[i + 1])):
+            close()
+            end = next((j for j in range(i, len(lines)) if not re.fullmatch(TABLE_ROW, bare[j])), len(lines))
+            out.append(("table", "\n".join(bare[i:end]), " > ".join(path)))
+            i = end
+        else:
+            if m := re.fullmatch(HEADING, bare[i]):
+                close()
+                level = len(m[1])
+                path = [*path[: len(path) - max(0, min(at, len(path)) - level + 1)], m[2].strip()]
+                at = level
+                out.append(("heading", path[-1], " > ".join(path)))
+            else:
+                held.append(lines[i])
+            i += 1
+    close()
+    return out
+
+
+def md_blocks(docs: DataFrame, key="doc_id", read=parsed_markdown) -> DataFrame:
+    """key, block_pos, content_type, text, heading of Markdown texts. `read` may be markdown_blocks, where a blank line ends
+    a paragraph and a separator may be shorter. Null texts have no blocks."""
     def run(batches):
         for b in batches:
-            rows = [(k, i, *x) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, x in enumerate(markdown_blocks(t or ""))]
+            rows = [(k, i, *x) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, x in enumerate(read(t or ""))]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.string()) for c in cols[2:]]], [key, "block_pos", "content_type", "text", "heading"])
 

@@ -110,13 +110,13 @@ def paragraphs(page_lines: DataFrame) -> DataFrame:
     return j.groupBy("document_id", "paragraph").agg(F.count(F.lit(1)).alias("n_lines"), joined("line_pos", "text", " ").alias("text"))
 
 
-def frequent_lines(blocks: DataFrame, ratio: float = 0.6) -> DataFrame:
-    """by-source lines (trimmed, 60 characters at most) that occur in blocks(source_type, text) at least
-    max(2, int(ratio * blocks)) times, in sources of three blocks or more."""
-    n = blocks.groupBy("source_type").agg(F.count(F.lit(1)).alias("n_blocks")).filter("n_blocks >= 3")
-    each = blocks.select("source_type", F.explode(F.split("text", "\n")).alias("line")).select("source_type", T.strip(F.col("line")).alias("line")).filter("line != '' and length(line) <= 60")
-    counts = each.groupBy("source_type", "line").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(n, "source_type").filter(F.col("n") >= F.greatest(F.lit(2), F.floor(ratio * F.col("n_blocks"))))
+def frequent_lines(blocks: DataFrame, ratio: float = 0.6, by=("source_type",)) -> DataFrame:
+    """Lines (trimmed, 60 characters at most) that occur in blocks(.., text) of one `by` at least max(2, int(ratio *
+    blocks)) times, where there are three blocks or more. By document and source it finds furniture of a document."""
+    n = blocks.groupBy(*by).agg(F.count(F.lit(1)).alias("n_blocks")).filter("n_blocks >= 3")
+    each = blocks.select(*by, F.explode(F.split("text", "\n")).alias("line")).select(*by, T.strip(F.col("line")).alias("line")).filter("line != '' and length(line) <= 60")
+    counts = each.groupBy(*by, "line").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(n, list(by)).filter(F.col("n") >= F.greatest(F.lit(2), F.floor(ratio * F.col("n_blocks"))))
 
 
 def clean_blocks(blocks: DataFrame, ratio: float = 0.6) -> DataFrame:
@@ -152,3 +152,63 @@ def latest(rows: DataFrame, key, order) -> DataFrame:
 def reindex(stored: DataFrame, fresh: DataFrame, key="document_id") -> DataFrame:
     """stored with the rows of all documents in fresh replaced by those in fresh: doing it twice changes nothing."""
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+
+
+def topics(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """document_id, topic_label of files(document_id, filename): the first heading block of two characters or more in
+    blocks(document_id, block_pos, content_type, heading_path, text), else the first such entry of a heading path, else
+    the first such line that begins a block, else the file's stem. A document without blocks has its stem."""
+    text, long_enough = T.strip(F.col("text")), lambda c: F.length(T.strip(c)) >= 2
+    entry = F.get(F.filter("heading_path", long_enough), 0)
+    line = T.strip(F.get(F.split(text, r"\r\n|[\n\r\x0b\x0c]"), 0))
+    first = lambda value, holds: F.min_by(F.when(holds, value), F.when(holds, F.col("block_pos")))
+    found = blocks.groupBy("document_id").agg(first(text, (F.col("content_type") == "heading") & long_enough(F.col("text"))).alias("_a"), first(entry, entry.isNotNull()).alias("_b"), first(line, F.length(line) >= 2).alias("_c"))
+    stem = F.coalesce(F.nullif(T.file_stem(F.col("filename")), F.lit("")), F.lit(T.NO_TOPIC))
+    return files.join(found, "document_id", "left").select("document_id", F.coalesce(T.topic(F.coalesce("_a", "_b", "_c")), stem).alias("topic_label"))
+
+
+def stamped(blocks: DataFrame, files: DataFrame, names=("filename", "topic_label", "source_url")) -> DataFrame:
+    """blocks(document_id, metadata map) with the file's columns of these names put into metadata, over what it held;
+    a name whose value is null or empty is not put."""
+    more = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"_{n}").alias("v")) for n in names]), lambda e: F.coalesce(e["v"] != "", F.lit(False))))
+    j = blocks.join(files.select("document_id", *[F.col(n).cast("string").alias(f"_{n}") for n in names]), "document_id", "left")
+    own = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(more, k))
+    return j.withColumn("metadata", F.map_concat(own, more)).select(*blocks.columns)
+
+
+def search_text(content="content", metadata="metadata") -> Column:
+    """What is indexed of a chunk: metadata's search_text, else its content, else nothing."""
+    return F.coalesce(F.nullif(F.col(metadata)["search_text"], F.lit("")), F.col(content), F.lit(""))
+
+
+def updated(records: DataFrame, changes: DataFrame, key="document_id", allowed: tuple[str, ...] = ()) -> DataFrame:
+    """records with the allowed columns that changes, one row a key, bring: where its value is null, and where it has no
+    row, the record stays as it is; columns that aren't allowed or that records lack are passed over."""
+    names = [c for c in changes.columns if c in allowed and c in records.columns and c != key]
+    j = records.join(changes.select(key, *[F.col(c).alias(f"_{c}") for c in names]), key, "left")
+    return j.select(*[F.coalesce(f"_{c}", c).alias(c) if c in names else c for c in records.columns])
+
+
+def without_terminal(tasks: DataFrame, again: DataFrame, states=("REJECTED", "FAILED", "SUCCEEDED")) -> DataFrame:
+    """tasks(document_id, status) without those that ended, of documents in again(document_id)."""
+    gone = again.select("document_id").distinct().withColumn("_again", F.lit(True))
+    return tasks.join(gone, "document_id", "left").filter(~(F.coalesce("_again", F.lit(False)) & F.coalesce(F.col("status").isin(*states), F.lit(False)))).drop("_again")
+
+
+def catalog(registry: DataFrame, files: DataFrame, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """Registered documents whose file exists, and files that no one registered, by name in lower case.
+
+    registry(document_id, filename, source_path, source_type), files(path, size). Unregistered files have their stem as
+    id and are legacy. With extensions, such as ".pdf", only files of these, in any case, are listed."""
+    wanted = files if not extensions else files.filter(F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1)).isin(*map(str.lower, extensions)))
+    ext = F.regexp_extract("path", r"\.([^./\\]+)$", 1)
+    known = wanted.join(registry.withColumnRenamed("source_path", "path"), "path").select("document_id", "filename", "path", F.coalesce(F.nullif("source_type", F.lit("")), ext).alias("source_type"), "size", F.lit(False).alias("legacy"))
+    other = wanted.join(registry.select(F.col("source_path").alias("path")), "path", "left_anti").select(T.file_stem(F.col("path")).alias("document_id"), F.regexp_extract("path", r"([^/\\]*)$", 1).alias("filename"), "path", ext.alias("source_type"), "size", F.lit(True).alias("legacy"))
+    return known.unionByName(other).orderBy(F.lower("filename"), "path")
+
+
+def narrowed(scope: str, document_ids: list[str] | None) -> list[str] | None:
+    """The documents that a search is narrowed to, None for all; the scope "selected" needs some."""
+    if scope == "selected" and not document_ids:
+        raise ValueError("scope selected needs document ids")
+    return list(document_ids) if document_ids else None

@@ -9,6 +9,9 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import tables
+from ..functions import text as T
+from ..operators import chunking as C
 from ..operators import documents as D
 from ..registry import query
 from ..sources import files as R
@@ -162,3 +165,124 @@ SELECT doc_id || '.pptx' AS path, row_number() OVER (PARTITION BY doc_id ORDER B
 def pptx_blocks(spark, d):
     docs = load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
     return R.pptx_blocks(_files(docs, "pptx", _pptx)).select("path", "block_pos", "page", "content_type", "text", F.array_join("heading_path", " > ").alias("heading"))
+
+
+_STEM = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')"
+
+
+@query("url_ingest", f"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'http://' || CASE page_id % 3 WHEN 0 THEN '10.0.0.' WHEN 1 THEN '192.168.1.' ELSE '127.0.0.' END || page_id % 250 || '/a.b.html' WHEN 2 THEN 'ftp://x.org/f' ELSE url END AS url FROM pages),
+p AS (SELECT *, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#;]*)', 1), '/+$', '') AS path, regexp_extract(url, '^[a-z]+://([^/?#.]*)', 1) AS host FROM u)
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'local' WHEN 2 THEN 'scheme' END AS fault, left(regexp_replace(coalesce(nullif({_STEM}, ''), host), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), 100) || '.html' AS filename FROM p""")
+def url_ingest(spark, d):
+    """Pages that may be fetched and their names; local hosts and other schemes take the place of some."""
+    k = F.col("page_id")
+    host = F.when(k % 3 == 0, "10.0.0.").when(k % 3 == 1, "192.168.1.").otherwise("127.0.0.")
+    url = F.when(k % 5 == 1, F.concat(F.lit("http://"), host, (k % 250).cast("string"), F.lit("/a.b.html"))).when(k % 5 == 2, "ftp://x.org/f").otherwise(F.col("url"))
+    return load(spark, d, "pages").select("page_id", T.url_fault(url).alias("fault"), T.url_file(url).alias("filename"))
+
+
+_TOPIC = "substr(trim(regexp_replace(regexp_replace({0}, '^#+\\s*', ''), '[\\[\\]【】]', '', 'g')), 1, 80)"
+
+
+@query("topic_inference", f"""WITH l AS (SELECT doc_id, pos, {_BARE} AS t FROM ({LINES_SQL}) WHERE doc_id % 4 < 3), f AS (SELECT doc_id, min_by(t, pos) AS t FROM l WHERE length(t) >= 2 GROUP BY doc_id), h AS (SELECT doc_id, min_by(t, pos) AS t FROM l WHERE length(t) >= 2 AND pos > 0 GROUP BY doc_id)
+SELECT d.doc_id, trim(CASE WHEN d.doc_id % 4 = 0 AND h.t IS NOT NULL THEN {_TOPIC.format('h.t')} WHEN d.doc_id % 4 = 1 THEN 'A path' WHEN d.doc_id % 4 < 3 AND f.t IS NOT NULL THEN {_TOPIC.format('f.t')} ELSE 'file.' || d.doc_id END) AS topic_label
+FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id""")
+def topic_inference(spark, d):
+    """Lines as blocks: headings after the first line, entries of a heading path, plain lines, and documents without blocks."""
+    k = F.col("doc_id") % 4
+    docs = load(spark, d, "documents")
+    lines = docs.filter(k < 3).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    heading = (k == 0) & (F.col("pos") > 0)
+    blocks = lines.select(F.col("doc_id").alias("document_id"), F.col("pos").alias("block_pos"), F.when(heading, "heading").otherwise("text").alias("content_type"), F.when(k == 1, F.array(F.lit("x"), F.lit("## [A] path"))).otherwise(F.array().cast("array<string>")).alias("heading_path"), F.when(heading, F.concat(F.lit(" "), F.col("line"))).otherwise(F.col("line")).alias("text"))
+    files = docs.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("dir/file."), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"))
+    return D.topics(blocks, files).select(F.col("document_id").alias("doc_id"), "topic_label")
+
+
+@query("metadata_stamp", """SELECT doc_id, 'f' || doc_id || '.md' AS filename, source AS topic_label, CASE WHEN doc_id % 3 = 0 THEN 'http://x/' || doc_id WHEN doc_id % 3 = 1 THEN 'old' END AS source_url, 'k' AS kept, CASE WHEN doc_id % 2 = 0 THEN 's' || doc_id ELSE text END AS search_text FROM documents""")
+def metadata_stamp(spark, d):
+    """The file's name, topic and address in each block's metadata; an empty address leaves what was there. Then what is indexed."""
+    k, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    held = {"kept": F.lit("k"), "filename": F.lit("old"), "source_url": F.when(k % 3 != 2, "old"), "search_text": F.when(k % 2 == 0, F.concat(F.lit("s"), s)).otherwise("")}
+    meta = F.map_filter(F.create_map(*[x for n, v in held.items() for x in (F.lit(n), v)]), lambda n, v: v.isNotNull())
+    docs = load(spark, d, "documents")
+    blocks = docs.select(k.alias("document_id"), F.col("text").alias("content"), meta.alias("metadata"))
+    files = docs.select(k.alias("document_id"), F.concat(F.lit("f"), s, F.lit(".md")).alias("filename"), F.col("source").alias("topic_label"), F.when(k % 3 == 0, F.concat(F.lit("http://x/"), s)).otherwise("").alias("source_url"))
+    m = F.col("metadata")
+    return D.stamped(blocks, files).select(F.col("document_id").alias("doc_id"), *[m[n].alias(n) for n in ("filename", "topic_label", "source_url", "kept")], D.search_text().alias("search_text"))
+
+
+@query("registry_update", "SELECT d.doc_id, CASE WHEN quality = 1 THEN 'good' ELSE source END AS source, lang, n_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def registry_update(spark, d):
+    """Changes of an allowed column, of one that isn't allowed, and of one that records lack."""
+    changes = load(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").alias("source"), F.lit("xx").alias("lang"), F.lit(1).alias("unknown"))
+    return D.updated(load(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), changes, "doc_id", ("source", "unknown"))
+
+
+_STATES = "SELECT event_id, user_id AS document_id, CASE event_id % 5 WHEN 0 THEN 'REJECTED' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'SUCCEEDED' WHEN 3 THEN 'PENDING' ELSE 'PARSING' END AS status FROM events"
+
+
+@query("terminal_cleanup", f"SELECT event_id, document_id, status FROM ({_STATES}) WHERE NOT (event_id % 5 < 3 AND document_id IN (SELECT doc_id FROM labels WHERE quality = 1))")
+def terminal_cleanup(spark, d):
+    """Tasks that ended go once their document is approved anew."""
+    states = F.array(*map(F.lit, ("REJECTED", "FAILED", "SUCCEEDED", "PENDING", "PARSING")))
+    tasks = load(spark, d, "events").select("event_id", F.col("user_id").alias("document_id"), F.get(states, (F.col("event_id") % 5).cast("int")).alias("status"))
+    return D.without_terminal(tasks, load(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("document_id"))).select("event_id", "document_id", "status")
+
+
+@query("catalog_files", """SELECT doc_id, document_id, filename, source_type, legacy FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'f' || doc_id ELSE 'r' || doc_id END AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'f' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.md' END ELSE 'Name ' || doc_id END AS filename, CASE WHEN doc_id % 3 = 1 THEN 'html' WHEN doc_id % 2 = 0 THEN 'PDF' ELSE 'md' END AS source_type, doc_id % 3 = 0 AS legacy FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 <> 0)""")
+def catalog_files(spark, d):
+    """PDF files, registered or not; registered ones without a file are left out."""
+    k, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    path = F.concat(F.lit("up/f"), s, F.when(k % 2 == 0, ".PDF").otherwise(".md"))
+    docs = load(spark, d, "documents")
+    files = docs.filter(k % 7 != 0).select(path.alias("path"), F.col("n_chars").alias("size"))
+    known = docs.filter(k % 3 != 0).select(F.concat(F.lit("r"), s).alias("document_id"), F.concat(F.lit("Name "), s).alias("filename"), path.alias("source_path"), F.when(k % 3 == 1, "html").alias("source_type"))
+    return D.catalog(known, files, (".pdf",)).select(F.regexp_extract("path", r"f(\d+)", 1).cast("long").alias("doc_id"), "document_id", "filename", "source_type", "legacy")
+
+
+@query("rebuild_html", """SELECT doc_id AS document_id, CASE WHEN doc_id % 9 = 4 THEN 'new' ELSE 'old' END AS version, n_chars FROM documents""")
+def rebuild_html(spark, d):
+    """Stored blocks of HTML documents are replaced by new ones; the others stay."""
+    docs = load(spark, d, "documents").withColumn("filename", F.when(F.col("doc_id") % 9 == 4, F.when(F.col("doc_id") % 2 == 0, "a.HTML").otherwise("b.htm")).otherwise("c.html.md"))
+    row = lambda version, df: df.select(F.col("doc_id").alias("document_id"), F.lit(version).alias("version"), "n_chars")
+    return D.reindex(row("old", docs), row("new", docs.filter(F.lower("filename").rlike(r"\.html?$"))))
+
+
+@query("document_furniture", """WITH b AS (SELECT doc_id % 40 AS document_id, source AS source_type, unnest(string_split(text, chr(10))) AS line, doc_id FROM documents), n AS (SELECT doc_id % 40 AS document_id, source AS source_type, count(*) AS n_blocks FROM documents GROUP BY ALL HAVING count(*) >= 3)
+SELECT document_id, source_type, line, count(*) AS n FROM (SELECT document_id, source_type, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM b UNION ALL SELECT doc_id % 40, source, 'Page head ' || doc_id % 40 FROM documents) x JOIN n USING (document_id, source_type) WHERE line <> '' AND length(line) <= 60 GROUP BY document_id, source_type, line, n_blocks HAVING count(*) >= greatest(2, floor(0.6 * n_blocks))""")
+def document_furniture(spark, d):
+    """Lines that stand on most pages of a document: every fortieth row is a page of one."""
+    k = F.col("doc_id") % 40
+    pages = load(spark, d, "documents").select(k.alias("document_id"), F.col("source").alias("source_type"), F.concat(F.lit("Page head "), k.cast("string"), F.lit(" \n"), F.col("text")).alias("text"))
+    return D.frequent_lines(pages, by=("document_id", "source_type")).select("document_id", "source_type", "line", "n")
+
+
+_HEAD = f"(pos % 6 = 3 AND {_BARE} <> '')"
+_MD_SQL = f"""WITH l AS (SELECT doc_id, pos, line, {_BARE} AS t, {_HEAD} AS h, sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM ({LINES_SQL})),
+s AS (SELECT doc_id, sec, max(t) FILTER (h) AS h2, trim(string_agg(CASE WHEN NOT h THEN line END, chr(10) || chr(10) ORDER BY pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM l GROUP BY doc_id, sec),
+p AS (SELECT *, concat_ws(' > ', 'Title ' || doc_id, h2) AS heading FROM s), z AS (SELECT doc_id, max_by(heading, sec) AS heading FROM p GROUP BY doc_id),
+b AS (SELECT doc_id, -1 AS sec, 0 AS o, 'heading' AS content_type, 'Title ' || doc_id AS text, 'Title ' || doc_id AS heading FROM z UNION ALL SELECT doc_id, sec, 0, 'heading', h2, heading FROM p WHERE h2 IS NOT NULL UNION ALL SELECT doc_id, sec, 1, 'text', body, heading FROM p WHERE body <> ''
+UNION ALL SELECT doc_id, 1000000000, 0, 'code', 'x = ' || doc_id || chr(10) || chr(10) || '# no heading', heading FROM z UNION ALL SELECT doc_id, 1000000000, 1, 'table', '| a | b |' || chr(10) || '|---|:---:|' || chr(10) || '| 1 | ' || doc_id || ' |', heading FROM z UNION ALL SELECT doc_id, 1000000000, 2, 'text', '| a | b |' || chr(10) || '| - | - |', heading FROM z)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, o) - 1 AS block_pos, content_type, text, heading FROM b"""
+
+
+@query("markdown_parse", _MD_SQL)
+def markdown_parse(spark, d):
+    """Documents as Markdown: a title, every sixth line after the fourth a heading below it, blank lines within texts, code
+    with what looks like a heading, a table, and lines that only look like one."""
+    parts = F.transform(F.split("text", "\n"), lambda line, i: F.when((i % 6 == 3) & (T.strip(line) != ""), F.concat(F.lit("## "), line)).otherwise(F.concat(line, F.lit("\n"))))
+    n = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("# Title "), n, F.lit("\n"), F.array_join(parts, "\n"), F.lit("\n```py\nx = "), n, F.lit("\n\n# no heading\n```\n | a | b |\n|---|:---:|\n| 1 | "), n, F.lit(" |\n\n| a | b |\n| - | - |"))
+    return C.md_blocks(load(spark, d, "documents").select("doc_id", text.alias("text")))
+
+
+_LINE = "trim(replace(text, chr(10), ' '))"
+
+
+@query("table_functions", f"""WITH w AS (SELECT doc_id, {_LINE} AS t, unnest(range(0, CASE WHEN length({_LINE}) <= 500 THEN 1 ELSE CAST(ceil((length({_LINE}) - 80) / 420.0) AS BIGINT) END)) AS k FROM documents), c AS (SELECT doc_id, k, trim(substr(t, 1 + 420 * k, 500)) AS chunk FROM w)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, chunk FROM c WHERE length(chunk) >= 50""")
+def table_functions(spark, d):
+    """Chunks by a table function of SQL; texts are put on one line, so that the chunks are plain windows."""
+    tables.register(spark)
+    docs = load(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    return spark.sql("SELECT d.doc_id, c.pos, c.chunk FROM {docs} d, LATERAL chunk_text(d.text, 'fixed') c", docs=docs)

@@ -149,3 +149,34 @@ def test_reindex_twice(spark):
     new = spark.createDataFrame([(2, "n"), (2, "m")], "document_id long, v string")
     once = sorted(map(tuple, D.reindex(old, new).collect()))
     assert once == sorted(map(tuple, D.reindex(D.reindex(old, new), new).collect())) == [(1, "o"), (2, "m"), (2, "n")]
+
+
+def test_parsed_markdown_rules():
+    """Blank lines stay in a text, a deep first heading stays over its siblings, fences and tables end texts, an open fence runs on."""
+    t = "intro\n\nmore\n### deep\n## next\n## last\n  | a |\n| --- |\n| 1 |\nafter\n```\n\n```\n#no heading\n```py\n# x"
+    assert C.parsed_markdown(t) == [
+        ("text", "intro\n\nmore", ""), ("heading", "deep", "deep"), ("heading", "next", "deep > next"), ("heading", "last", "deep > last"),
+        ("table", "| a |\n| --- |\n| 1 |", "deep > last"), ("text", "after", "deep > last"), ("text", "#no heading", "deep > last"), ("code", "# x", "deep > last")]
+    assert C.parsed_markdown("") == []
+
+
+def test_update_topics_and_catalog_of_odd_rows(spark):
+    from inkwell.operators import documents as D
+
+    files = spark.createDataFrame([(1, "a/.env"), (2, "b.tar.gz"), (3, None)], "document_id int, filename string")
+    none = spark.createDataFrame([(2, 0, "heading", ["x"], "[ ]"), (2, 1, "text", None, "\n ## a]b \nc")], "document_id int, block_pos int, content_type string, heading_path array<string>, text string")
+    assert {r.document_id: r.topic_label for r in D.topics(none, files).collect()} == {1: ".env", 2: "未命名资料", 3: "未命名资料"}
+    assert {r.document_id: r.topic_label for r in D.topics(none.filter("block_pos = 1"), files).collect()}[2] == "ab"
+    stored = spark.createDataFrame([(1, {"filename": "old"}), (4, None)], "document_id int, metadata map<string,string>")
+    got = D.stamped(stored, files.selectExpr("*", "'t' topic_label", "'' source_url")).collect()
+    assert {r.document_id: r.metadata for r in got} == {1: {"filename": "a/.env", "topic_label": "t"}, 4: {}}
+    tasks = spark.createDataFrame([(1, "FAILED"), (1, None), (2, "FAILED"), (None, "FAILED")], "document_id int, status string")
+    assert sorted(map(str, D.without_terminal(tasks, spark.createDataFrame([(1,), (1,), (None,)], "document_id int")).collect())) == sorted(["Row(document_id=1, status=None)", "Row(document_id=2, status='FAILED')", "Row(document_id=None, status='FAILED')"])
+
+
+def test_selected_scope_needs_documents():
+    from inkwell.operators import documents as D
+
+    assert D.narrowed("all", None) is None and D.narrowed("auto", ["d"]) == ["d"]
+    with pytest.raises(ValueError):
+        D.narrowed("selected", [])
