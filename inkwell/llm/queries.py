@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, neighbours, packing, quality, secrets, suffix, urls, wavelet
+from . import alignment, centroids, jaccard, language, lyndon, mixing, neighbours, packing, quality, secrets, suffix, urls, wavelet
 
 QUERIES = {
     "op1_cube_mix": mixing.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_wavelet_shards": wavelet.op8,
     "op9_banded_tiles": jaccard.op9,
     "op10_attention_scores": language.op10,
+    "op11_nearest_centroids": centroids.op11,
+    "op12_lyndon_runs": lyndon.op12,
+    "op13_segment_alignment": alignment.op13,
 }
 
 #: DuckDB SQL of those that SQL can express.
