@@ -146,12 +146,12 @@ def with_planted_run(doc_id: Column, text: Column) -> Column:
     period, both of which the id and the number of words give. Other texts, and those without an id, stay as they are."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    spun = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(spun, " ")).otherwise(text)
+    spin = lambda a, p: lambda words: F.array_join(F.transform(words, lambda w, i: F.when(i < a(words), w).otherwise(F.get(words, (a(words) + (i - a(words)) % p(words)).cast("int")))), " ")
+    first = lambda words: g % F.size(words)
+    period = lambda words: F.lit(1) + F.floor((F.size(words) - first(words)) / (F.lit(3) + g % 8))
+    # an array of one list of words, so that the list is made once and not for each of its words
+    spun = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), spin(first, period)), F.lit(0))
+    return F.when((h % 10 == 0) & text.rlike(WORD), spun).otherwise(text)
 
 
 def op12(spark, sf_dir):
