@@ -19,10 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _trim, cut, mapped, release, table, text_bytes
+from .common import _trim, cut, drop_cut, mapped, release, table, text_bytes
 
 #: Bytes of text of a block, at most one document over: what a task holds of it at a time, some ten times as much in all.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Share of all blocks that hold a segment which is sent to every task, and bytes that it has at most.
+HOT_SHARE, HOT_BYTES = 0.25, 64
+NOT_HOT = (1 << 32) - 1
+#: What is known of a segment, columns of a document's result.
+FACTS = ["whole", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups"]
+COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 #: White space that a segment may begin with, if the vocabularies allow it.
 SPACES = " \t\n\v\f\r"
 #: Fixed value of the second tokenizer's files: its space.
@@ -160,7 +166,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, files: tuple, block_byt
     return cut(mapped(rows, run, _DOCS), "blocks")
 
 
-def align_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", byte_bpe=None, piece_bpe=None, block_bytes=BLOCK_BYTES) -> DataFrame:
+def align_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", byte_bpe=None, piece_bpe=None, block_bytes=BLOCK_BYTES, hot_share=HOT_SHARE) -> DataFrame:
     """Per document, of a space and its text under both tokenizers: id_col, n_a, n_b (tokens), n_groups (parts between byte
     offsets where tokens of both end), n_links (pairs of tokens that end together), n_best (links whose
     count is the highest of any with their second id), count_sum (of the links' counts) and groups (text of ids `a1,a2|b1;a3|b2`). A
@@ -168,9 +174,10 @@ def align_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", byte_bpe=
 
     A null or empty text, or one whose tokens by either don't give its bytes back, has no tokens: zeros, groups '', and adds
     to no count. Repeated rows have a row each and count each; ties for the highest all count as best. An empty table gives no rows;
-    other columns are left out, whatever their names. Texts are taken whole: a task holds a block (8 MB of texts, or one
-    longer text). Segments that stand in many blocks are rows of a join by segment, which Spark splits if they pile up."""
-    files = byte_bpe, piece_bpe
+    other columns are left out, whatever their names. Texts are taken whole: a task holds a block (16 MB of texts, or one
+    longer text). Segments of at most HOT_BYTES bytes that hot_share of all blocks hold are sent to every task: together they
+    have at most 1 / hot_share times the bytes of a mean block. All others come back by a join with the blocks that hold them."""
+    spark, files = docs.sparkSession, (byte_bpe, piece_bpe)
     blocks = _blocks(docs, id_col, text_col, files, block_bytes)
     each = blocks.select("block", F.posexplode(F.arrays_zip("segs", "counts")).alias("at", "x")).select("block", "at", F.col("x.segs").alias("seg"), F.col("x.counts").alias("n"))
 
@@ -180,13 +187,69 @@ def align_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", byte_bpe=
             segs, raw = b.column(0).to_pylist(), text_bytes(b.column(0))
             rows = [own.align(*x) for x in zip(raw, *own.encode(segs))]
             whole, n_a, n_b, n_groups, groups, links = zip(*rows) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole, pa.bool_()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(n_groups, pa.int64()), pa.array(groups, pa.string()), pa.array(links, pa.list_(pa.int64()))], ["seg", "n", "whole", "n_a", "n_b", "n_groups", "groups", "links"])
+            made = [pa.array(whole, pa.bool_()), *[pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)], pa.array(groups, pa.string()), pa.array(links, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], ["seg", "n", "held", "whole", *FACTS[1:4], "groups", "links"])
+
+    distinct = each.groupBy("seg").agg(F.sum("n").alias("n"), F.count("*").alias("held"))
+    aligned = cut(mapped(distinct, run, "seg string, n long, held long, whole boolean, n_a long, n_b long, n_groups long, groups string, links array<long>"), "aligned")
+    release(spark)
+    pairs = cut(_pair_counts(blocks, each, aligned), "pairs")
+    second = F.expr("pair & 4294967295")
+    highest = pairs.groupBy(second.alias("b")).agg(F.max("count").alias("highest"))
+    ranked = pairs.withColumn("b", second).join(highest, "b").select("pair", "count", (F.col("count") == F.col("highest")).cast("long").alias("best"))
+    kept = ("held", "whole", "n_a", "n_b", "n_groups", "groups")
+    ones = aligned.select("seg", *kept, F.explode_outer("links").alias("pair")).join(ranked, "pair", "left")
+    sums = ones.groupBy("seg").agg(*[F.first(c).alias(c) for c in kept], F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    known = cut(sums, "known")
+    for x in (aligned, pairs):
+        drop_cut(x)
+    release(spark)
+
+    n_blocks = blocks.select("block").count()
+    hot = known.filter((F.col("held") >= hot_share * n_blocks) & (F.octet_length("seg") <= HOT_BYTES))
+    sent = spark.sparkContext.broadcast(_ipc(hot.select("seg", *FACTS).toArrow()))
+    seg_of_hot = F.broadcast(hot.select("seg"))
+    cold = known.join(seg_of_hot, "seg", "left_anti").select("seg", *FACTS)
+    back = each.drop("n").join(seg_of_hot, "seg", "left_anti").join(cold, "seg").select(F.col("block").alias("of"), "at", *FACTS)
+    schema = "block long, doc_ids array<long>, sizes array<int>, codes binary, hot binary"
+
+    def places(batches):
+        index = None
+        for b in batches:
+            index = index or {x: i for i, x in enumerate(_table(sent.value).column("seg").to_pylist())}
+            for k, segs in enumerate(b.column(4).to_pylist()):
+                at = array("I", [index.get(x, NOT_HOT) for x in segs])
+                yield pa.RecordBatch.from_arrays([*[c.slice(k, 1) for c in b.columns[:4]], pa.array([_pack(at)], pa.binary())], ["block", "doc_ids", "sizes", "codes", "hot"])
+
+    held = mapped(blocks.select("block", "doc_ids", "sizes", "codes", "segs"), places, schema)
+
+    def compose(block: pa.Table, facts: pa.Table) -> pa.Table:
+        ids, sizes, codes, at = (block.column(c)[0].as_py() for c in ("doc_ids", "sizes", "codes", "hot"))
+        sizes, codes, at = np.array(sizes, dtype=np.int64), _unpack(codes), _unpack(at).astype(np.int64)
+        everywhere = _table(sent.value)
+        mine = pa.concat_tables([everywhere.select(FACTS).take(pa.array(at[at != NOT_HOT])), facts.select(FACTS)])
+        place = np.empty(len(at), dtype=np.int64)
+        place[np.flatnonzero(at != NOT_HOT)] = np.arange(len(mine) - len(facts))
+        place[facts.column("at").to_numpy()] = np.arange(len(mine) - len(facts), len(mine))
+        row = place[codes]
+        ends = np.cumsum(sizes)
+        whole = ~_any(~mine.column("whole").to_numpy()[row], sizes) & (sizes > 0)
+        out = [pa.array(ids, pa.int64())]
+        for c in COUNTS:
+            v = mine.column("n_groups" if c == "n_links" else c).fill_null(0).to_numpy()
+            total = np.concatenate([[0], np.cumsum(v[row])])
+            out.append(pa.array(np.where(whole, total[ends] - total[ends - sizes], 0), pa.int64()))
+        texts = mine.column("groups").to_pylist()
+        out.append(pa.array([";".join([texts[r] for r in row[z - n : z].tolist()]) if w else "" for z, n, w in zip(ends.tolist(), sizes.tolist(), whole.tolist())], pa.string()))
+        made = pa.table(out, names=[id_col, *COUNTS, "groups"])
+        _trim()
+        return made
 
-    distinct = each.groupBy("seg").agg(F.sum("n").alias("n"))
-    aligned = cut(mapped(distinct, run, "seg string, n long, whole boolean, n_a long, n_b long, n_groups long, groups string, links array<long>"), "aligned")
-    release(docs.sparkSession)
+    return held.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(compose, f"{id_col} long, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
 
-    # segments of documents without tokens, to be taken off the counts
+
+def _pair_counts(blocks: DataFrame, each: DataFrame, aligned: DataFrame) -> DataFrame:
+    """How many links of all documents hold each pair of ids: segments' links, as often as documents with tokens hold the segment."""
     broken = each.join(aligned.filter(~F.col("whole")).select("seg"), "seg").groupBy("block").agg(F.collect_set("at").alias("broken"))
 
     def lost(batches):
@@ -202,38 +265,19 @@ def align_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", byte_bpe=
 
     minus = mapped(blocks.join(broken, "block").select("sizes", "codes", "segs", "broken"), lost, "seg string, n long")
     off = minus.groupBy("seg").agg(F.sum("n").alias("off"))
-    linked = aligned.filter("whole").select("seg", "n", "links").join(off, "seg", "left").select("seg", (F.col("n") + F.coalesce("off", F.lit(0))).alias("n"), F.explode("links").alias("pair"))
-    pairs = cut(linked.groupBy("pair").agg(F.sum("n").alias("count")), "pairs")  # two ids a row: bounded by the vocabularies
-    highest = pairs.groupBy(F.expr("pair & 4294967295").alias("b")).agg(F.max("count").alias("highest"))
-    ranked = pairs.withColumn("b", F.expr("pair & 4294967295")).join(highest, "b").select("pair", "count", (F.col("count") == F.col("highest")).cast("long").alias("best"))
-    sums = aligned.select("seg", F.explode("links").alias("pair")).join(ranked, "pair").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    known = aligned.drop("n", "links").join(sums, "seg", "left")
-    back = each.join(known, "seg").select(F.col("block").alias("of"), "at", "whole", "n_a", "n_b", "n_groups", "groups", "n_best", "count_sum")
+    linked = aligned.filter("whole").select("seg", "n", "links").join(off, "seg", "left").select((F.col("n") + F.coalesce("off", F.lit(0))).alias("n"), F.explode("links").alias("pair"))
+    return linked.groupBy("pair").agg(F.sum("n").alias("count"))
 
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
-    def compose(block: pa.Table, facts: pa.Table) -> pa.Table:
-        ids, sizes, packed = (block.column(c)[0].as_py() for c in ("doc_ids", "sizes", "codes"))
-        sizes, codes = np.array(sizes, dtype=np.int64), _unpack(packed)
-        at = facts.column("at").to_numpy()
-        row = np.empty(len(at), dtype=np.int64)
-        row[at] = np.arange(len(at))
-        ends = np.cumsum(sizes)
-        whole = ~_any(~facts.column("whole").to_numpy()[row][codes], sizes) & (sizes > 0) if len(at) else np.zeros(len(ids), bool)
-        out = [pa.array(ids, pa.int64())]
-        for c in names:
-            v = facts.column("n_groups" if c == "n_links" else c).fill_null(0).to_numpy()
-            total = np.concatenate([[0], np.cumsum(v[row][codes])]) if len(at) else np.zeros(1, np.int64)
-            out.append(pa.array(np.where(whole, total[ends] - total[ends - sizes], 0), pa.int64()))
-        texts = facts.column("groups").to_pylist()
-        texts = [texts[r] for r in row.tolist()]
-        codes = codes.tolist()
-        out.append(pa.array([";".join([texts[c] for c in codes[z - n : z]]) if w else "" for z, n, w in zip(ends.tolist(), sizes.tolist(), whole.tolist())], pa.string()))
-        made = pa.table(out, names=[id_col, *names, "groups"])
-        _trim()
-        return made
+def _ipc(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
 
-    return blocks.select("block", "doc_ids", "sizes", "codes").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(compose, f"{id_col} long, " + ", ".join(f"{c} long" for c in names) + ", groups string")
+def _table(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(raw)).read_all()
 
 
 def _any(flags: np.ndarray, sizes: np.ndarray) -> np.ndarray:
