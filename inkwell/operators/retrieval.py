@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .postings import PostingsIndex
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 RRF_K, POOL = 60, 8
@@ -23,18 +24,31 @@ def document_lengths(corpus: DataFrame) -> DataFrame:
     return corpus.select("chunk_id", F.size(T.tokenize(F.col("text"))).cast("long").alias("dl"))
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(T.query_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, top_k: int | None = None) -> DataFrame:
-    """query_id, chunk_id, score and rank of matched chunks by BM25+ over queries(query_id, text).
+    """query_id, chunk_id, score and rank of matched chunks by BM25+ over queries(query_id, text), without an index.
 
     Only postings of query terms are counted: the terms' table joins before the aggregation, so the shuffle
     carries the matches of the queries, not the corpus. Repeated query tokens count repeatedly."""
-    terms = queries.select("query_id", F.explode(T.query_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    asked = terms.select("term").distinct()
+    terms = _asked(queries)
     # a generator of one row: a text is cut into tokens once, not anew for their number
     tokens = corpus.select("chunk_id", F.inline(F.array(F.struct(T.tokenize(F.col("text")).alias("tokens")))))
-    matched = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked, "term")
+    matched = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term")
     tf = matched.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     stats = corpus.select(T.token_count(F.col("text")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    return _bm25_scores(terms, tf, stats, top_k)
+
+
+def bm25_stored(index: PostingsIndex, queries: DataFrame, top_k: int | None = None) -> DataFrame:
+    """bm25() over the chunks of a stored index: it reads the buckets of the queries' terms, and no text."""
+    terms = _asked(queries)
+    return _bm25_scores(terms, index.postings(terms.select("term").distinct()), index.statistics(), top_k)
+
+
+def _bm25_scores(terms: DataFrame, tf: DataFrame, stats: DataFrame, top_k: int | None) -> DataFrame:
     # it reads the columns that the scores read, so that both share one exchange of the matches
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("tf") + F.col("dl")).alias("_most")).filter("_most > 0")
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import retrieval as R
+from ..operators.postings import PostingsIndex
+from ..sources.store import shared_dir
 from ..sources.tables import load
 
 TOKENS_SQL = r"regexp_extract_all({0}, '[一-鿿]+|[a-zA-Z0-9_.\-/^²³₀-₉]+|[+\-*/=()\[\]{{}}]')"
@@ -17,6 +20,12 @@ def corpus(spark, d):
     return load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
+def stored_bm25(spark, d, queries, top_k=None):
+    """BM25+ of queries over the corpus' stored index, which the first search after the documents were written makes."""
+    index = PostingsIndex.of(spark, f"{shared_dir(spark)}/postings/v1", f"{d}/documents.parquet", corpus(spark, d))
+    return R.bm25_stored(index, queries, top_k)
+
+
 def questions(spark, d):
     return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 

@@ -9,7 +9,7 @@ from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..registry import query
 from ..sources.tables import load
-from .common import BM25_SQL, corpus, cos_sql, questions, vector_queries, vectors
+from .common import BM25_SQL, corpus, cos_sql, questions, stored_bm25, vector_queries, vectors
 
 # Single-relevant run: the label of each near vector, the query's own label expected.
 _RUN = f"""run AS (SELECT query_id AS question_id, label AS document_id, rank, q_label FROM (
@@ -62,7 +62,7 @@ per AS (SELECT question_id, n_expected, coalesce(min(rank), 0) AS first_rank, ro
 
 def _multi(spark, d):
     q = questions(spark, d)
-    runs = R.bm25(corpus(spark, d), q, 10).select(F.col("query_id").alias("question_id"), F.col("chunk_id").alias("document_id"), "rank")
+    runs = stored_bm25(spark, d, q, 10).select(F.col("query_id").alias("question_id"), F.col("chunk_id").alias("document_id"), "rank")
     holds = R.holding(load(spark, d, "documents").select("doc_id", "text"), q.withColumnRenamed("text", "passage"))
     return M.multi_relevant(runs, holds.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("document_id")))
 
@@ -94,7 +94,7 @@ def relational_summary(spark, d):
 def doc_ranking(spark, d):
     """Sources of a run in order of first occurrence."""
     src = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
-    first = R.bm25(corpus(spark, d), questions(spark, d), 10).join(src, "chunk_id").groupBy("query_id", "source").agg(F.min("rank").alias("first"))
+    first = stored_bm25(spark, d, questions(spark, d), 10).join(src, "chunk_id").groupBy("query_id", "source").agg(F.min("rank").alias("first"))
     return first.select("query_id", "source", F.row_number().over(Window.partitionBy("query_id").orderBy("first")).alias("place"))
 
 
@@ -161,7 +161,7 @@ _REACT = f"""{_MULTI}, k AS (SELECT n.question_id, n.n_expected, count(DISTINCT
 def react_summary(spark, d):
     """A first answer against five: what is closed, recovered and left over."""
     q = questions(spark, d)
-    runs = R.bm25(corpus(spark, d), q, 10).select(F.col("query_id").alias("question_id"), F.col("chunk_id").alias("document_id"), "rank")
+    runs = stored_bm25(spark, d, q, 10).select(F.col("query_id").alias("question_id"), F.col("chunk_id").alias("document_id"), "rank")
     holds = R.holding(load(spark, d, "documents").select("doc_id", "text"), q.withColumnRenamed("text", "passage")).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("document_id"))
     j = holds.join(runs, ["question_id", "document_id"], "left")
     per = j.groupBy("question_id").agg(F.countDistinct("document_id").alias("e"), F.countDistinct(F.when(F.col("rank") <= 1, F.col("document_id"))).alias("s"), F.countDistinct(F.when(F.col("rank") <= 5, F.col("document_id"))).alias("a"))
@@ -176,7 +176,7 @@ SELECT rrf_k::BIGINT AS rrf_k, mean_total, round(mean_total - (SELECT mean_total
 def sensitivity(spark, d):
     """A parameter grid beside the runs: mean, change against the current value, best."""
     grid = spark.createDataFrame([(20,), (40,), (60,), (80,)], "rrf_k long")
-    runs = R.bm25(corpus(spark, d), questions(spark, d), 8).crossJoin(F.broadcast(grid))
+    runs = stored_bm25(spark, d, questions(spark, d), 8).crossJoin(F.broadcast(grid))
     per = runs.groupBy("rrf_k", "query_id").agg(F.sum(1.0 / (F.col("rrf_k") + F.col("rank"))).alias("total"))
     m = per.groupBy("rrf_k").agg(F.round(F.avg("total"), 6).alias("mean_total"))
     w = Window.partitionBy(F.lit(1))

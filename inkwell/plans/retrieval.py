@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators.postings import PostingsIndex
 from ..registry import query
+from ..sources.store import shared_dir
 from ..sources.tables import load
-from .common import BM25_SQL, HYBRID_SQL, VECTOR_SQL, corpus, cos_sql, question_vectors, questions, tok, vector_queries, vectors
+from .common import BM25_SQL, HYBRID_SQL, VECTOR_SQL, corpus, cos_sql, question_vectors, questions, stored_bm25, tok, vector_queries, vectors
 
 
 @query("tokenize", f"SELECT doc_id, len({tok('text')}) AS n_tokens, md5(array_to_string({tok('text')}, ' ')) AS tokens_md5 FROM documents")
@@ -28,6 +32,21 @@ def postings(spark, d):
     return R.postings(corpus(spark, d))
 
 
+_CHANGED = "SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN upper(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3 AND doc_id % 20 <> 14"
+
+
+@query("postings_changed", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, (SELECT count(*) FROM ({_CHANGED})) AS n, (SELECT CAST(sum(len({tok('text')})) AS BIGINT) FROM ({_CHANGED})) AS tokens FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM ({_CHANGED})) GROUP BY term")
+def postings_changed(spark, d):
+    """Terms of an index after documents were replaced, taken out and merged, with the sizes that it keeps."""
+    docs, at = corpus(spark, d), f"{shared_dir(spark)}/postings/changed-{uuid.uuid4().hex}"
+    k = F.col("chunk_id")
+    index = PostingsIndex.create(spark, at, docs)
+    index.upsert(docs.filter(k % 10 == 4).withColumn("text", F.upper("text"))).delete(docs.filter(k % 10 == 3))
+    index.merge().delete(docs.filter(k % 20 == 14))
+    sizes = index.statistics().select("n", F.round(F.col("n") * F.col("avgdl")).cast("long").alias("tokens"))
+    return index.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(sizes))  # one row
+
+
 @query("term_df", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY ALL")
 def term_df(spark, d):
     return R.postings(corpus(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -35,13 +54,13 @@ def term_df(spark, d):
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, rank FROM lx WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return R.bm25(corpus(spark, d), questions(spark, d), 10)
+    return stored_bm25(spark, d, questions(spark, d), 10)
 
 
 @query("bm25_filtered", f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lx JOIN documents ON doc_id = chunk_id WHERE rank <= 32 AND lang = 'en' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8")
 def bm25_filtered(spark, d):
     """The filter comes after a cut to four times k of the whole corpus."""
-    pool = R.bm25(corpus(spark, d), questions(spark, d), 32).drop("rank")
+    pool = stored_bm25(spark, d, questions(spark, d), 32).drop("rank")
     english = load(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))
     return R.top(pool.join(english, "chunk_id", "left_semi").select("query_id", "chunk_id", "score"), 8)
 
@@ -66,7 +85,7 @@ def filtered_search(spark, d):
 
 
 def _hybrid(spark, d):
-    lexical = R.bm25(corpus(spark, d), questions(spark, d), R.POOL)
+    lexical = stored_bm25(spark, d, questions(spark, d), R.POOL)
     vector = R.vector_topk(vectors(spark, d), question_vectors(spark, d), R.POOL)
     return R.rrf(lexical, vector)
 
@@ -121,7 +140,7 @@ def query_features(spark, d):
 
 @query("lexical_hits", f"WITH {BM25_SQL} SELECT query_id, chunk_id, len(list_filter(list_filter(list_distinct({tok('b.text')}), lambda t: length(t) >= 2), lambda t: contains(c.text, t))) AS hits FROM lx JOIN benchmark b ON item_id = query_id JOIN documents c ON doc_id = chunk_id WHERE rank <= 10")
 def lexical_hits(spark, d):
-    pool = R.bm25(corpus(spark, d), questions(spark, d), 10)
+    pool = stored_bm25(spark, d, questions(spark, d), 10)
     q = questions(spark, d).select("query_id", F.col("text").alias("question"))
     return pool.join(corpus(spark, d), "chunk_id").join(q, "query_id").select("query_id", "chunk_id", F.size(F.filter(T.query_terms(F.col("question")), lambda t: F.instr(F.col("text"), t) > 0)).cast("long").alias("hits"))
 
@@ -191,7 +210,7 @@ SELECT a.query_id, a.chunk_id AS kept_id, b.chunk_id AS dup_id FROM p a JOIN p b
 least(length(a.s), length(b.s))::DOUBLE / greatest(length(a.s), length(b.s)) >= 0.9 AND CASE WHEN length(a.s) <= length(b.s) THEN contains(b.s, a.s) ELSE contains(a.s, b.s) END""")
 def near_dup_pairs(spark, d):
     """Among the ten best of a query, one compact text within the other and nine tenths of its length."""
-    pool = R.bm25(corpus(spark, d), questions(spark, d), 10).join(corpus(spark, d), "chunk_id")
+    pool = stored_bm25(spark, d, questions(spark, d), 10).join(corpus(spark, d), "chunk_id")
     p = pool.select("query_id", "chunk_id", "rank", F.regexp_replace(F.substring("text", 1, 800), r"[ \t\n\r\x0b\f]+", "").alias("s")).filter("s != ''")
     a, b = p.toDF("query_id", "kept_id", "ra", "sa"), p.toDF("query_id", "dup_id", "rb", "sb")
     la, lb = F.length("sa"), F.length("sb")
@@ -210,7 +229,7 @@ def estimate_tokens(spark, d):
 @query("evidence_budget", f"""WITH {BM25_SQL}, p AS (SELECT query_id, chunk_id, rank, {_EST.format('text')} AS tokens FROM lx JOIN documents ON doc_id = chunk_id WHERE rank <= 5),
 r AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM p) SELECT query_id, chunk_id, rank, tokens, CAST(used AS BIGINT) AS used FROM r WHERE rank = 1 OR used <= 600""")
 def evidence_budget(spark, d):
-    pool = R.bm25(corpus(spark, d), questions(spark, d), 5).join(corpus(spark, d), "chunk_id")
+    pool = stored_bm25(spark, d, questions(spark, d), 5).join(corpus(spark, d), "chunk_id")
     items = pool.select("query_id", "chunk_id", "rank", T.estimate_tokens(F.col("text")).alias("tokens"))
     return R.within_budget(items, 600)
 
@@ -225,7 +244,7 @@ def evidence_status(spark, d):
 def probe_escalate(spark, d):
     """A selected scope without a hit gives way to all documents."""
     scope = load(spark, d, "documents").filter(F.col("source").isin("src1", "src2", "src3")).select(F.col("doc_id").alias("chunk_id"))
-    found = R.bm25(corpus(spark, d), questions(spark, d), 8).join(scope, "chunk_id", "left_semi")
+    found = stored_bm25(spark, d, questions(spark, d), 8).join(scope, "chunk_id", "left_semi")
     n = questions(spark, d).select("query_id").join(found, "query_id", "left").groupBy("query_id").agg(F.count("chunk_id").alias("n_hits"))
     return n.withColumn("scope", F.when(F.col("n_hits") == 0, "all").otherwise("selected"))
 
@@ -244,7 +263,7 @@ def score_breakdown(spark, d):
     """All scores of a question, without a cut: vector and lexical side by side."""
     q = question_vectors(spark, d)
     v = vectors(spark, d).crossJoin(F.broadcast(q)).select("query_id", "chunk_id", F.round(R.cosine("v", "q"), 6).alias("v_score"))
-    lexical = R.bm25(corpus(spark, d), questions(spark, d)).select("query_id", "chunk_id", F.col("score").alias("l"))
+    lexical = stored_bm25(spark, d, questions(spark, d)).select("query_id", "chunk_id", F.col("score").alias("l"))
     return v.join(lexical, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "v_score", F.coalesce("l", F.lit(0.0)).alias("l_score"))
 
 
@@ -343,7 +362,7 @@ run AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS
 SELECT query_id, place, chunk_id, tokens, used FROM run WHERE place = 1 OR used <= 500""")
 def evidence_render(spark, d):
     """Evidence of each question: five best, near repeats out, then a budget of tokens."""
-    hits = R.bm25(corpus(spark, d), questions(spark, d), 5).drop("rank").join(corpus(spark, d), "chunk_id")
+    hits = stored_bm25(spark, d, questions(spark, d), 5).drop("rank").join(corpus(spark, d), "chunk_id")
     return R.evidence(hits, 5, 500).select("query_id", "place", "chunk_id", "tokens", "used")
 
 
