@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import store
 
-#: Bytes of text of a bucket, about; buckets at most; tasks that write a bucket of an index of that many.
-BUCKET_BYTES, MOST_BUCKETS, SALTS = 64 << 20, 4096, 8
+#: Bytes of text of a bucket, about; buckets at most; files of a bucket by chunk, since frequent terms fill theirs.
+BUCKET_BYTES, MOST_BUCKETS, SALTS = 64 << 20, 4096, 4
 #: Bytes of a table that one task reads.
 SPLIT_BYTES = 128 << 20
 #: Segments from which an upsert or delete merges the smaller ones.
 MERGE_FROM = 8
+_SALT = lambda: F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))
 _TERMS = "term string, chunk_id {0}, tf long, dl long"
 
 
@@ -133,14 +134,13 @@ class PostingsIndex:
         return self.merge() if len(self.state["segments"]) >= MERGE_FROM else self
 
     def _write_terms(self, each: DataFrame, s: int) -> None:
-        """Postings of exploded tokens: dealt by bucket (a large index's hot buckets by chunk as well), counted there, sorted, one exchange."""
-        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS if self.state["buckets"] == MOST_BUCKETS else 1)).alias("salt")
-        dealt = each.withColumn("salt", salt).repartition(self._tasks(), "bucket", "salt")
+        """Postings of exploded tokens: dealt by bucket and chunk, counted there, sorted, one exchange."""
+        dealt = each.withColumn("salt", _SALT()).repartition(self._tasks(), "bucket", "salt")
         counted = dealt.groupBy("bucket", "salt", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
         self._write_sorted(counted, s)
 
     def _tasks(self) -> int:
-        return self.state["buckets"] * (SALTS if self.state["buckets"] == MOST_BUCKETS else 1)
+        return self.state["buckets"] * SALTS
 
     def _write_sorted(self, counted: DataFrame, s: int) -> None:
         rows = counted.select("term", "chunk_id", "tf", "dl", "bucket").sortWithinPartitions("bucket", "term", "chunk_id")
@@ -156,7 +156,7 @@ class PostingsIndex:
             return self
         s, ids, rest = state["next"], [x["id"] for x in old], [x for x in state["segments"] if x not in old]
         live = self._alive(self._read("terms", ids, _TERMS.format(state["id"]) + ", segment int, bucket int"), ids)
-        self._write_sorted(live.repartition(self._tasks(), "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(self._tasks() // state["buckets"]))), s)
+        self._write_sorted(live.repartition(self._tasks(), "bucket", _SALT()), s)
         held = self._read("chunks", ids, f"chunk_id {state['id']}, dl long, segment int").filter("dl IS NOT NULL")
         self._alive(held, ids).select("chunk_id", "dl").write.mode("overwrite").parquet(f"{self.path}/chunks/segment={s}")
         n = self._read("chunks", [s], f"chunk_id {state['id']}, dl long, segment int").count()

@@ -13,6 +13,8 @@ RRF_K, POOL = 60, 8
 HEADING_BOOST, EVIDENCE_CHARS = 0.012, 800
 #: Queries that are broadcast to the vectors: at most so many rows, else they are dealt by blocks.
 BROADCAST_ROWS = 4096
+#: Rows of query and term that are sent to the postings at most, some 60 bytes each; beyond that both sides are dealt by term.
+BROADCAST_TERMS = 500_000
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -43,19 +45,32 @@ def bm25(corpus: DataFrame, queries: DataFrame, top_k: int | None = None) -> Dat
 
 
 def bm25_stored(index: PostingsIndex, queries: DataFrame, top_k: int | None = None) -> DataFrame:
-    """bm25() over the chunks of a stored index: it reads the buckets of the queries' terms, and no text."""
+    """bm25() over the chunks of a stored index: it reads the buckets of the queries' terms, and no text.
+
+    The terms with their weights are sent to the postings where they stand while they are few, which is counted first; so
+    only sums are dealt anew. Beyond that both sides are dealt by term."""
     terms = _asked(queries)
-    return _bm25_scores(terms, index.postings(terms.select("term").distinct()), index.statistics(), top_k)
+    few = terms.count() <= BROADCAST_TERMS
+    tf = index.postings(terms.select("term").distinct())
+    q = terms.join(_idf(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.statistics()), "term")
+    return _gains(F.broadcast(q) if few else q, tf, top_k, few)
 
 
 def _bm25_scores(terms: DataFrame, tf: DataFrame, stats: DataFrame, top_k: int | None) -> DataFrame:
     # it reads the columns that the scores read, so that both share one exchange of the matches
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("tf") + F.col("dl")).alias("_most")).filter("_most > 0")
-    idf = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")
-    q = terms.join(idf, "term")
+    return _gains(terms.join(_idf(df, stats), "term"), tf, top_k, False)
+
+
+def _idf(df: DataFrame, stats: DataFrame) -> DataFrame:
+    return df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")
+
+
+def _gains(q: DataFrame, tf: DataFrame, top_k: int | None, few: bool) -> DataFrame:
+    """Scores of q(query_id, term, qf, idf, avgdl) over postings."""
     base = q.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("qf") * DELTA).alias("base"))
     gain = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = q.join(tf, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("gain")).join(base, "query_id")
+    score = q.join(tf, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("gain")).join(F.broadcast(base) if few else base, "query_id")
     score = score.select("query_id", "chunk_id", F.round(F.col("base") + F.col("gain"), 6).alias("score"))
     return top(score, top_k) if top_k else score
 
