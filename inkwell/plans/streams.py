@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -10,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import documents as D
 from ..registry import query
+from ..sources.store import shared_dir
 from ..sources.tables import load
 from ..streaming import ops as S
+from ..streaming import tasks as K
 
 _STATUS = "CASE event_type WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'PENDING' ELSE 'RUNNING' END"
 
@@ -34,6 +35,30 @@ def task_errors(spark, d):
     return load(spark, d, "events").filter("event_type = 'error'").select("event_id", S.error_code(stage).alias("error_code"), F.substring("props", 1, 500).alias("error_message"))
 
 
+_STAGES = list(K.STAGE_PROGRESS)
+_KIND = "CASE WHEN event_id % 12 = 0 THEN 'SUCCEEDED' WHEN event_id % 36 = 1 THEN 'REJECTED' WHEN event_id % 12 IN (1, 2) THEN 'FAILED' WHEN event_id % 12 IN (3, 4, 5) THEN 'RETRY' ELSE 'STAGE' END"
+_IN = "s.status = 'PENDING' AND e.kind"
+_BACK = "s.status = 'FAILED' AND e.kind = 'RETRY'"
+
+
+@query("staged_tasks", f"""WITH RECURSIVE ev AS (SELECT user_id AS task_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k, {_KIND} AS kind, {_STAGES!r}[event_id % {len(_STAGES)} + 1] AS stage, props AS error FROM events),
+st AS (SELECT DISTINCT task_id, 0::BIGINT AS k, 'PENDING' AS status, '' AS stage, 0::BIGINT AS progress, NULL::VARCHAR AS error_code, '' AS error_message, 0::BIGINT AS retry_count, 0::BIGINT AS refused, NULL::BIGINT AS event_id FROM ev
+UNION ALL SELECT s.task_id, e.k, CASE WHEN {_IN} IN ('SUCCEEDED', 'REJECTED', 'FAILED') THEN e.kind WHEN {_BACK} THEN 'PENDING' ELSE s.status END,
+CASE WHEN {_IN} = 'STAGE' THEN e.stage WHEN {_IN} = 'SUCCEEDED' THEN 'DONE' WHEN {_IN} = 'REJECTED' THEN 'REVIEW' WHEN {_BACK} THEN '' ELSE s.stage END,
+CASE WHEN {_IN} = 'STAGE' THEN CASE e.stage {' '.join(f"WHEN '{k}' THEN {v}" for k, v in K.STAGE_PROGRESS.items())} END WHEN {_IN} IN ('SUCCEEDED', 'REJECTED') THEN 100 WHEN {_BACK} THEN 0 ELSE s.progress END,
+CASE WHEN {_IN} = 'FAILED' THEN CASE s.stage {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in S.ERROR_CODES.items())} ELSE 'UNKNOWN' END ELSE s.error_code END,
+CASE WHEN {_IN} = 'FAILED' THEN substr(coalesce(e.error, ''), 1, 500) WHEN {_IN} IN ('STAGE', 'SUCCEEDED', 'REJECTED') OR {_BACK} THEN '' ELSE s.error_message END,
+s.retry_count + CAST({_BACK} AS BIGINT), s.refused + CASE WHEN {_BACK} OR {_IN} <> 'RETRY' THEN 0 ELSE 1 END, e.event_id FROM st s JOIN ev e ON e.task_id = s.task_id AND e.k = s.k + 1)
+SELECT task_id, status, stage, progress, error_code, error_message, retry_count, refused, event_id FROM st QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY k DESC) = 1""")
+def staged_tasks(spark, d):
+    """The life of each task (a user's events): stages, progress, coded errors, retries of failed tasks alone, and what was refused."""
+    k = F.col("event_id")
+    kind = F.when(k % 12 == 0, "SUCCEEDED").when(k % 36 == 1, "REJECTED").when((k % 12).isin(1, 2), "FAILED").when((k % 12).isin(3, 4, 5), "RETRY").otherwise("STAGE")
+    stage = F.get(F.array(*map(F.lit, _STAGES)), (k % len(_STAGES)).cast("int"))
+    e = load(spark, d, "events").select(F.col("user_id").alias("task_id"), "event_id", "ts", kind.alias("kind"), stage.alias("stage"), F.col("props").alias("error"))
+    return K.staged_tasks(e).drop("at")
+
+
 @query("task_counts", f"SELECT {_STATUS} AS status, count(*) AS n, count(*) FILTER ({_STATUS} IN ('SUCCEEDED', 'FAILED', 'REJECTED')) AS n_done FROM events GROUP BY ALL")
 def task_counts(spark, d):
     return _tasks(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin(*S.TERMINAL)).alias("n_done"))
@@ -64,8 +89,7 @@ def session_windows(spark, d):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkwell-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("ingest_batch")
