@@ -14,6 +14,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,8 +27,8 @@ BLOCK_BYTES = 16 << 20
 #: Share of all blocks that hold a segment which is sent to every task, and bytes that it has at most.
 HOT_SHARE, HOT_BYTES = 0.25, 64
 NOT_HOT = (1 << 32) - 1
-#: What is known of a segment, columns of a document's result.
-FACTS = ["whole", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups"]
+#: What is known of a segment, from which its other counts follow (no groups: no tokens); counts of a document.
+FACTS = ["n_a", "n_best", "count_sum", "groups"]
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 #: White space that a segment may begin with, if the vocabularies allow it.
 SPACES = " \t\n\v\f\r"
@@ -82,11 +83,11 @@ class SegmentAligner:
         second = self.b.encode([s[1:] if p else "\n" + s for s, p in zip(segments, plain)], num_threads=1)
         return first, [x if p else x[2:] for x, p in zip(second, plain)]
 
-    def align(self, segment: bytes, a: list[int], b: list[int]) -> tuple[bool, int, int, int, str, list[int]]:
-        """(whole, ids by the first, by the second, groups, groups as text, linked pairs); all none where either's bytes differ from the segment's."""
+    def align(self, segment: bytes, a: list[int], b: list[int]) -> tuple[int, str, list[int]]:
+        """(ids by the first, groups as text, linked pairs); none where either's bytes differ from the segment's."""
         bytes_a, bytes_b = self.a_bytes, self.b_bytes
         if b"".join([bytes_a[x] for x in a]) != segment or b"".join([bytes_b[x] for x in b]) != segment:
-            return False, 0, 0, 0, "", []
+            return 0, "", []
         i = j = at_a = at_b = from_i = from_j = 0
         groups, links = [], []
         while i < len(a) or j < len(b):
@@ -100,7 +101,7 @@ class SegmentAligner:
                 groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
                 links.append(a[i - 1] << 32 | b[j - 1])
                 from_i, from_j = i, j
-        return True, len(a), len(b), len(groups), ";".join(groups), links
+        return len(a), ";".join(groups), links
 
 
 _ALIGNERS: dict = {}
@@ -163,7 +164,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, files: tuple, block_byt
         if ids:
             yield flush()
 
-    return cut(mapped(rows, run, _DOCS), "blocks")
+    return cut(mapped(rows, run, _DOCS), "blocks", "zstd")
 
 
 def align_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", byte_bpe=None, piece_bpe=None, block_bytes=BLOCK_BYTES, hot_share=HOT_SHARE) -> DataFrame:
@@ -186,21 +187,20 @@ def align_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", byte_bpe=
         for b in batches:
             segs, raw = b.column(0).to_pylist(), text_bytes(b.column(0))
             rows = [own.align(*x) for x in zip(raw, *own.encode(segs))]
-            whole, n_a, n_b, n_groups, groups, links = zip(*rows) if rows else [()] * 6
-            made = [pa.array(whole, pa.bool_()), *[pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)], pa.array(groups, pa.string()), pa.array(links, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], ["seg", "n", "held", "whole", *FACTS[1:4], "groups", "links"])
+            n_a, groups, links = zip(*rows) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n_a, pa.int64()), pa.array(groups, pa.string()), pa.array(links, pa.list_(pa.int64()))], ["seg", "n", "held", "n_a", "groups", "links"])
 
     distinct = each.groupBy("seg").agg(F.sum("n").alias("n"), F.count("*").alias("held"))
-    aligned = cut(mapped(distinct, run, "seg string, n long, held long, whole boolean, n_a long, n_b long, n_groups long, groups string, links array<long>"), "aligned")
+    aligned = cut(mapped(distinct, run, "seg string, n long, held long, n_a long, groups string, links array<long>"), "aligned", "zstd")
     release(spark)
     pairs = cut(_pair_counts(blocks, each, aligned), "pairs")
     second = F.expr("pair & 4294967295")
     highest = pairs.groupBy(second.alias("b")).agg(F.max("count").alias("highest"))
     ranked = pairs.withColumn("b", second).join(highest, "b").select("pair", "count", (F.col("count") == F.col("highest")).cast("long").alias("best"))
-    kept = ("held", "whole", "n_a", "n_b", "n_groups", "groups")
+    kept = ("held", "n_a", "groups")
     ones = aligned.select("seg", *kept, F.explode_outer("links").alias("pair")).join(ranked, "pair", "left")
     sums = ones.groupBy("seg").agg(*[F.first(c).alias(c) for c in kept], F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    known = cut(sums, "known")
+    known = cut(sums, "known", "zstd")
     for x in (aligned, pairs):
         drop_cut(x)
     release(spark)
@@ -228,18 +228,22 @@ def align_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", byte_bpe=
         sizes, codes, at = np.array(sizes, dtype=np.int64), _unpack(codes), _unpack(at).astype(np.int64)
         everywhere = _table(sent.value)
         mine = pa.concat_tables([everywhere.select(FACTS).take(pa.array(at[at != NOT_HOT])), facts.select(FACTS)])
-        place = np.empty(len(at), dtype=np.int64)
+        place = np.empty(len(at), dtype=np.int32)
         place[np.flatnonzero(at != NOT_HOT)] = np.arange(len(mine) - len(facts))
         place[facts.column("at").to_numpy()] = np.arange(len(mine) - len(facts), len(mine))
         row = place[codes]
         ends = np.cumsum(sizes)
-        whole = ~_any(~mine.column("whole").to_numpy()[row], sizes) & (sizes > 0)
+        text = mine.column("groups")
+        some = pc.not_equal(text, "").to_numpy()
+        known = {c: mine.column(c).fill_null(0).to_numpy() for c in FACTS[:3]}
+        known["n_groups"] = known["n_links"] = some + pc.count_substring(text, ";").to_numpy().astype(np.int64)
+        known["n_b"] = pc.count_substring(text, ",").to_numpy() + 2 * known["n_groups"] - known["n_a"]  # a list of n ids has n - 1 commas
+        whole = ~_any(~some[row], sizes) & (sizes > 0)
         out = [pa.array(ids, pa.int64())]
         for c in COUNTS:
-            v = mine.column("n_groups" if c == "n_links" else c).fill_null(0).to_numpy()
-            total = np.concatenate([[0], np.cumsum(v[row])])
+            total = np.concatenate([[0], np.cumsum(known[c][row])])
             out.append(pa.array(np.where(whole, total[ends] - total[ends - sizes], 0), pa.int64()))
-        texts = mine.column("groups").to_pylist()
+        texts = text.to_pylist()
         out.append(pa.array([";".join([texts[r] for r in row[z - n : z].tolist()]) if w else "" for z, n, w in zip(ends.tolist(), sizes.tolist(), whole.tolist())], pa.string()))
         made = pa.table(out, names=[id_col, *COUNTS, "groups"])
         _trim()
@@ -250,7 +254,7 @@ def align_tokens(docs: DataFrame, *, id_col="doc_id", text_col="text", byte_bpe=
 
 def _pair_counts(blocks: DataFrame, each: DataFrame, aligned: DataFrame) -> DataFrame:
     """How many links of all documents hold each pair of ids: segments' links, as often as documents with tokens hold the segment."""
-    broken = each.join(aligned.filter(~F.col("whole")).select("seg"), "seg").groupBy("block").agg(F.collect_set("at").alias("broken"))
+    broken = each.join(aligned.filter("groups = ''").select("seg"), "seg").groupBy("block").agg(F.collect_set("at").alias("broken"))
 
     def lost(batches):
         for b in batches:
@@ -265,7 +269,7 @@ def _pair_counts(blocks: DataFrame, each: DataFrame, aligned: DataFrame) -> Data
 
     minus = mapped(blocks.join(broken, "block").select("sizes", "codes", "segs", "broken"), lost, "seg string, n long")
     off = minus.groupBy("seg").agg(F.sum("n").alias("off"))
-    linked = aligned.filter("whole").select("seg", "n", "links").join(off, "seg", "left").select((F.col("n") + F.coalesce("off", F.lit(0))).alias("n"), F.explode("links").alias("pair"))
+    linked = aligned.filter("groups <> ''").select("seg", "n", "links").join(off, "seg", "left").select((F.col("n") + F.coalesce("off", F.lit(0))).alias("n"), F.explode("links").alias("pair"))
     return linked.groupBy("pair").agg(F.sum("n").alias("count"))
 
 

@@ -36,12 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: a short lineage that
     survives lost executors, and one computation however often it is read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkwell_path = path
     return out
