@@ -12,6 +12,7 @@ holds a bounded number of both and a query returns few lists.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +133,7 @@ class LearnedPartitions:
         if len(x) < LEAST_SPLIT or parts < 2:
             return cls(1, None)
         parts = max(2, min(parts, len(x) // 24))
+        x = x / np.abs(x).max()  # products of very long vectors would overflow; their order stays
         near = graph(x, min(GRAPH_K, len(x) - 1))
         part = balanced_partition(x, near, parts)
         return cls(parts, Router.fit(x, near, part, parts), parts)
@@ -174,21 +176,26 @@ def _rank(k: int):
         by_id = np.argsort(ids, kind="stable")
         c, ids, part = c[by_id], ids[by_id], rows.column("part").to_numpy()[by_id]
         ways = queries.column("ways").to_pylist()
-        outs = []
+        longest, outs = np.linalg.norm(c, axis=1).max(), []
         for s in range(0, len(q), 256):
-            p = q[s : s + 256] @ c.T
+            with np.errstate(over="ignore", invalid="ignore"):  # products may overflow: such rows are candidates, too
+                p = q[s : s + 256] @ c.T
+                error = 1e-12 * np.linalg.norm(q[s : s + 256], axis=1) * longest
+            p[np.isnan(p)] = np.inf
             routed = np.zeros((len(p), int(part.max()) + 1), dtype=bool)
             for i, w in enumerate(ways[s : s + 256]):
                 routed[i, [x for x in w if x < routed.shape[1]]] = True
-            p[~routed[:, part]] = -np.inf
-            p[qids[s : s + 256, None] == ids[None, :]] = -np.inf
+            may = routed[:, part] & (qids[s : s + 256, None] != ids[None, :])
+            p[~may] = -np.inf
             take = min(k, p.shape[1])
             bound = np.partition(p, p.shape[1] - take, axis=1)[:, p.shape[1] - take]
             for i, low in enumerate(bound):
-                at = np.flatnonzero((p[i] >= low - 1e-9 * max(1.0, abs(low))) & np.isfinite(p[i])) if np.isfinite(low) else np.flatnonzero(np.isfinite(p[i]))
+                least = low - error[i]
+                at = np.flatnonzero(may[i] & (p[i] >= least) if np.isfinite(least) else may[i])
                 score = np.zeros(len(at))
-                for j in range(c.shape[1]):  # in order of components: equal vectors get equal scores
-                    score += q[s + i, j] * c[at, j]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    for j in range(c.shape[1]):  # in order of components: equal vectors get equal scores
+                        score += q[s + i, j] * c[at, j]
                 top = np.lexsort((ids[at], -score))[:k]
                 outs.append((np.full(len(top), qids[s + i]), ids[at][top], score[top]))
         return pa.table({n: pa.array(np.concatenate(x)) for n, x in zip(("query_id", "vec_id", "score"), zip(*outs))})
@@ -202,7 +209,8 @@ def _nearest(queries: np.ndarray, ids: np.ndarray, k: int):
     def run(batches):
         best: list = [[] for _ in queries]
         for b in batches:
-            p = queries @ _matrix(b.column(1)).T
+            with np.errstate(over="ignore", invalid="ignore"):
+                p = np.nan_to_num(queries @ _matrix(b.column(1)).T, nan=np.finfo(float).max)
             p[ids[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
             at = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
             part = b.column(2).to_numpy()
@@ -250,16 +258,20 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, sample: int = SA
     """query_id, rank, vec_id, score: of each query its k nearest rows found, by inner product, without the row of its
     own id; ties to the smaller id. rows and queries: vec_id, embedding; other columns are left out, whatever their names.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
-    another length than the most of the sample; fewer rows than k are all found. Rows that repeat an id are
-    rows of their own; queries that repeat an id are one. Empty tables give no rows. The fit sees at most `sample` rows; every row is indexed."""
+    Vectors that are null, zero, or hold null or non-finite components take no part. A product is defined for vectors of one
+    length: where there are several, each has an index of its own, and queries meet rows of their length. Sums that overflow are
+    scores as they come, a sum that is no number last. Fewer rows than k are all found. Rows that repeat an id are rows of their own;
+    of queries that repeat an id the one of the least vector is asked. Empty tables give no rows. A fit sees at most `sample` rows; every row is indexed."""
     clean = lambda d: d.filter(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows, queries = clean(rows), clean(queries).dropDuplicates(["vec_id"])
+    rows, queries = clean(rows), clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     schema = "query_id long, rank int, vec_id long, score double"
-    lengths = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    if lengths is None:
-        return rows.sparkSession.createDataFrame([], schema)
-    rows, queries = rows.filter(F.size("v") == lengths["n"]), queries.filter(F.size("v") == lengths["n"])
+    lengths = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # a row a length
+    found = [_search(rows.filter(F.size("v") == n), queries.filter(F.size("v") == n), k, sample, part_rows, wanted) for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema)
+
+
+def _search(rows: DataFrame, queries: DataFrame, k: int, sample: int, part_rows: int | None, wanted: float) -> DataFrame:
+    """search() of rows and queries (vec_id, v) of one length."""
     index, placed = build_index(rows, k=k, sample=sample, part_rows=part_rows, wanted=wanted)
     held = np.zeros(index.parts, dtype=np.int64)
     for r in placed.groupBy("part").count().collect():  # one row a part
@@ -291,7 +303,7 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 20, sample: int = SA
     q = routed.withColumn("block", F.pmod(hash_, at(blocks, "bundle"))).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), at(cells, "bundle") - 1)))
     key = ["bundle", "cell", "block"]
     found = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(_rank(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.nanvl("score", F.lit(float("-inf"))).desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

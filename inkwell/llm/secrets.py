@@ -6,9 +6,9 @@ quotes), in comments as elsewhere, keeps the literals that a name was given, fol
 right-hand side to them (constant propagation, in text order), and scores each literal by the
 sensitivity of the name it reaches and by its own look. Spans of base patterns stay as they are.
 
-All scans are linear in the text: a name is read backwards from its sign, and a name is
-followed only while the value has at most MOST_FOLLOWED characters; what is longer is not joined on, and the
-name keeps what it has until there.
+All scans are linear in the text: a name is read backwards from its sign; a value of more than
+MOST_TEXT characters is carried on by what its score needs in place of its text; and a value names those it is made
+of, so that its literals are walked once, however many names they reach.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ HARMLESS = {"length", "len", "count", "name", "path", "file", "url", "uri", "typ
 PLACEHOLDER = re.compile(r"(?:change[-_]?me|example|placeholder|your[-_]|dummy|test|todo|none$|null$|true$|false$|undefined$|x{4,}|\*{3,}|<|\$\{|\{\{|%\()", re.I)
 LEAST_LENGTH, LEAST_SCORE = 8, 5.0
 
-#: Characters that a value may have for names in it to be followed.
-MOST_FOLLOWED = 1024
+#: Characters of a value that is carried on as text. A longer one is carried as its length, its first HEAD characters, and
+#: how often each of CLASSES classes of characters stands in it (by code point, so that ASCII has a class a character).
+MOST_TEXT, HEAD, CLASSES = 1024, 64, 256
 
 _NAME_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-"
 _QUOTED_NAME = re.compile(r"[A-Za-z_][\w.\- ]*", re.A)
@@ -75,12 +76,61 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def kinds_of(value: str) -> tuple[bool, ...]:
+    """Whether small letters, capitals, digits and others stand in a value."""
+    return tuple(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+
+
 def literal_score(value: str) -> float:
     """0 for what can't be a secret, else up to 4: bits a character, and kinds of characters."""
     if len(value) < LEAST_LENGTH or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
         return 0.0
-    kinds = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search("[^A-Za-z0-9]", value))))
-    return min(entropy(value), 3.0) + (kinds - 1) / 3
+    return min(entropy(value), 3.0) + (sum(kinds_of(value)) - 1) / 3
+
+
+class Value:
+    """What a name holds: `text` while it is short, else (text None) its length, head, counts by class, kinds and whether
+    a blank stands in it; spans of its own literals, and the values it is made of besides."""
+
+    __slots__ = ("text", "size", "head", "counts", "kinds", "blank", "spans", "made_of", "told")
+
+    def __init__(self, parts: list, spans: list):
+        """parts: texts and values, in order; spans: where the literals among them stand."""
+        self.spans, self.made_of, self.told = spans, [p for p in parts if isinstance(p, Value)], False
+        flat = [p.text if isinstance(p, Value) and p.text is not None else p for p in parts]
+        self.size = sum(len(p) if isinstance(p, str) else p.size for p in flat)
+        if self.size <= MOST_TEXT:
+            self.text = "".join(flat)
+            return
+        self.text, self.counts = None, [0.0] * CLASSES
+        self.head = "".join(p[:HEAD] if isinstance(p, str) else p.head for p in flat[:HEAD] if p)[:HEAD]
+        for p in flat:
+            for c, n in Counter(p).items() if isinstance(p, str) else enumerate(p.counts):
+                self.counts[ord(c) % CLASSES if isinstance(p, str) else c] += n
+        self.kinds = tuple(map(any, zip(*[kinds_of(p) if isinstance(p, str) else p.kinds for p in flat])))
+        self.blank = any(any(c.isspace() for c in p) if isinstance(p, str) else p.blank for p in flat)
+        if self.size > 1e15:  # doubled again and again: shares stay as they are
+            self.counts = [n * (1e15 / self.size) for n in self.counts]
+            self.size = 1e15
+
+    def score(self) -> float:
+        """literal_score of the value; classes stand for characters in a long one."""
+        if self.text is not None:
+            return literal_score(self.text)
+        if self.blank or PLACEHOLDER.match(self.head):
+            return 0.0
+        shares = [n / self.size for n in self.counts if n]
+        return min(-sum(x * math.log2(x) for x in shares), 3.0) + (sum(self.kinds) - 1) / 3
+
+    def untold(self):
+        """Spans of all literals that reach this value and that no earlier call gave."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if not v.told:
+                v.told = True
+                yield from v.spans
+                todo += v.made_of
 
 
 def _run_before(text: str, at: int, chars: str) -> int:
@@ -110,55 +160,51 @@ def name_before(text: str, at: int) -> str | None:
 
 
 def pairs(text: str):
-    """(name, value, spans, is_literal) of each assignment, in text order: value is all literals of the
-    right-hand side joined, spans where they stand; names on the right are followed."""
-    known: dict[str, tuple[str, list]] = {}
+    """(name, value, is_literal) of each assignment, in text order: the value is all literals of the
+    right-hand side joined; names on the right are followed to theirs."""
+    known: dict[str, Value] = {}
     for sign in _SIGN.finditer(text):
         if not (name := name_before(text, sign.start())):
             continue
-        i, parts, size, spans, literal = sign.end(), [], 0, {}, False
+        i, parts, spans, literal = sign.end(), [], [], False
+        reached = False  # a literal that is not empty, or a name that holds one
         while True:
             i = _SPACE.match(text, i).end()
             if q := _QUOTED.match(text, i):
                 g, literal = q.lastindex, True
                 parts.append(q[g])
                 if q[g]:
-                    spans[q.span(g)] = True
+                    spans.append(q.span(g))
             elif (q := _IDENT.match(text, i)) and q[0] in known:
-                value, own = known[q[0]]
-                if size + len(value) > MOST_FOLLOWED:
-                    break
-                parts.append(value)
-                spans.update(dict.fromkeys(own))
-            elif not spans and (q := _BARE.match(text, i)):
+                parts.append(known[q[0]])
+                reached = True
+            elif not (spans or reached) and (q := _BARE.match(text, i)):
                 parts.append(q[0])
-                spans[q.span()] = True
+                spans.append(q.span())
             else:
                 break
-            size += len(parts[-1])
             i = _SPACE.match(text, q.end()).end()
             if text[i : i + 1] not in ("+", "."):
                 break
             i += 1
-        if spans:
-            value = "".join(parts)
-            known[name] = (value, list(spans))
-            yield name, value, list(spans), literal
+        if spans or reached:
+            known[name] = value = Value(parts, spans)
+            yield name, value, literal
 
 
 def markup_pairs(text: str):
     """The same of elements and of key and value attributes."""
     for pattern, name, value in ((_ELEMENT, 1, 2), (_ATTRIBUTES, 2, 4)):
         for m in pattern.finditer(text):
-            yield m[name], m[value].strip(), [m.span(value)], True
+            yield m[name], Value([m[value].strip()], [m.span(value)]), True
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of literals that reach a sensitive name and score enough together."""
     found = set()
-    for name, value, spans, literal in itertools.chain(pairs(text), markup_pairs(text) if "<" in text else ()):
-        if (w := name_weight(name)) and (s := literal_score(value)) and w + s + (0.5 if literal else 0) >= LEAST_SCORE:
-            found.update((a, b, 3) for a, b in spans if b > a)
+    for name, value, literal in itertools.chain(pairs(text), markup_pairs(text) if "<" in text else ()):
+        if (w := name_weight(name)) and (s := value.score()) and w + s + (0.5 if literal else 0) >= LEAST_SCORE:
+            found.update((a, b, 3) for a, b in value.untold() if b > a)
     return sorted(found)
 
 

@@ -321,3 +321,50 @@ def test_memo_is_bounded_and_keeps_what_recurs():
         assert m[i] == i * 2 and m["hot"] == "hothot"
         assert len(m) + len(m.older) <= 20
     assert made.count("hot") == 1
+
+
+def test_long_constants_are_followed():
+    import random
+
+    from inkwell.llm.secrets import MOST_TEXT, Value, lexed_spans, literal_score
+
+    g = random.Random(5)
+    word = lambda n: "".join(g.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    for n in (1000, 1024, 1025, 1100, 50_000):
+        text = f'a = "{word(n)}"\npassword = a + "xY9$kkQ2zz"\n'
+        at = text.index("xY9")
+        assert lexed_spans(text) == [(5, 5 + n, 3), (at, at + 10, 3)], n
+        assert lexed_spans(f'a = "{word(n)}"\ndb_password = a\n') == [(5, 5 + n, 3)]
+    long = word(MOST_TEXT + 500)
+    assert abs(Value([long], []).score() - literal_score(long)) < 1e-9
+    assert abs(Value([long[:700], Value([long[700:]], [])], []).score() - literal_score(long)) < 1e-9
+    assert Value([long, " "], []).score() == 0 and Value(["changeme", long], []).score() == 0
+
+
+def test_chains_of_names_stay_linear():
+    import time
+
+    from inkwell.llm.secrets import lexed_spans
+
+    def seconds(text):
+        t = time.process_time()
+        assert lexed_spans(text)
+        return time.process_time() - t
+
+    chain = lambda n: 'v0 = "aB3$xx9q"\n' + "".join(f'password_{i} = v{i}\nv{i + 1} = v{i} + "k{i}Z"\n' for i in range(n))
+    twice = lambda n: 'v0 = "aB3$xx9qLm"\n' + "".join(f"v{i + 1} = v{i} + v{i}\n" for i in range(n)) + f"password = v{n}\n"
+    for make, n in ((chain, 2000), (twice, 4000)):
+        few, many = seconds(make(n)), seconds(make(4 * n))
+        assert many < 10 * few + 0.2, (few, many)
+
+
+def test_neighbours_of_several_lengths_and_of_overflowing_products(spark):
+    from inkwell.llm.neighbours import search
+
+    rows = [(i, [1e200 * (i + 1), 1.0]) for i in range(5)] + [(100 + i, [float(i + 1), 2.0, 3.0]) for i in range(20)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in search(d, d.filter("vec_id in (0, 100)"), k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got[0] == [(1, float("inf")), (2, float("inf")), (3, float("inf"))]
+    assert got[100] == [(119, 33.0), (118, 32.0), (117, 31.0)]
