@@ -150,12 +150,12 @@ def subsections(spark, d):
 
 @query("semantic_boundaries", """SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(lag(embedding) OVER (ORDER BY vec_id) AS DOUBLE[])), 6) AS alike FROM embeddings QUALIFY label IS NOT DISTINCT FROM lag(label) OVER (ORDER BY vec_id)""")
 def semantic_boundaries(spark, d):
-    """Similarity of a vector with the one before; ids are without gaps, so the join replaces a window over all rows."""
+    """Similarity of a vector with the one before, by id."""
     from ..operators import retrieval as R
+    from ..operators.ordered import previous
 
-    e = load(spark, d, "embeddings")
-    prev = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("p"), F.col("label").alias("l"))
-    return e.join(prev, "vec_id").filter("label <=> l").select("vec_id", F.round(R.dot("embedding", "p"), 6).alias("alike"))
+    e = previous(load(spark, d, "embeddings").select("vec_id", "embedding", "label"), "vec_id", ["embedding", "label"])
+    return e.filter("label <=> prev_label").select("vec_id", F.round(R.dot("embedding", "prev_embedding"), 6).alias("alike"))
 
 
 @query("hash_embedding")
