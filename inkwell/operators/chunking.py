@@ -250,6 +250,33 @@ def group_long_form(blocks: DataFrame) -> DataFrame:
     return g.groupBy("document_id", "grp").agg(F.min("block_pos").alias("first_pos"), F.count(F.lit(1)).alias("n_blocks"), F.min_by("content_type", "block_pos").alias("content_type"), joined("block_pos", "text", "\n\n").alias("text"))
 
 
+def long_form_groups(blocks: DataFrame) -> DataFrame:
+    """document_id, grp, first_pos, n_blocks, content_type, page_number, text and segments of long-form groups.
+
+    blocks: document_id, block_pos, content_type, heading, source_type, slide_number, page_number, text. Neighbouring text blocks
+    of one heading, source and slide are one group; a table, formula or picture stands alone and parts what is around it. A
+    group of one block is that block as it is. Of several with pages, white space collapses, texts are joined by a space, and
+    segments(start, end, page) say which characters (end exclusive) come from which page; without pages texts are
+    trimmed and joined by a blank line. segments is null where nothing was joined by pages. One sort a document."""
+    w = Window.partitionBy("document_id").orderBy("block_pos")
+    to_here = w.rowsBetween(Window.unboundedPreceding, 0)
+    is_text = F.coalesce(F.col("content_type").isin(*TEXT_TYPES), F.lit(False))
+    same = is_text & F.coalesce(F.lag(is_text).over(w), F.lit(False))
+    for c in ("heading", "source_type", "slide_number"):
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
+    g = blocks.withColumn("_new", (~same).cast("int")).withColumn("grp", F.sum("_new").over(to_here))
+    body = F.coalesce("text", F.lit(""))
+    g = g.withColumn("_piece", T.strip(F.regexp_replace(body, r"[ \t\n\r\x0b\x0c]+", " "))).withColumn("_size", F.when(F.col("_piece") != "", F.length("_piece") + 1).otherwise(0))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("document_id", "grp").orderBy("block_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    g = g.withColumn("_start", before)
+    full = F.when(F.col("_piece") != "", F.struct("block_pos", F.col("_piece").alias("piece"), T.strip(body).alias("own"), F.struct(F.col("_start").alias("start"), (F.col("_start") + F.col("_size") - 1).alias("end"), F.col("page_number").alias("page")).alias("segment")))
+    first = lambda c: F.min_by(c, "block_pos")
+    a = g.groupBy("document_id", "grp").agg(F.min("block_pos").alias("first_pos"), F.count(F.lit(1)).alias("n_blocks"), first("content_type").alias("content_type"), first("page_number").alias("page_number"), first("text").alias("_first"), F.bool_or(F.col("page_number").isNotNull()).alias("_paged"), F.array_sort(F.collect_list(full)).alias("_all"))
+    one, part = F.col("n_blocks") == 1, lambda c: F.transform("_all", lambda x: x[c])
+    text = F.when(one, F.col("_first")).when(F.col("_paged"), F.array_join(part("piece"), " ")).otherwise(F.array_join(part("own"), "\n\n"))
+    return a.select("document_id", "grp", "first_pos", "n_blocks", "content_type", "page_number", text.alias("text"), F.when(~one & F.col("_paged"), part("segment")).alias("segments"))
+
+
 def group_structured(blocks: DataFrame) -> DataFrame:
     """Sections anew as Markdown: a heading opens one, text goes on, anything else ends it and stands alone.
 

@@ -67,6 +67,24 @@ def group_long_form(spark, d):
     return C.group_long_form(_blocks(spark, d))
 
 
+_PAGED = f"{BLOCKS_SQL}, pb AS (SELECT *, CASE WHEN document_id % 3 <> 2 THEN 1 + block_pos // 2 END AS page_number, CASE WHEN document_id % 3 = 1 THEN block_pos // 2 END AS slide_number FROM bl)"
+
+
+@query("long_form_segments", f"""WITH {_PAGED}, f AS (SELECT *, trim(regexp_replace(text, '[ \\t\\n\\r\\v\\f]+', ' ', 'g')) AS piece, CASE WHEN {_IS_TEXT} AND lag({_IS_TEXT}) OVER w AND heading = lag(heading) OVER w AND source_type = lag(source_type) OVER w AND slide_number IS NOT DISTINCT FROM lag(slide_number) OVER w THEN 0 ELSE 1 END AS nw FROM pb WINDOW w AS (PARTITION BY document_id ORDER BY block_pos)),
+g AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY document_id ORDER BY block_pos) AS BIGINT) AS grp FROM f),
+o AS (SELECT *, CAST(coalesce(sum(CASE WHEN piece <> '' THEN length(piece) + 1 ELSE 0 END) OVER (PARTITION BY document_id, grp ORDER BY block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM g)
+SELECT document_id, grp, min(block_pos) AS first_pos, count(*) AS n_blocks, min_by(content_type, block_pos) AS content_type, first(page_number ORDER BY block_pos) AS page_number,
+CASE WHEN count(*) = 1 THEN any_value(text) WHEN count(page_number) > 0 THEN coalesce(string_agg(piece, ' ' ORDER BY block_pos) FILTER (piece <> ''), '') ELSE coalesce(string_agg(trim(text, {_TRIM}), chr(10) || chr(10) ORDER BY block_pos) FILTER (piece <> ''), '') END AS text,
+CASE WHEN count(*) > 1 AND count(page_number) > 0 THEN coalesce(string_agg(s || '-' || (s + length(piece)) || '@' || page_number, ',' ORDER BY block_pos) FILTER (piece <> ''), '') END AS segments FROM o GROUP BY document_id, grp""")
+def long_form_segments(spark, d):
+    """Long-form groups of blocks with pages, slides, or neither, by document; of joined pages, which characters are whose."""
+    pos, kind = F.col("block_pos"), F.col("document_id") % 3
+    half = F.floor(pos / 2).cast("int")
+    b = _blocks(spark, d).withColumns({"page_number": F.when(kind != 2, half + 1), "slide_number": F.when(kind == 1, half)})
+    one = lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit("@"), x["page"].cast("string"))
+    return C.long_form_groups(b).withColumn("segments", F.array_join(F.transform("segments", one), ","))
+
+
 @query("group_structured", f"""WITH {BLOCKS_SQL}, f AS (SELECT *, content_type = 'heading' OR NOT ({_IS_TEXT}) OR NOT coalesce(lag({_IS_TEXT}) OVER (PARTITION BY document_id ORDER BY block_pos), false) AS nw,
  CASE WHEN content_type = 'heading' THEN repeat('#', depth) || ' ' || trim(ltrim(trim(text, {_TRIM}), '#'), {_TRIM}) WHEN {_IS_TEXT} THEN trim(text, {_TRIM}) ELSE text END AS part FROM bl),
 g AS (SELECT *, CAST(sum(CAST(nw AS INT)) OVER (PARTITION BY document_id ORDER BY block_pos) AS BIGINT) AS grp FROM f) SELECT document_id, grp, min(block_pos) AS first_pos, count(*) AS n_blocks, string_agg(part, chr(10) || chr(10) ORDER BY block_pos) AS text FROM g WHERE trim(part) <> '' GROUP BY document_id, grp""")

@@ -10,7 +10,7 @@ FLAGSHIP = "bm25_topk"
 _FOUND: dict = {}
 _SQL: dict[str, str] = {}
 #: Modules whose functions are queries.
-MODULES = ("retrieval", "evaluation", "documents", "grouping", "governance", "conversations", "streams", "files", "upkeep", "comparisons")
+MODULES = ("retrieval", "evaluation", "documents", "grouping", "governance", "conversations", "streams", "files", "upkeep", "comparisons", "accounts", "pages")
 
 
 def query(name: str, sql: str | None = None):
