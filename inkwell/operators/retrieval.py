@@ -75,23 +75,25 @@ def _gains(q: DataFrame, tf: DataFrame, top_k: int | None, few: bool) -> DataFra
     return top(score, top_k) if top_k else score
 
 
-def holding(texts: DataFrame, passages: DataFrame) -> DataFrame:
-    """Pairs of texts(.., text) and passages(.., passage) of which the text contains the passage.
+def holding(texts: DataFrame, passages: DataFrame, key="doc_id") -> DataFrame:
+    """Pairs of texts(key, text, ..) and passages(.., passage) of which the text contains the passage.
 
     Words of a passage but the first and last stand whole in a text that contains it: pairs meet by the longest two
-    neighbours of these, and then the text is searched. Passages of under four words have none and are searched for in
-    all texts, sent along while they are few."""
+    neighbours of these, keys alone and without the text, which is fetched for what has met and searched. Passages of under
+    four words have none and are searched for in all texts, sent along while they are few. Keys may repeat or be null."""
     words = lambda c: F.split(c, r"\s+")
     pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     w = words(F.col("passage"))
     inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
     both = F.slice(pairs(inner), 1, F.greatest(F.size(inner) - 1, F.lit(0)))
     keyed = passages.withColumn("_pair", F.array_max(F.transform(both, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"])
-    each = texts.select(*texts.columns, F.explode(F.array_distinct(pairs(words(F.col("text"))))).alias("_pair"))
+    long = keyed.filter("_pair is not null")
+    each = texts.select(F.col(key).alias("_key"), F.explode(F.array_distinct(pairs(words(F.col("text"))))).alias("_pair"))
+    met = each.join(long.select("_pair").distinct(), "_pair").distinct().join(long, "_pair").drop("_pair")
     contains = F.instr(F.col("text"), F.col("passage")) > 0
-    long = each.join(keyed.filter("_pair is not null"), "_pair").filter(contains).drop("_pair")
+    found = texts.join(met, F.col(key).eqNullSafe(F.col("_key"))).filter(contains).drop("_key")
     short = texts.join(keyed.filter("_pair is null").drop("_pair"), contains)
-    return long.unionByName(short)
+    return found.unionByName(short)
 
 
 def top(scored: DataFrame, k: int, by="query_id", score="score", key="chunk_id") -> DataFrame:
@@ -109,20 +111,27 @@ def cosine(a, b) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def against(rows: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
+    """Every row of rows(chunk_id, ..) with every one of a stated query set, queries(query_id, ..).
+
+    Up to `most` queries (BROADCAST_ROWS), counted first, go to the rows where they stand. Beyond, both sides are dealt to cells of a block
+    of so many queries and a part of the rows, in one plan: rows are copied once a block, queries once a part."""
+    n, most = queries.count(), most or BROADCAST_ROWS
+    if n <= most:
+        return rows.crossJoin(F.broadcast(queries))
+    blocks, parts = -(-n // most), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    r = rows.withColumn("_part", own("chunk_id", parts)).withColumn("_block", all_of(blocks))
+    q = queries.withColumn("_block", own("query_id", blocks)).withColumn("_part", all_of(parts))
+    return r.join(q, ["_block", "_part"]).drop("_block", "_part")
+
+
+def vector_topk(rows: DataFrame, queries: DataFrame, k: int, most: int | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: cosine of queries(query_id, q) with rows(chunk_id, v), exact.
 
-    A stated query set against all rows: the queries go to the rows where they stand, broadcast while they are few
-    and otherwise in blocks, and each task cuts to its k best before the shuffle."""
-    n = queries.count()
-    pieces = max(1, -(-n // BROADCAST_ROWS))
-    out = None
-    for b in range(pieces):
-        part = queries if pieces == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == b)
-        hit = rows.crossJoin(F.broadcast(part)).select("query_id", "chunk_id", F.round(cosine("v", "q"), 6).alias("score"))
-        hit = top(hit, k)
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    A stated query set against all rows; each task cuts to its k best before the shuffle."""
+    return top(against(rows, queries, most).select("query_id", "chunk_id", F.round(cosine("v", "q"), 6).alias("score")), k)
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, k: int | str = RRF_K, by=("query_id",)) -> DataFrame:

@@ -184,7 +184,7 @@ def federated_search(spark, d):
 SELECT query_id, chunk_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM k WHERE n <= 2 QUALIFY place <= 8""")
 def diversity_topk(spark, d):
     q = vector_queries(spark, d)
-    scored = vectors(spark, d).crossJoin(F.broadcast(q)).select("query_id", "chunk_id", "label", F.round(R.cosine("v", "q"), 6).alias("score"))
+    scored = R.against(vectors(spark, d), q).select("query_id", "chunk_id", "label", F.round(R.cosine("v", "q"), 6).alias("score"))
     return R.diversify(scored, 8, 2, ("query_id",), "label").select("query_id", "chunk_id", "label", "score", "place")
 
 
@@ -262,7 +262,7 @@ def parent_context(spark, d):
 def score_breakdown(spark, d):
     """All scores of a question, without a cut: vector and lexical side by side."""
     q = question_vectors(spark, d)
-    v = vectors(spark, d).crossJoin(F.broadcast(q)).select("query_id", "chunk_id", F.round(R.cosine("v", "q"), 6).alias("v_score"))
+    v = R.against(vectors(spark, d), q).select("query_id", "chunk_id", F.round(R.cosine("v", "q"), 6).alias("v_score"))
     lexical = stored_bm25(spark, d, questions(spark, d)).select("query_id", "chunk_id", F.col("score").alias("l"))
     return v.join(lexical, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "v_score", F.coalesce("l", F.lit(0.0)).alias("l_score"))
 

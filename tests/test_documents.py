@@ -83,6 +83,17 @@ def test_passages_are_found_wherever_they_stand(spark):
     assert got == sorted((i, k) for i, x in enumerate(texts) for k, q in enumerate(passages) if x and q in x)
 
 
+def test_passages_meet_texts_of_repeated_and_null_keys(spark):
+    from inkwell.operators.retrieval import holding
+
+    texts = [(1, "a bb cc d"), (1, "no such words here"), (1, "a bb cc d"), (None, "x bb cc y z"), (2, None)]
+    t = spark.createDataFrame(texts, "doc_id int, text string")
+    p = spark.createDataFrame([(0, "a bb cc d"), (1, "x bb cc y"), (1, "x bb cc y"), (2, "bb cc")], "query_id int, passage string")
+    got = sorted(((x["doc_id"], x["query_id"]) for x in holding(t, p).collect()), key=str)
+    assert got == sorted([(1, 0), (1, 0), (1, 2), (1, 2), (None, 1), (None, 1), (None, 2)], key=str)
+    assert holding(t.withColumnRenamed("doc_id", "k"), p, "k").count() == 7
+
+
 def test_markdown_blocks():
     t = "# T\n\ntext a\ntext b\n\n| h | i |\n| - | - |\n| 1 | 2 |\n## U\n```py\nx = 1\n```\n# V\nend"
     assert C.markdown_blocks(t) == [("heading", "T", "T"), ("paragraph", "text a\ntext b", "T"), ("table", "| h | i |\n| - | - |\n| 1 | 2 |", "T"), ("heading", "U", "T > U"), ("code", "x = 1", "T > U"), ("heading", "V", "V"), ("paragraph", "end", "V")]
