@@ -12,7 +12,7 @@ from ..sources.tables import load
 _LIST = "<p>Of these</p><ul><li>one</li><li> two <b>2</b></li></ul>"
 _TABLE = "<h3>S</h3><table><caption> C </caption><tr><th>k</th><th>v</th></tr><tr><td>a</td><td>x &amp; y</td></tr></table>"
 _CODE = "<pre>\n  a = 1 \n\n</pre><nav><p>menu</p></nav>"
-_CLEAN = r"trim(regexp_replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&amp;', '&'), '[ \t\n\r\v\f]+', ' ', 'g'))"
+_CLEAN = r"""trim(regexp_replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r\v\f]+', ' ', 'g'))"""
 
 
 @query("article_blocks", f"""WITH a AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
