@@ -60,3 +60,25 @@ def attribution_totals(per_question: DataFrame, calls: DataFrame) -> DataFrame:
     share = lambda c, places: F.coalesce(F.round(F.avg(c), places), F.lit(0.0))
     size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long")
     return j.agg(F.count(F.lit(1)).alias("n"), share(F.col("evidence_all").cast("double"), 4).alias("closure"), F.count_if("evidence_all").alias("n_closed"), size("recovered").alias("recovered"), size("residual").alias("residual"), share(F.coalesce("tool_calls", F.lit(0)), 2).alias("mean_tool_calls"))
+
+
+#: What a summary of a variant's runs holds.
+MEASURES = ("recall_1", "recall_3", "mrr", "precision_1", "precision_3")
+
+
+def summaries(runs: DataFrame, qrels: DataFrame) -> DataFrame:
+    """variant and MEASURES, means over all questions of qrels(question_id, document_id), of runs(variant, question_id,
+    document_id, rank). Recall counts questions with a hit; a question that a variant did not answer counts 0."""
+    n = F.broadcast(qrels.select("question_id").distinct().agg(F.count(F.lit(1)).alias("n")))  # one row
+    hits = runs.join(qrels.distinct(), ["question_id", "document_id"])
+    per = hits.groupBy("variant", "question_id").agg(F.min("rank").alias("r"), F.count_if(F.col("rank") <= 1).alias("p1"), F.count_if(F.col("rank") <= 3).alias("p3"))
+    sums = per.groupBy("variant").agg(F.count_if(F.col("r") <= 1).alias("recall_1"), F.count_if(F.col("r") <= 3).alias("recall_3"), F.sum(1.0 / F.col("r")).alias("mrr"), F.sum("p1").alias("precision_1"), (F.sum("p3") / 3).alias("precision_3"))
+    all_of = runs.select("variant").distinct().join(sums, "variant", "left").join(n)
+    return all_of.select("variant", *[F.coalesce(F.round(F.try_divide(F.coalesce(m, F.lit(0)), "n"), 4), F.lit(0.0)).alias(m) for m in MEASURES])
+
+
+def report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """variant, and before, after and delta of each of MEASURES, of the variants that both before and after hold."""
+    name = lambda d, when: d.select("variant", *[F.col(m).alias(f"{m}_{when}") for m in MEASURES])
+    j = name(before, "before").join(name(after, "after"), "variant")
+    return j.select("variant", *[c for m in MEASURES for c in (f"{m}_before", f"{m}_after", F.round(F.col(f"{m}_after") - F.col(f"{m}_before"), 4).alias(f"{m}_delta"))])

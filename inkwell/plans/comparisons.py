@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import comparisons as K
@@ -77,3 +78,28 @@ def react_attribution(spark, d):
 def react_totals(spark, d):
     calls = questions(spark, d).filter("query_id % 5 != 0").select(F.col("query_id").alias("question_id"), (F.col("query_id") % 4 + 1).alias("tool_calls"))
     return K.attribution_totals(_attributed(spark, d), calls)
+
+
+_MEASURED = "round(coalesce(count(*) FILTER (r <= 1), 0) / nq, 4) AS recall_1, round(count(*) FILTER (r <= 3) / nq, 4) AS recall_3, round(coalesce(sum(1.0::DOUBLE / r), 0) / nq, 4) AS mrr, round(coalesce(sum(p1), 0) / nq, 4) AS precision_1, round(coalesce(sum(p3), 0) / 3.0::DOUBLE / nq, 4) AS precision_3"
+_SIDES = ", ".join(f"b.{m} AS {m}_before, a.{m} AS {m}_after, round(a.{m} - b.{m}, 4) AS {m}_delta" for m in K.MEASURES)
+
+
+def _variants(runs, names: dict):
+    """The runs under several names, each cut to so many places."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(k).alias("most")) for n, k in names.items()]))
+    return runs.select("*", each.alias("_v")).filter("rank <= _v.most").withColumn("variant", F.col("_v.variant")).drop("_v")
+
+
+@query("variant_report", f"""WITH {BM25_SQL}, {_HOLDS}, nq AS (SELECT count(DISTINCT question_id) AS nq FROM ex),
+ru AS (SELECT query_id AS question_id, chunk_id AS document_id, rank, v.side, v.variant FROM lx, (VALUES ('b', 'one', 1), ('b', 'eight', 8), ('b', 'gone', 8)) v(side, variant, most) WHERE rank <= most
+UNION ALL SELECT query_id, chunk_id, n, 'a', v.variant FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM lx JOIN documents ON doc_id = chunk_id WHERE rank <= 8 AND lang <> 'en'), (VALUES ('one', 1), ('eight', 8), ('new', 8)) v(variant, most) WHERE n <= most),
+h AS (SELECT side, variant, question_id, min(rank) AS r, count(*) FILTER (rank <= 1) AS p1, count(*) FILTER (rank <= 3) AS p3 FROM ru JOIN ex USING (question_id, document_id) GROUP BY ALL),
+m AS (SELECT w.side, w.variant, {_MEASURED} FROM (SELECT DISTINCT side, variant FROM ru) w LEFT JOIN h ON h.side = w.side AND h.variant = w.variant, nq GROUP BY w.side, w.variant, nq)
+SELECT b.variant, {_SIDES} FROM m b JOIN m a ON a.variant = b.variant WHERE b.side = 'b' AND a.side = 'a'""")
+def variant_report(spark, d):
+    """Variants of a search over all documents beside the same over those that are not English."""
+    runs, holds = _runs(spark, d, 8), _holds(spark, d)
+    other = load(spark, d, "documents").filter("lang <> 'en'").select(F.col("doc_id").alias("document_id"))
+    w = Window.partitionBy("question_id").orderBy("rank")
+    after = runs.join(other, "document_id", "left_semi").withColumn("rank", F.row_number().over(w))
+    return K.report(K.summaries(_variants(runs, {"one": 1, "eight": 8, "gone": 8}), holds), K.summaries(_variants(after, {"one": 1, "eight": 8, "new": 8}), holds))

@@ -20,9 +20,73 @@ def chunk_hard_window(spark, d):
     return C.hard_windows(load(spark, d, "documents"))
 
 
-for _name in ("fixed", "recursive", "semantic", "markdown"):
-    query(f"chunk_{_name}")(lambda spark, d, _n=_name: C.chunk(load(spark, d, "documents"), _n))
-query("chunk_token_est")(lambda spark, d: C.chunk(load(spark, d, "documents"), "token"))
+def _packed_sql(size: int, overlap: int, windows: str) -> str:
+    """Chunks of packed lines by a fold, a line a step: what a step closes, and what stays open."""
+    over, full = f"length(line) > {size}", f"now <> '' AND length(now) + 1 + length(line) > {size}"
+    return f"""WITH RECURSIVE n AS (SELECT doc_id, trim(line, {_TRIM}) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM ({LINES_SQL}) WHERE trim(line, {_TRIM}) <> ''),
+r AS (SELECT doc_id, 0::BIGINT AS k, '' AS now, []::VARCHAR[] AS done FROM n WHERE k = 1 UNION ALL
+SELECT r.doc_id, r.k + 1, CASE WHEN {over} THEN '' WHEN {full} THEN trim(right(now, {overlap}) || chr(10) || line, {_TRIM}) WHEN now <> '' THEN now || chr(10) || line ELSE line END,
+CASE WHEN {over} THEN list_concat(CASE WHEN now <> '' THEN [now] ELSE []::VARCHAR[] END, {windows}) WHEN {full} THEN [now] ELSE []::VARCHAR[] END FROM r JOIN n ON n.doc_id = r.doc_id AND n.k = r.k + 1),
+e AS (SELECT doc_id, k, unnest(done) AS c, generate_subscripts(done, 1) AS i FROM r UNION ALL SELECT doc_id, max(k) + 1, max_by(now, k), 1 FROM r GROUP BY doc_id)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS pos, c AS chunk FROM e WHERE length(c) >= 50"""
+
+
+_CUT = "list_transform(range(0, {end}, {step}), lambda s: {cut})"
+_FIXED_SQL = _packed_sql(500, 80, _CUT.format(end="length(line) - 80", step=420, cut=f"trim(substr(line, s + 1, 500), {_TRIM})"))
+_TOKEN_SQL = _packed_sql(1500, 150, _CUT.format(end="length(line)", step=1350, cut="substr(line, s + 1, 1500)"))
+
+
+def _chunked(name: str):
+    return lambda spark, d: C.chunk(load(spark, d, "documents"), name)
+
+
+def _split_sql(name: str, parts: str, keys: str, sep: str, over: str) -> str:
+    """CTE `name`(keys, i, piece): parts(keys, k, part) packed up to 500 with the separator, what is longer by `over`; pieces
+    of under 50 characters go to the one before."""
+    fits, on = f"now <> '' AND length(now) + 1 + length(part) <= 500", " AND ".join(f"r.{c} = p.{c}" for c in keys.split(", "))
+    return f"""{name}_r AS (SELECT {keys}, 0::BIGINT AS k, '' AS now, []::VARCHAR[] AS done FROM {parts} WHERE k = 1 UNION ALL
+SELECT {", ".join("r." + c for c in keys.split(", "))}, r.k + 1, CASE WHEN {fits} THEN now || {sep} || part WHEN length(part) <= 500 THEN part ELSE '' END,
+CASE WHEN {fits} THEN []::VARCHAR[] ELSE list_concat(CASE WHEN now <> '' THEN [now] ELSE []::VARCHAR[] END, CASE WHEN length(part) > 500 THEN {over} ELSE []::VARCHAR[] END) END FROM {name}_r r JOIN {parts} p ON {on} AND p.k = r.k + 1),
+{name}_e AS (SELECT {keys}, k, unnest(done) AS c, generate_subscripts(done, 1) AS i FROM {name}_r UNION ALL SELECT * FROM (SELECT {keys}, max(k) + 1, max_by(now, k) AS c, 1 FROM {name}_r GROUP BY {keys}) WHERE c <> ''),
+{name}_n AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY k, i) AS n FROM {name}_e),
+{name}_g AS (SELECT *, CAST(sum(CASE WHEN n = 1 OR length(c) >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY n) AS BIGINT) AS g FROM {name}_n),
+{name} AS (SELECT {keys}, g AS i, string_agg(c, '' ORDER BY n) AS piece FROM {name}_g GROUP BY {keys}, g)"""
+
+
+# The texts hold none of the separators between line feed and space: lines, then words, then windows.
+_RECURSIVE_SQL = f"""WITH RECURSIVE ln AS (SELECT doc_id, pos + 1 AS k, line AS part FROM ({LINES_SQL}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) > 500)),
+wd AS (SELECT doc_id, k AS lk, unnest(string_split(part, ' ')) AS part, generate_subscripts(string_split(part, ' '), 1) AS k FROM ln WHERE length(part) > 500),
+{_split_sql("wp", "wd", "doc_id, lk", "' '", "list_transform(range(0, length(part), 500), lambda s: substr(part, s + 1, 500))")},
+wl AS (SELECT doc_id, lk, list(piece ORDER BY i) AS pieces FROM wp GROUP BY doc_id, lk), lw AS (SELECT ln.doc_id, k, part, pieces FROM ln LEFT JOIN wl ON wl.doc_id = ln.doc_id AND lk = k),
+{_split_sql("lp", "lw", "doc_id", "chr(10)", "pieces")}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, piece AS chunk FROM lp WHERE length(piece) >= 50 AND doc_id IN (SELECT doc_id FROM documents WHERE trim(text, {_TRIM}) <> '') UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) BETWEEN 50 AND 500 AND trim(text, {_TRIM}) <> ''"""
+
+
+query("chunk_fixed", _FIXED_SQL)(_chunked("fixed"))
+query("chunk_recursive", _RECURSIVE_SQL)(_chunked("recursive"))
+for _name in ("semantic", "markdown"):
+    query(f"chunk_{_name}")(_chunked(_name))
+query("chunk_token_est", _TOKEN_SQL)(_chunked("token"))
+
+
+# Documents as Markdown: blank lines between lines, and every fifth line by its length is a heading of 40 characters.
+_TITLES = "CASE WHEN length(line) % 5 = 0 THEN '## ' || left(line, 40) ELSE line END"
+
+
+@query("markdown_chunks", f"""WITH RECURSIVE l AS (SELECT doc_id, pos, {_TITLES} AS line FROM ({LINES_SQL})), h AS (SELECT *, regexp_matches(line, '^#{{1,6}}[ \\t]') AS head FROM l),
+s AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS sec FROM h),
+t AS (SELECT doc_id, sec, coalesce(max(line) FILTER (head), '') AS title, coalesce(trim(string_agg(line, chr(10) || chr(10) ORDER BY pos) FILTER (NOT head), {_TRIM}), '') AS body FROM s GROUP BY doc_id, sec),
+w AS (SELECT *, trim(CASE WHEN title <> '' THEN title || chr(10) || body ELSE body END, {_TRIM}) AS whole FROM t),
+p AS (SELECT s.doc_id, s.sec, w.title, trim(line, {_TRIM}) AS para, row_number() OVER (PARTITION BY s.doc_id, s.sec ORDER BY pos) AS k FROM s JOIN w ON w.doc_id = s.doc_id AND w.sec = s.sec WHERE length(whole) > 2000 AND NOT head AND trim(line, {_TRIM}) <> ''),
+r AS (SELECT doc_id, sec, title, 1::BIGINT AS k, para AS pack, '' AS done FROM p WHERE k = 1 UNION ALL
+SELECT r.doc_id, r.sec, r.title, r.k + 1, CASE WHEN length(r.title) + length(pack) + length(para) + 3 > 2000 THEN para ELSE pack || chr(10) || chr(10) || para END, CASE WHEN length(r.title) + length(pack) + length(para) + 3 > 2000 THEN trim(r.title || chr(10) || pack, {_TRIM}) ELSE '' END FROM r JOIN p ON p.doc_id = r.doc_id AND p.sec = r.sec AND p.k = r.k + 1),
+e AS (SELECT doc_id, sec, 0 AS k, whole AS c FROM w WHERE length(whole) <= 2000 UNION ALL SELECT doc_id, sec, k, done FROM r UNION ALL SELECT doc_id, sec, max(k) + 1, trim(any_value(title) || chr(10) || max_by(pack, k), {_TRIM}) FROM r GROUP BY doc_id, sec)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, k) - 1 AS pos, c AS chunk FROM e WHERE length(c) >= 100""")
+def markdown_chunks(spark, d):
+    """Chunks of documents with headings and blank lines: sections, those too long packed by paragraphs under their title."""
+    line = lambda x: F.when(F.length(x) % 5 == 0, F.concat(F.lit("## "), F.left(x, F.lit(40)))).otherwise(x)
+    text = F.array_join(F.transform(F.split("text", "\n"), line), "\n\n")
+    return C.chunk(load(spark, d, "documents").select("doc_id", text.alias("text")), "markdown")
 
 
 def _sentences_sql(ends: str, marks, anywhere: bool) -> str:
