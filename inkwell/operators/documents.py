@@ -144,6 +144,26 @@ def resolve_profile(docs: DataFrame) -> DataFrame:
     return docs.withColumn("qa_marks", marks).withColumn("profile", p)
 
 
+# How blocks are put together before they are chunked, by profile.
+PARENT_CHILD, RECONSTRUCTED, CONTEXTUAL, PROFILE_IDS = ("technical", "long_form", "high_value"), ("technical",), ("high_value",), ("technical", "long_form", "layout", "short_qa", "high_value", "spreadsheet")
+
+
+def chosen_profile(docs: DataFrame, requested="requested") -> DataFrame:
+    """docs as for resolve_profile, with the profile that was asked for, else the one that the rules give, and with what it
+    means: parent_child, reconstructed and contextual.
+
+    What is asked for is read without case and white space at its ends; null, blank and auto leave it to the rules, and a
+    profile that does not exist is an error. Blocks of HTML that the rules find technical stay apart, without parents."""
+    asked = F.lower(T.strip(F.coalesce(F.col(requested).cast("string"), F.lit(""))))
+    auto = asked.isin("", "auto")
+    by_rule = resolve_profile(docs).withColumn("_asked", asked).withColumn("_auto", auto)
+    known = F.when(F.col("_asked").isin(*PROFILE_IDS), F.col("_asked")).otherwise(F.raise_error(F.concat(F.lit("unknown profile: "), F.col("_asked"))).cast("string"))
+    apart = F.col("_auto") & (F.col("profile") == "technical") & F.lower("filename").rlike(r"\.html?$")
+    out = by_rule.withColumn("profile", F.when(F.col("_auto"), F.col("profile")).otherwise(known)).withColumn("_apart", apart)
+    of = lambda ids: F.col("profile").isin(*ids) & ~F.coalesce("_apart", F.lit(False))
+    return out.withColumns({"parent_child": of(PARENT_CHILD), "reconstructed": of(RECONSTRUCTED), "contextual": of(CONTEXTUAL)}).drop("_asked", "_auto", "_apart")
+
+
 def latest(rows: DataFrame, key, order) -> DataFrame:
     """The row of each key that comes first in the order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")

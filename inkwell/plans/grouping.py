@@ -189,14 +189,18 @@ _PROFILE = f"""{BLOCKS_SQL}, pr AS (SELECT document_id, CAST(sum(length(text)) A
 _EXT = "CASE document_id % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.csv' WHEN 2 THEN '.html' ELSE '.pdf' END"
 
 
-def _profiled(spark, d, b=None):
-    """Documents with their profile. The sample is that of the first 30 blocks."""
+def _sampled(spark, d, b=None):
+    """What the rules of profiles read of documents. The sample is that of the first 30 blocks."""
     b = _blocks(spark, d) if b is None else b
     b = b.withColumn("_k", F.row_number().over(Window.partitionBy("document_id").orderBy("block_pos")))
     b = b.withColumn("_first", F.when(F.col("_k") <= 30, F.col("text")).otherwise(""))
     a = b.groupBy("document_id").agg(D.joined("block_pos", "_first", "\n").alias("sample"), F.sum(F.length("text")).alias("total_chars"), F.count_if(F.col("content_type").isin(*D.LAYOUT_TYPES)).alias("n_layout"), F.count_if(F.col("content_type").isin(*D.TEXT_TYPES)).alias("n_text"))
     m = F.col("document_id") % 7
-    return D.resolve_profile(a.withColumn("filename", F.concat(F.lit("f"), F.when(m == 0, ".md").when(m == 1, ".csv").when(m == 2, ".html").otherwise(".pdf"))))
+    return a.withColumn("filename", F.concat(F.lit("f"), F.when(m == 0, ".md").when(m == 1, ".csv").when(m == 2, ".html").otherwise(".pdf")))
+
+
+def _profiled(spark, d, b=None):
+    return D.resolve_profile(_sampled(spark, d, b))
 
 
 @query("resolve_profile", f"WITH {_PROFILE} SELECT document_id, total_chars, n_layout, n_text, CASE WHEN {_EXT} = '.csv' THEN 'spreadsheet' WHEN {_EXT} IN ('.md', '.html') THEN 'technical' WHEN n_layout > 0 AND ((n_layout >= 2 AND 2 * n_layout > n_text) OR total_chars <= 600) THEN 'layout' WHEN total_chars <= 2400 THEN 'short_qa' ELSE 'long_form' END AS profile FROM pr")
@@ -204,6 +208,18 @@ def resolve_profile(spark, d):
     return _profiled(spark, d).select("document_id", "total_chars", "n_layout", "n_text", "profile")
 
 
+_RULES = f"CASE WHEN {_EXT} = '.csv' THEN 'spreadsheet' WHEN {_EXT} IN ('.md', '.html') THEN 'technical' WHEN n_layout > 0 AND ((n_layout >= 2 AND 2 * n_layout > n_text) OR total_chars <= 600) THEN 'layout' WHEN total_chars <= 2400 THEN 'short_qa' ELSE 'long_form' END"
+
+
+@query("chosen_profile", f"""WITH {_PROFILE}, c AS (SELECT document_id, document_id % 10 IN (1, 4) AS asked, {_EXT} = '.html' AS html, CASE document_id % 10 WHEN 1 THEN 'high_value' WHEN 4 THEN 'technical' ELSE {_RULES} END AS profile FROM pr)
+SELECT document_id, profile, profile IN ('technical', 'long_form', 'high_value') AND NOT (html AND NOT asked) AS parent_child, profile = 'technical' AND NOT (html AND NOT asked) AS reconstructed, profile = 'high_value' AS contextual FROM c""")
+def chosen_profile(spark, d):
+    """Profiles of documents; some are asked for, some as auto or blank."""
+    m = F.col("document_id") % 10
+    asked = F.when(m == 1, " High_Value").when(m == 4, "technical").when(m == 5, "AUTO").when(m == 6, " ")
+    return D.chosen_profile(_sampled(spark, d).withColumn("requested", asked)).select("document_id", "profile", "parent_child", "reconstructed", "contextual")
+
+
 @query("chunk_by_profile")
 def chunk_by_profile(spark, d):
     """Each document by the chunker of the profile that the rules give it."""

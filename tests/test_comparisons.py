@@ -24,3 +24,15 @@ def test_attribution(spark):
     calls = spark.createDataFrame([(1, 3)], "question_id int, tool_calls int")
     assert K.attribution_totals(per, calls).collect()[0].asDict() == {"n": 2, "closure": 0.5, "n_closed": 1, "recovered": 2, "residual": 1, "mean_tool_calls": 1.5}
     assert K.attribution_totals(per.limit(0), calls).collect()[0]["closure"] == 0.0
+
+
+def test_summaries_and_report(spark):
+    schema = "variant string, question_id int, document_id string, rank int"
+    qrels = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "c"), (3, "d")], "question_id int, document_id string")
+    runs = spark.createDataFrame([("x", 1, "b", 2), ("x", 1, "a", 3), ("x", 2, "c", 1), ("x", 3, "z", 1), ("y", 1, "z", 1), ("x", 9, "c", 1)], schema)
+    got = {r["variant"]: tuple(r[m] for m in K.MEASURES) for r in K.summaries(runs, qrels).collect()}
+    assert got == {"x": (0.3333, 0.6667, 0.5, 0.3333, 0.3333), "y": (0.0, 0.0, 0.0, 0.0, 0.0)}
+    later = spark.createDataFrame([("x", 2, "c", 2), ("w", 2, "c", 1)], schema)
+    r = K.report(K.summaries(runs, qrels), K.summaries(later, qrels)).collect()
+    assert [x["variant"] for x in r] == ["x"] and (r[0]["recall_1_before"], r[0]["recall_1_after"], r[0]["recall_1_delta"], r[0]["mrr_delta"]) == (0.3333, 0.0, -0.3333, -0.3333)
+    assert K.summaries(runs, qrels.limit(0)).filter("mrr <> 0").count() == 0 and K.summaries(runs.limit(0), qrels).count() == 0

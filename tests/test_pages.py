@@ -80,3 +80,14 @@ def test_segments_give_back_the_texts(spark, pages):
         assert (segments is not None) == (pages and n > 1)
         for a, b, page in segments or []:
             assert text[a:b] == ("w " * (page % 4)).strip()
+
+
+def test_profiles_that_are_asked_for(spark):
+    from inkwell.operators import documents as D
+
+    schema = "document_id int, filename string, sample string, total_chars int, n_layout int, n_text int, requested string"
+    rows = [(1, "a.html", "", 9000, 0, 9, None), (2, "a.HTM", "", 9000, 0, 9, " Technical "), (3, "a.md", "", 9000, 0, 9, "auto"), (4, "a.pdf", "", 9000, 0, 9, "high_value"), (5, "a.pdf", "", 9000, 0, 9, ""), (6, "a.pdf", "", 10, 1, 9, "AUTO"), (7, None, None, 10, 0, 1, "layout")]
+    got = {r["document_id"]: (r["profile"], r["parent_child"], r["reconstructed"], r["contextual"]) for r in D.chosen_profile(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: ("technical", False, False, False), 2: ("technical", True, True, False), 3: ("technical", True, True, False), 4: ("high_value", True, False, True), 5: ("long_form", True, False, False), 6: ("layout", False, False, False), 7: ("layout", False, False, False)}
+    with pytest.raises(Exception, match="unknown profile: none such"):
+        D.chosen_profile(spark.createDataFrame([(*rows[0][:6], "None such")], schema)).collect()
