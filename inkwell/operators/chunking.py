@@ -299,6 +299,65 @@ def bind_context(blocks: DataFrame, n: int = 150) -> DataFrame:
     return blocks.withColumns({"before": before, "after": after}).withColumn("context", F.when(wanted, F.concat_ws("\n", F.right("before", F.lit(n)), F.substring("after", 1, n))))
 
 
+def units_of(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """What is chunked: blocks put together as their document's profile wants, one row a unit.
+
+    blocks: document_id, block_pos, content_type, heading, source_type, slide_number, page_number, depth, text; docs: document_id,
+    profile, parent_child, reconstructed, one row a document. Sections anew where reconstructed, long-form groups where there
+    are parents otherwise, else blocks as they are. A unit has the heading, type and page of its first block, unit_pos in
+    its document and, beside pictures and formulas, context. Blocks of documents that docs does not hold are left out."""
+    b = blocks.join(docs.select("document_id", "parent_child", "reconstructed"), "document_id")
+    how = F.when(F.col("reconstructed"), "sections").when(F.col("parent_child"), "groups").otherwise("apart")
+    of = lambda name: b.filter(how == name).drop("parent_child", "reconstructed")
+    own = ["document_id", F.col("block_pos").alias("first_pos"), "content_type", "heading", "page_number"]
+    none = F.lit(None).cast("array<struct<start:int,end:int,page:int>>").alias("segments")
+    first = b.select(*own)
+    made = group_structured(of("sections")).select("document_id", "first_pos", "text", none)
+    made = made.unionByName(long_form_groups(of("groups").withColumn("page_number", F.col("page_number").cast("int"))).select("document_id", "first_pos", "text", "segments"))
+    units = of("apart").select(*own, "text", none).unionByName(made.join(first, ["document_id", "first_pos"]))
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("first_pos")) - 1
+    units = bind_context(units.withColumn("unit_pos", place).withColumnRenamed("first_pos", "block_pos")).drop("before", "after")
+    return units.join(docs.select("document_id", "profile", "parent_child"), "document_id")
+
+
+def assembled_chunks(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks of documents as they are stored: document_id, chunk_index, parent_chunk_id, content_type, heading, page_number,
+    profile, chunk_level, parent_content, context_prefix, search_text, content.
+
+    docs as for units_of, with filename. Each unit is chunked by its profile's chunker; one that this leaves without a chunk
+    is a chunk itself, blank units have none. What is searched is the file's name and heading, the context beside a picture
+    or formula, and the chunk. Chunks of profiles with parents carry their unit's text. The profile must be one of PROFILES."""
+    units = units_of(blocks, docs).filter(T.strip(F.coalesce("text", F.lit(""))) != "").select("document_id", "unit_pos", "content_type", "heading", "page_number", "profile", "parent_child", "context", "text")
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for i, (profile, text) in enumerate(zip(b.column("profile").to_pylist(), b.column("text").to_pylist())):
+                name, parameters = PROFILES[profile]
+                kept = [c.strip() for c in CHUNKERS[name](text, **parameters) or [text]]
+                found += [(i, k, c) for k, c in enumerate(filter(None, kept))]
+            at, pos, content = zip(*found) if found else ((), (), ())
+            taken = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(pos, pa.int32()), pa.array(content, pa.string())], [*b.schema.names, "inner_pos", "content"])
+
+    c = units.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in units.dtypes) + ", inner_pos int, content string")
+    c = c.join(docs.select("document_id", "filename"), "document_id")
+    full = lambda *cols: F.array_join(F.filter(F.array(*[F.coalesce(x, F.lit("")) for x in cols]), lambda x: x != ""), "\n")
+    prefix = full(T.strip(F.col("filename")), F.col("heading"))
+    index = F.row_number().over(Window.partitionBy("document_id").orderBy("unit_pos", "inner_pos")) - 1
+    return c.select(
+        "document_id",
+        index.alias("chunk_index"),
+        F.concat(F.col("document_id").cast("string"), F.lit(":parent:"), F.col("unit_pos").cast("string")).alias("parent_chunk_id"),
+        "content_type", "heading", "page_number", "profile",
+        F.col("parent_child").cast("int").alias("chunk_level"),
+        F.when(F.col("parent_child"), T.strip(F.col("text"))).otherwise("").alias("parent_content"),
+        prefix.alias("context_prefix"),
+        full(prefix, T.strip(F.col("context")), F.col("content")).alias("search_text"),
+        "content",
+    )
+
+
 class _Article(html.parser.HTMLParser):
     """Blocks of what stands in main or article, without navigation, scripts and the like."""
 

@@ -266,3 +266,22 @@ def hash_embedding(spark, d):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([C.hash_vector(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "embedding"])
 
     return load(spark, d, "documents").select(*_DOCS).mapInArrow(run, "doc_id long, embedding array<double>")
+
+
+# Chunks as they are stored, of documents whose profiles leave blocks as they are; a block is a line.
+_ASIS = "CASE document_id % 3 WHEN 0 THEN 'layout' WHEN 1 THEN 'short_qa' ELSE 'spreadsheet' END"
+_PART = f"CASE WHEN {_ASIS} <> 'short_qa' OR length(t) < 20 THEN [t] WHEN length(t) <= 500 THEN [t] ELSE list_filter(list_transform(range(0, length(t) - 60, 440), lambda s: trim(substr(t, s + 1, 500), {_TRIM})), lambda c: length(c) >= 20) END"
+
+
+@query("assembled_chunks", f"""WITH {BLOCKS_SQL}, t0 AS (SELECT *, trim(text, {_TRIM}) AS t, CASE WHEN {_IS_TEXT} THEN text END AS tx FROM bl),
+b AS (SELECT *, last_value(tx IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf, first_value(tx IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY block_pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS af FROM t0),
+x AS (SELECT *, CASE WHEN content_type IN ('image_description', 'formula') THEN trim(concat_ws(chr(10), right(bf, 150), substr(af, 1, 150)), {_TRIM}) ELSE '' END AS context, {_PART} AS parts FROM b WHERE t <> ''),
+u AS (SELECT *, unnest(parts) AS content, generate_subscripts(parts, 1) AS i FROM x)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY block_pos, i) - 1 AS chunk_index, document_id || ':parent:' || block_pos AS parent_chunk_id, {_ASIS} AS profile, content_type, CASE WHEN document_id % 2 = 0 THEN 'f.pdf' || chr(10) ELSE '' END || heading || chr(10) || CASE WHEN context <> '' THEN context || chr(10) ELSE '' END || content AS search_text, content FROM u""")
+def assembled_chunks(spark, d):
+    """Stored chunks of all documents by their profiles, with parent, context and what is searched."""
+    k = F.col("document_id")
+    b = _blocks(spark, d).withColumns({"page_number": F.lit(None).cast("int"), "slide_number": F.lit(None).cast("int")})
+    profile = F.when(k % 3 == 0, "layout").when(k % 3 == 1, "short_qa").otherwise("spreadsheet")
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("document_id"), profile.alias("profile"), F.lit(False).alias("parent_child"), F.lit(False).alias("reconstructed"), F.when(F.col("doc_id") % 2 == 0, " f.pdf ").alias("filename"))
+    return C.assembled_chunks(b, docs).select("document_id", "chunk_index", "parent_chunk_id", "profile", "content_type", "search_text", "content")

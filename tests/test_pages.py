@@ -91,3 +91,20 @@ def test_profiles_that_are_asked_for(spark):
     assert got == {1: ("technical", False, False, False), 2: ("technical", True, True, False), 3: ("technical", True, True, False), 4: ("high_value", True, False, True), 5: ("long_form", True, False, False), 6: ("layout", False, False, False), 7: ("layout", False, False, False)}
     with pytest.raises(Exception, match="unknown profile: none such"):
         D.chosen_profile(spark.createDataFrame([(*rows[0][:6], "None such")], schema)).collect()
+
+
+def test_chunks_are_assembled_by_profile(spark):
+    b = [(1, 0, "heading", "A", "md", None, None, 1, "Title"), (1, 1, "text", "A", "md", None, None, 1, "x" * 60), (1, 2, "table", "A", "md", None, None, 1, "| t |")]
+    b += [(2, 0, "text", None, "pdf", None, 1, 1, "one sentence."), (2, 1, "text", None, "pdf", None, 2, 1, "two"), (2, 2, "image_description", "H", "pdf", None, 2, 1, "pic"), (2, 3, "text", None, "pdf", None, 3, 1, None)]
+    b += [(3, 0, "text", None, "html", None, None, 1, " short "), (3, 1, "text", None, "html", None, None, 1, " "), (3, 2, "text", None, "html", None, None, 1, "y" * 30), (9, 0, "text", None, "md", None, None, 1, "no document")]
+    blocks = spark.createDataFrame(b, "document_id long, block_pos int, content_type string, heading string, source_type string, slide_number int, page_number int, depth int, text string")
+    docs = spark.createDataFrame([(1, "technical", True, True, "a.md"), (2, "long_form", True, False, None), (3, "technical", False, False, " c.html ")], "document_id long, profile string, parent_child boolean, reconstructed boolean, filename string")
+    got = C.assembled_chunks(blocks, docs).orderBy("document_id", "chunk_index").collect()
+    whole = "# Title\n\n" + "x" * 60
+    assert [(r["document_id"], r["chunk_index"], r["parent_chunk_id"], r["content"], r["parent_content"], r["chunk_level"]) for r in got] == [
+        (1, 0, "1:parent:0", "# Title\n" + "x" * 60, whole, 1), (1, 1, "1:parent:1", "| t |", "| t |", 1),
+        (2, 0, "2:parent:0", "one sentence. two", "one sentence. two", 1), (2, 1, "2:parent:1", "pic", "pic", 1),
+        (3, 0, "3:parent:0", "short", "", 0), (3, 1, "3:parent:2", "y" * 30, "", 0),
+    ]
+    assert [r["search_text"] for r in got] == ["a.md\nA\n# Title\n" + "x" * 60, "a.md\nA\n| t |", "one sentence. two", "H\none sentence. two\npic", "c.html\nshort", "c.html\n" + "y" * 30]
+    assert C.assembled_chunks(blocks.limit(0), docs).count() == 0
