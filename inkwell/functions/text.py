@@ -127,6 +127,18 @@ def expand_question(c: Column) -> Column:
     return F.when(F.size(terms) > 0, F.concat_ws(" ", c, F.array_join(terms, " "))).otherwise(c)
 
 
+#: Letters whose upper case is several letters, and the one letter that stands for each where there is one.
+_SPREAD = [c for c in map(chr, range(0x10000)) if len(c.upper()) > 1]
+_ONE = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SPREAD)
+
+
+def upper_each(c: Column) -> Column:
+    """Upper case letter by letter, as SQL engines have it: ß becomes ẞ and not SS, a ligature stays."""
+    spread = "".join(_SPREAD)
+    pieces = F.regexp_extract_all(c, F.lit(f"[{spread}]+|[^{spread}]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{spread}]"), F.translate(p, spread, _ONE)).otherwise(F.upper(p))), "")
+
+
 def estimate_tokens(c: Column) -> Column:
     """Ideographs, and a quarter of the other characters; 1 at least, 0 for an empty text."""
     cjk = F.length(F.regexp_replace(c, "[^一-鿿]", ""))

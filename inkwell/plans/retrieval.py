@@ -41,7 +41,7 @@ def postings_changed(spark, d):
     docs, at = corpus(spark, d), f"{shared_dir(spark)}/postings/changed-{uuid.uuid4().hex}"
     k = F.col("chunk_id")
     index = PostingsIndex.create(spark, at, docs)
-    index.upsert(docs.filter(k % 10 == 4).withColumn("text", F.upper("text"))).delete(docs.filter(k % 10 == 3))
+    index.upsert(docs.filter(k % 10 == 4).withColumn("text", T.upper_each(F.col("text")))).delete(docs.filter(k % 10 == 3))
     index.merge().delete(docs.filter(k % 20 == 14))
     sizes = index.statistics().select("n", F.round(F.col("n") * F.col("avgdl")).cast("long").alias("tokens"))
     return index.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(sizes))  # one row

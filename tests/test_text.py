@@ -15,6 +15,11 @@ def test_tokens(spark):
     assert value(spark, "什么是切片 slice", T.query_tokens) == ["切片", "slice"]
 
 
+def test_upper_case_letter_by_letter(spark):
+    assert value(spark, "straße ﬁx\nŉ ᾳé ǆ", T.upper_each) == "STRAẞE ﬁX\nŉ ᾼÉ Ǆ"
+    assert value(spark, "", T.upper_each) == "" and value(spark, None, T.upper_each) is None
+
+
 def test_query_features(spark):
     q = "请问张三的学号是什么"
     assert value(spark, q, T.query_anchors) == ["张三"]
