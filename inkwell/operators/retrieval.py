@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import nearest
 from .postings import PostingsIndex
 
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -108,7 +109,9 @@ def dot(a, b) -> Column:
 
 
 def cosine(a, b) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Not a number where a vector is zero."""
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms == 0, float("nan")).otherwise(dot(a, b) / norms)
 
 
 def against(rows: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
@@ -127,11 +130,43 @@ def against(rows: DataFrame, queries: DataFrame, most: int | None = None) -> Dat
     return r.join(q, ["_block", "_part"]).drop("_block", "_part")
 
 
+def scored(rows: DataFrame, queries: DataFrame, k: int, most: int | None = None, cap: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score and, where rows have one, group: cosines of queries(query_id, q) with rows(chunk_id, v), exact.
+
+    Of all pairs those stay that can be among a query's first k, at most cap of a group. Vectors are counted and looked at
+    first; cells of both sides are compared by matrix products (`nearest`). Those that are null, zero, not finite, or not as long
+    as the longest go with all others by the column expression."""
+    most = most or BROADCAST_ROWS
+    facts = lambda df, c: df.agg(F.count(F.lit(1)), F.max(F.size(c)), F.count_if(~_plain(c)), F.min(F.size(c))).first()
+    (n, dim, odd, least), (nq, q_dim, q_odd, q_least) = facts(rows, "v"), facts(queries, "q")
+    if not n or not nq:
+        dim = 0
+    group = [c for c in rows.columns if c == "group"]
+    pairs = lambda a, b: against(a, b, most).select("query_id", "chunk_id", *group, F.round(cosine("v", "q"), 6).alias("score"))
+    if (dim or 0) <= 0:
+        return pairs(rows, queries)
+    fits = lambda c: _plain(c) & (F.size(c) == dim)
+    mixed, q_mixed = odd or least != dim, q_odd or q_least != dim or q_dim != dim
+    r, q = (rows.filter(fits("v")) if mixed else rows), (queries.filter(fits("q")) if q_mixed else queries)
+    out = nearest.cells(r.select("chunk_id", "v", *group), q.select("query_id", "q"), k, n, dim, nq, most, cap)
+    if mixed:
+        out = out.unionByName(pairs(rows.filter(~fits("v")), queries))
+    if q_mixed:
+        out = out.unionByName(pairs(r, queries.filter(~fits("q"))))
+    return out
+
+
+def _plain(c: str) -> Column:
+    """Whether the square of the vector's length is a positive number."""
+    n = dot(c, c)
+    return F.coalesce((n > 0) & (n < float("inf")), F.lit(False))
+
+
 def vector_topk(rows: DataFrame, queries: DataFrame, k: int, most: int | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: cosine of queries(query_id, q) with rows(chunk_id, v), exact.
 
-    A stated query set against all rows; each task cuts to its k best before the shuffle."""
-    return top(against(rows, queries, most).select("query_id", "chunk_id", F.round(cosine("v", "q"), 6).alias("score")), k)
+    A stated query set against all rows; each cell cuts to its k best before the shuffle."""
+    return top(scored(rows.select("chunk_id", "v"), queries, k, most), k)
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, k: int | str = RRF_K, by=("query_id",)) -> DataFrame:

@@ -184,7 +184,7 @@ def federated_search(spark, d):
 SELECT query_id, chunk_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM k WHERE n <= 2 QUALIFY place <= 8""")
 def diversity_topk(spark, d):
     q = vector_queries(spark, d)
-    scored = R.against(vectors(spark, d), q).select("query_id", "chunk_id", "label", F.round(R.cosine("v", "q"), 6).alias("score"))
+    scored = R.scored(vectors(spark, d).withColumnRenamed("label", "group"), q, 8, cap=2).withColumnRenamed("group", "label")
     return R.diversify(scored, 8, 2, ("query_id",), "label").select("query_id", "chunk_id", "label", "score", "place")
 
 

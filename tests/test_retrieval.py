@@ -70,6 +70,37 @@ def test_vector_blocks(spark, monkeypatch):
     assert sorted(map(tuple, R.vector_topk(rows, q, 5).collect())) == one and len(one) == 45
 
 
+def test_cells_equal_the_expression(spark, monkeypatch):
+    r = random.Random(5)
+    vectors = [[r.choice((-1.0, 0.5, 2.0)) for _ in range(3)] for _ in range(60)] + [[0.0] * 3, [float("nan"), 1.0, 1.0], None, [1.0, None, 2.0], [1.0, 2.0], []]
+    rows = spark.createDataFrame([(i, v, i % 4 or None) for i, v in enumerate(vectors)], "chunk_id long, v array<double>, group int")
+    pick = lambda *ids: rows.filter(F.col("chunk_id").isin(*ids)).select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
+    q = pick(0, 1, 2, 30, 31, 60, 61, 62, 64)
+    pairs = R.against(rows, q).select("query_id", "chunk_id", "group", F.round(R.cosine("v", "q"), 6).alias("score"))
+    lines = lambda df: sorted(map(str, df.select("query_id", "chunk_id", "score").collect()))
+    assert [c for c in R.scored(rows, q, 6).columns] == ["query_id", "chunk_id", "group", "score"]
+    for most, size in ((None, 1 << 15), (2, 7)):
+        monkeypatch.setattr(R.nearest, "CELL_ROWS", size)
+        assert lines(R.vector_topk(rows, q, 6, most)) == lines(R.top(pairs, 6))
+        for k, cap in ((6, 2), (3, 1)):
+            want = lines(R.diversify(pairs, k, cap, ("query_id",), "group"))
+            assert lines(R.diversify(R.scored(rows, q, k, most, cap), k, cap, ("query_id",), "group")) == want
+    assert R.vector_topk(rows.filter("false"), q, 3).count() == R.vector_topk(rows, q.filter("false"), 3).count() == 0
+
+
+def test_cells_send_on_few_of_their_pairs(spark):
+    r = random.Random(6)
+    rows = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(300)], "chunk_id long, v array<double>")
+    q = rows.filter("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
+    assert R.scored(rows, q, 5).count() == 50
+
+
+def test_half_millionths_round_up():
+    import numpy as np
+
+    assert list(R.nearest._micro(np.array([0.0000005, -0.0000005, 0.1234565, 0.1234564999, 1.0, -0.2000014999999]))) == [1, -1, 123457, 123456, 1000000, -200001]
+
+
 def test_metrics(spark):
     runs = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x")], "question_id string, rank int, document_id string")
     rel = spark.createDataFrame([("a", "y"), ("b", "z"), ("c", "x")], "question_id string, document_id string")
