@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import store
 
-#: Bytes of text of a bucket, about; buckets at most; files of a bucket by chunk, since frequent terms fill theirs.
+#: Bytes of text of a bucket, about; buckets at most; files of a bucket by chunk at least, since frequent terms fill theirs.
 BUCKET_BYTES, MOST_BUCKETS, SALTS = 64 << 20, 4096, 4
+#: Tokens whose postings one task sorts and writes, about, and the bytes of text files that hold one.
+TASK_TOKENS, TOKEN_BYTES = 1_000_000, 4
 #: Bytes of a table that one task reads.
 SPLIT_BYTES = 128 << 20
 #: Segments from which an upsert or delete merges the smaller ones.
 MERGE_FROM = 8
-_SALT = lambda: F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))
 _TERMS = "term string, chunk_id {0}, tf long, dl long"
 
 
@@ -104,18 +105,16 @@ class PostingsIndex:
         tasks = self.spark.sparkContext.defaultParallelism
         if _bytes(chunks) < tasks * SPLIT_BYTES:
             rows = rows.repartition(tasks, "chunk_id")  # a small file is read by one task, which would cut all its tokens
-        return self._add(rows)
+        return self._add(rows, _bytes(chunks) // TOKEN_BYTES)
 
     def delete(self, ids: DataFrame) -> "PostingsIndex":
         """Take chunks out, by ids(chunk_id); ids that aren't there do nothing."""
         return self._add(ids.select("chunk_id").filter("chunk_id IS NOT NULL").distinct().withColumn("text", F.lit(None).cast("string")))
 
-    def _add(self, rows: DataFrame) -> "PostingsIndex":
+    def _add(self, rows: DataFrame, tokens: int = 0) -> "PostingsIndex":
+        """Take in rows(chunk_id, text), with about so many tokens; those without a text go."""
         s, state = self.state["next"], dict(self.state)
-        one = F.array(F.struct(F.when(F.col("text").isNotNull(), T.tokenize(F.col("text"))).alias("tokens")))
-        tokens = rows.select("chunk_id", F.inline(one))
-        each = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).withColumn("bucket", self._bucket())
-        self._write_terms(each, s)
+        self._write_terms(_counted(rows).withColumn("bucket", self._bucket()), s, tokens)
         length = F.when(F.col("text").isNotNull(), T.token_count(F.col("text")))
         rows.select("chunk_id", length.alias("dl")).write.mode("overwrite").parquet(f"{self.path}/chunks/segment={s}")
         new = self._read("chunks", [s], f"chunk_id {state['id']}, dl long, segment int")
@@ -133,18 +132,13 @@ class PostingsIndex:
         self._publish(state)
         return self.merge() if len(self.state["segments"]) >= MERGE_FROM else self
 
-    def _write_terms(self, each: DataFrame, s: int) -> None:
-        """Postings of exploded tokens: dealt by bucket and chunk, counted there, sorted, one exchange."""
-        dealt = each.withColumn("salt", _SALT()).repartition(self._tasks(), "bucket", "salt")
-        counted = dealt.groupBy("bucket", "salt", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-        self._write_sorted(counted, s)
-
-    def _tasks(self) -> int:
-        return self.state["buckets"] * SALTS
-
-    def _write_sorted(self, counted: DataFrame, s: int) -> None:
-        rows = counted.select("term", "chunk_id", "tf", "dl", "bucket").sortWithinPartitions("bucket", "term", "chunk_id")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/segment={s}")
+    def _write_terms(self, rows: DataFrame, s: int, tokens: int) -> None:
+        """Postings with their bucket as a segment: a task sorts and writes one part, by chunk, of one bucket."""
+        n = self.state["buckets"]
+        salts = max(SALTS, -(-tokens // (n * TASK_TOKENS)))
+        part = F.col("bucket") * salts + F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int")
+        dealt = rows.select("term", "chunk_id", "tf", "dl", "bucket").repartitionById(n * salts, part).sortWithinPartitions("bucket", "term", "chunk_id")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/segment={s}")
 
     def merge(self, everything: bool = False) -> "PostingsIndex":
         """Make one segment of the smaller ones, those that are not half of all chunks, or of all; then delete what they were.
@@ -156,7 +150,7 @@ class PostingsIndex:
             return self
         s, ids, rest = state["next"], [x["id"] for x in old], [x for x in state["segments"] if x not in old]
         live = self._alive(self._read("terms", ids, _TERMS.format(state["id"]) + ", segment int, bucket int"), ids)
-        self._write_sorted(live.repartition(self._tasks(), "bucket", _SALT()), s)
+        self._write_terms(live, s, state["tokens"])
         held = self._read("chunks", ids, f"chunk_id {state['id']}, dl long, segment int").filter("dl IS NOT NULL")
         self._alive(held, ids).select("chunk_id", "dl").write.mode("overwrite").parquet(f"{self.path}/chunks/segment={s}")
         n = self._read("chunks", [s], f"chunk_id {state['id']}, dl long, segment int").count()
@@ -179,6 +173,17 @@ class PostingsIndex:
         self.state = state | {"version": version}
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """term, chunk_id, tf, dl of rows(chunk_id, text): a text's tokens are sorted and counted where it stands, before any exchange."""
+    inner = lambda name, e: F.inline(F.array(F.struct(e.alias(name))))  # noqa: E731 - a generator of one row: computed once
+    tokens = rows.filter("text IS NOT NULL").select("chunk_id", inner("tokens", F.sort_array(T.tokenize(F.col("text"))))).filter(F.size("tokens") > 0)
+    first = F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: (i == 1) | (F.get("tokens", i - 1) != F.get("tokens", i - 2)))
+    firsts = tokens.select("chunk_id", "tokens", inner("firsts", first))
+    nexts = F.concat(F.slice("firsts", 2, F.size("firsts")), F.array(F.size("tokens") + 1))
+    terms = F.zip_with("firsts", nexts, lambda a, b: F.struct(F.get("tokens", a - 1).alias("term"), (b - a).cast("long").alias("tf")))
+    return firsts.select("chunk_id", F.size("tokens").cast("long").alias("dl"), F.inline(terms))
+
+
 def _bytes(df: DataFrame) -> int:
     """Size of a table by its plan's statistics, those of its files; counted, where the plan knows none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -16,6 +16,10 @@ HEADING_BOOST, EVIDENCE_CHARS = 0.012, 800
 BROADCAST_ROWS = 4096
 #: Rows of query and term that are sent to the postings at most, some 60 bytes each; beyond that both sides are dealt by term.
 BROADCAST_TERMS = 500_000
+#: Pairs of query and chunk that a task scores, about; chunks of a task at least, however many the queries.
+TASK_PAIRS, TASK_CHUNKS = 500_000, 64
+#: Bytes of texts in files that a task joins, about; they are some three times as many in memory.
+TASK_BYTES = 8 << 20
 
 
 def postings(corpus: DataFrame) -> DataFrame:
@@ -37,41 +41,47 @@ def bm25(corpus: DataFrame, queries: DataFrame, top_k: int | None = None) -> Dat
     Only postings of query terms are counted: the terms' table joins before the aggregation, so the shuffle
     carries the matches of the queries, not the corpus. Repeated query tokens count repeatedly."""
     terms = _asked(queries)
+    few, parts = _plan(terms, corpus.count())
     # a generator of one row: a text is cut into tokens once, not anew for their number
     tokens = corpus.select("chunk_id", F.inline(F.array(F.struct(T.tokenize(F.col("text")).alias("tokens")))))
-    matched = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term")
+    matched = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term").repartition(parts, "chunk_id")
     tf = matched.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     stats = corpus.select(T.token_count(F.col("text")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    return _bm25_scores(terms, tf, stats, top_k)
+    # it reads the columns that the scores read, so that both share one exchange of the matches
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("tf") + F.col("dl")).alias("_most")).filter("_most > 0")
+    return _gains(terms.join(_idf(df, stats), "term"), tf, top_k, few, parts)
 
 
 def bm25_stored(index: PostingsIndex, queries: DataFrame, top_k: int | None = None) -> DataFrame:
     """bm25() over the chunks of a stored index: it reads the buckets of the queries' terms, and no text.
 
-    The terms with their weights are sent to the postings where they stand while they are few, which is counted first; so
-    only sums are dealt anew. Beyond that both sides are dealt by term."""
+    The postings of the terms are dealt by chunk to as many tasks as keep the pairs of each bounded, where sums are made and cut
+    to the best; so neither pairs nor sums are dealt anew. The terms with their weights are sent there while they are few, which
+    is counted first. Beyond that postings and terms are dealt by term, and what met by chunk."""
     terms = _asked(queries)
-    few = terms.count() <= BROADCAST_TERMS
+    few, parts = _plan(terms, index.state["chunks"])
     tf = index.postings(terms.select("term").distinct())
     q = terms.join(_idf(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.statistics()), "term")
-    return _gains(F.broadcast(q) if few else q, tf, top_k, few)
+    return _gains(q, tf.repartition(parts, "chunk_id") if few else tf, top_k, few, parts)
 
 
-def _bm25_scores(terms: DataFrame, tf: DataFrame, stats: DataFrame, top_k: int | None) -> DataFrame:
-    # it reads the columns that the scores read, so that both share one exchange of the matches
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(F.col("tf") + F.col("dl")).alias("_most")).filter("_most > 0")
-    return _gains(terms.join(_idf(df, stats), "term"), tf, top_k, False)
+def _plan(terms: DataFrame, chunks: int) -> tuple[bool, int]:
+    """Whether terms(query_id, term, ..) are few, and the tasks that chunks are dealt to for so many queries."""
+    n, queries = terms.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    most, cores = -(-chunks // TASK_CHUNKS), terms.sparkSession.sparkContext.defaultParallelism
+    return n <= BROADCAST_TERMS, max(min(-(-chunks * queries // TASK_PAIRS), most), min(cores, most), 1)
 
 
 def _idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") + 1) / F.col("df")).alias("idf"), "avgdl")
 
 
-def _gains(q: DataFrame, tf: DataFrame, top_k: int | None, few: bool) -> DataFrame:
-    """Scores of q(query_id, term, qf, idf, avgdl) over postings."""
+def _gains(q: DataFrame, tf: DataFrame, top_k: int | None, few: bool, parts: int) -> DataFrame:
+    """Scores of q(query_id, term, qf, idf, avgdl), which is sent to postings that are dealt by chunk if it has few rows."""
     base = q.groupBy("query_id").agg(F.sum(F.col("idf") * F.col("qf") * DELTA).alias("base"))
     gain = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = q.join(tf, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("gain")).join(F.broadcast(base) if few else base, "query_id")
+    met = tf.join(F.broadcast(q), "term") if few else q.join(tf, "term").repartition(parts, "chunk_id")
+    score = met.groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("gain")).join(F.broadcast(base) if few else base, "query_id")
     score = score.select("query_id", "chunk_id", F.round(F.col("base") + F.col("gain"), 6).alias("score"))
     return top(score, top_k) if top_k else score
 

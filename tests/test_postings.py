@@ -114,3 +114,28 @@ def test_one_index_for_the_same_files(spark, at, tmp_path):
     frame(spark, {1: "bb"}).write.mode("overwrite").parquet(f"{tmp_path}/t")
     c = PostingsIndex.of(spark, at, f"{tmp_path}/t", spark.read.parquet(f"{tmp_path}/t"))
     assert c.path != a.path and [r["term"] for r in c.postings().collect()] == ["bb"]
+
+
+def test_postings_are_counted_before_the_exchange_and_dealt_to_small_tasks(spark, at, monkeypatch):
+    from inkwell.operators import postings as P
+
+    texts = chunks(spark, 9, range(60))
+    plan = P._counted(frame(spark, texts))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan  # nothing that grows with a task's tokens
+    monkeypatch.setattr(P, "TASK_TOKENS", 2)
+    index = PostingsIndex.create(spark, at, frame(spark, texts), buckets=2)
+    assert len([f for f in index.postings().inputFiles() if "bucket=" in f]) > 2 * P.SALTS
+    agree(spark, index, texts)
+
+
+def test_pairs_of_a_task_are_bounded(spark, at, monkeypatch):
+    texts = chunks(spark, 10, range(60))
+    index = PostingsIndex.create(spark, at, frame(spark, texts))
+    asked = spark.createDataFrame([(i, "aa bb") for i in range(20)], "query_id long, text string")
+    monkeypatch.setattr(R, "TASK_PAIRS", 100)
+    monkeypatch.setattr(R, "TASK_CHUNKS", 2)
+    scores = R.bm25_stored(index, asked)
+    assert scores.rdd.getNumPartitions() == 12  # 60 chunks and 20 queries: 1,200 pairs
+    for few in (500_000, 1):
+        monkeypatch.setattr(R, "BROADCAST_TERMS", few)
+        agree(spark, index, texts)
