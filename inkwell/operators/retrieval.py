@@ -18,8 +18,6 @@ BROADCAST_ROWS = 4096
 BROADCAST_TERMS = 500_000
 #: Pairs of query and chunk that a task scores, about; chunks of a task at least, however many the queries.
 TASK_PAIRS, TASK_CHUNKS = 500_000, 64
-#: Bytes of texts in files that a task joins, about; they are some three times as many in memory.
-TASK_BYTES = 8 << 20
 
 
 def postings(corpus: DataFrame) -> DataFrame:
