@@ -614,3 +614,40 @@ def test_subwords_of_words():
     for w, n in zip(words, lens):
         assert ids[at : at + n].tolist() == e.tokenizer.encode(" " + w.decode(), add_special_tokens=False).ids
         at += n
+
+
+def test_words_with_signs_and_digits_share_calls_of_the_model():
+    from inkwell.llm.language import subwords_of
+    from inkwell.llm.subwords import SubwordEncoder
+
+    r = random.Random(4)
+    some = ["$$", "x1", "9x$", "a$$b", "é##", "9é", "½a", "'s", "a'b", "a'sun", "\x7f", "ß", "\xad"]
+    some += ["".join(r.choice("abzEé19$#.!-'\x7f\"ß½") for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    e = SubwordEncoder()
+    ids, lens = subwords_of([w.encode() for w in some], e)
+    want = [x.ids for x in e.tokenizer.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
+    assert lens.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    calls, model = [], e.by_model
+    e.by_model = lambda s: calls.append(s) or model(s)
+    subwords_of([f"q{i}z$".encode() for i in range(640)], e)
+    assert len(calls) == 640 // 32
+
+
+def test_step_and_scores_beyond_safe_exponentials():
+    """Large scores and logits are shifted, whatever is asked: the step's loss is that of log_probs."""
+    from inkwell.llm import language as L
+
+    g = np.random.default_rng(6)
+    for size, safe in ((1.0, True), (40.0, False)):
+        m = L.Attention()
+        m.w[2] *= np.float32(size)
+        m.w[5] *= np.float32(size)
+        rows, target = g.integers(0, 50, (5, L.WINDOW)), g.integers(0, 9, (5, L.WINDOW))
+        half = L.WINDOW // 2
+        logs = m.log_probs(rows, m.tables(), half)
+        assert L._safe(logs) == safe
+        want = np.take_along_axis(logs, target[:, half:, None], axis=2).ravel()
+        assert np.allclose(m.log_prob_of(rows, target[:, half:].ravel(), m.tables(), half, False), want, rtol=1e-3, atol=1e-3)
+        weight = np.zeros(target.shape, dtype=np.float32)
+        weight[:, half:] = 1
+        assert m.step(rows, target, weight, 0.0, [np.full_like(x, 0.1) for x in m.w]) == pytest.approx(-want.mean(), rel=1e-3)
