@@ -244,15 +244,14 @@ def write_shards(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer
             blob = to_blob(ids, counts, np.frombuffer(b"".join(parts), dtype="<u2"))
             return pa.RecordBatch.from_arrays([pa.array([where], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([total], pa.int64()), pa.array([blob], pa.binary())], ["part", "shard", "n_docs", "n_tokens", "blob"])
 
-        for b in batches:
-            for key, text, where in zip(b.column(0).to_pylist(), text_strings(b.column(1)), b.column(2).to_pylist()):
-                p = enc.encode(text or "") + tail
-                ids.append(key)
-                parts.append(p)
-                total += len(p) // 2
-                if total >= shard_tokens:
-                    yield flush()
-                    ids, parts, total, shard = [], [], 0, shard + 1
+        rows = (((key, place), text or "") for b in batches for key, text, place in zip(b.column(0).to_pylist(), text_strings(b.column(1)), b.column(2).to_pylist()))
+        for (key, where), p in enc.encode_all(rows):
+            ids.append(key)
+            parts.append(p + tail)
+            total += len(p) // 2 + 1
+            if total >= shard_tokens:
+                yield flush()
+                ids, parts, total, shard = [], [], 0, shard + 1
         if ids:
             yield flush()
 
