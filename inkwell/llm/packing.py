@@ -114,11 +114,8 @@ def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer=None, w
         enc, base = encoder(tokenizer), TaskContext.get().partitionId() << 32
         tail = np.array([end], dtype="<u2").tobytes()
 
-        def source():
-            for b in batches:
-                for key, text in zip(b.column(0).to_pylist(), text_strings(b.column(1))):
-                    yield key, np.frombuffer(enc.encode(text or "") + tail, dtype="<u2")
-
+        texts = ((key, text or "") for b in batches for key, text in zip(b.column(0).to_pylist(), text_strings(b.column(1))))
+        source = ((key, np.frombuffer(ids + tail, dtype="<u2")) for key, ids in enc.encode_all(texts))
         rows = []
 
         def batch():
@@ -129,7 +126,7 @@ def pack(docs: DataFrame, *, id_col="doc_id", text_col="text", tokenizer=None, w
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([i for _, _, i, *_ in rows]).astype(np.int32))))
             return pa.RecordBatch.from_arrays(arrays, [*names, "ids"][: len(arrays)])
 
-        for row in pack_stream(source(), window):
+        for row in pack_stream(source, window):
             rows.append(row)
             if len(rows) >= 4096:
                 yield batch()

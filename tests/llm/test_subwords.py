@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkwell.llm import subwords as S
@@ -31,3 +32,26 @@ def test_new_chunks_of_shards_share_calls_of_the_model():
     texts = [f"start{chr(97 + i)} " + " ".join(f"q{i}x{j}" for j in range(64)) for i in range(20)]
     assert len(list(e.encode_all(enumerate(texts * 2)))) == 40
     assert len(calls) <= 64 * 20 // 32 + 2 * len(texts) + 2
+
+
+def test_packing_encodes_new_chunks_together(monkeypatch):
+    from inkwell.llm import packing
+
+    class Rows:  # stands for a table: the rows of one task
+        def __getitem__(self, name):
+            return self
+
+        cast = select = lambda self, *a: self
+
+        def transform(self, f, run, schema):
+            return list(run([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])]))
+
+    e = S.SubwordEncoder()
+    calls, model = [], e.by_model
+    e.by_model = lambda s: calls.append(s) or model(s)
+    monkeypatch.setattr(S, "encoder", lambda path: e)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 0})())}))
+    texts = [f"start{chr(97 + i)} " + " ".join(f"q{i}x{j}" for j in range(64)) for i in range(20)]
+    pieces = [r for b in packing.pack(Rows()) for r in b.to_pylist()]
+    assert sum(r["length"] for r in pieces) == sum(len(x.ids) + 1 for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+    assert len(calls) <= 64 * 20 // 32 + 2 * len(texts) + 2
